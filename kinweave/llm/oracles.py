@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import chat, hostrep, quality
+from kinweave.llm import chat, decontam, hostrep, mixing, neardup, quality
 
 #: Words of a text, as DuckDB lists.
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -78,4 +78,71 @@ def _op10() -> str:
       sum({around} + length(role) + length({escaped}))::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
 
 
-ORACLES = {"op2_quality_rules": _op2(), "op8_url_filter": _op8(), "op9_warc": OP9, "op10_chat_format": _op10()}
+#: Distinct shingles of a table, for shingle size k; shorter texts have none, or one if whole.
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _shingles(table: str, key: str, short: bool) -> str:
+    words = WORDS.replace("coalesce(text, '')", f"coalesce({LOWER}, '')")
+    least = "len(w) > 0" if short else "len(w) >= 5"
+    return f"""(SELECT DISTINCT {key}, array_to_string(w[i:i + 4], ' ') || CASE WHEN len(w) < 5 THEN ' #' || len(w) ELSE '' END AS g
+      FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE {least}))"""
+
+
+def _op4() -> str:
+    return f"""
+    WITH b AS {_shingles("benchmark", "item_id", False)}, d AS {_shingles("documents", "doc_id", False)},
+    n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM b GROUP BY item_id),
+    f AS (SELECT doc_id, item_id, count(*)::BIGINT AS n_found FROM b JOIN d USING (g) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_item, n_found FROM f JOIN n USING (item_id)
+    WHERE n_found * {decontam.DENOMINATOR} >= n_item * {decontam.NUMERATOR}"""
+
+
+def _op6() -> str:
+    return f"""
+    WITH RECURSIVE s AS MATERIALIZED {_shingles("documents", "doc_id", True)},
+    n AS MATERIALIZED (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE {neardup.DENOMINATOR} * c >= {neardup.NUMERATOR} * (x.n + y.n - c)),
+    e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    r(v, m) AS (SELECT a, a FROM e UNION SELECT e.b, r.m FROM r JOIN e ON r.v = e.a WHERE r.m < e.b),
+    c AS (SELECT v AS doc_id, min(m) AS m FROM r GROUP BY v)
+    SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(coalesce(m, doc_id), doc_id) AS component_id, coalesce(m, doc_id) >= doc_id AS kept
+    FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+
+def _op1() -> str:
+    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{sign}') THEN '{name}'" for name, sign in mixing.TOPICS) + f" ELSE '{mixing.OTHER}' END"
+    sql = f"""
+    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, len({WORDS})::BIGINT AS n_tokens FROM documents),
+    w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),"""
+    for m in mixing.MARGINS:
+        sql += f"""
+    g_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {mixing.TEMPERATURE}) AS g FROM w0 GROUP BY {m}),
+    h_{m} AS MATERIALIZED (SELECT {m}, g * (SELECT sum(tokens) FROM w0) / (SELECT sum(g) FROM g_{m}) AS g FROM g_{m}),"""
+    at = 0
+    for _ in range(mixing.SWEEPS):
+        for m in mixing.MARGINS:
+            at += 1
+            sql += f"""
+    w{at} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * g / sum(w) OVER (PARTITION BY {m}) AS w FROM w{at - 1} JOIN h_{m} USING ({m})),"""
+    sql += f"""
+    s0 AS (SELECT {mixing.SHARE}::DOUBLE AS s),"""
+    for i in range(1, mixing.SCALE_STEPS + 1):
+        sql += f"""
+    s{i} AS MATERIALIZED (SELECT ({mixing.SHARE} * sum(tokens) - coalesce(sum(tokens) FILTER (w / tokens * s >= 1), 0)) / sum(w) FILTER (w / tokens * s < 1) AS s FROM w{at}, s{i - 1}),"""
+    return sql + f"""
+    r AS (SELECT source, lang, topic, least(1.0, w / tokens * s) AS rate FROM w{at}, s{mixing.SCALE_STEPS}),
+    u AS (SELECT *, (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM d)
+    SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0.0), 6) AS rate, u < coalesce(rate, 0.0) AS kept FROM u LEFT JOIN r USING (source, lang, topic)"""
+
+
+ORACLES = {
+    "op1_source_mixing": _op1(),
+    "op2_quality_rules": _op2(),
+    "op4_decontamination": _op4(),
+    "op6_near_duplicates": _op6(),
+    "op8_url_filter": _op8(),
+    "op9_warc": OP9,
+    "op10_chat_format": _op10(),
+}

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import chat, hostrep, quality, warc
+from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all documents under policy ``web``; the bits of ``base`` give base_failed."""
     rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["web"])
@@ -19,6 +23,29 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, rows = arrowtokens.encode_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path())
+    return rows
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the page with the same id: toxic or of low quality is bad."""
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
@@ -44,4 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op8_url_filter, op9_warc, op10_chat_format)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_decontamination, op5_token_files, op6_near_duplicates, op8_url_filter, op9_warc, op10_chat_format)
+}
