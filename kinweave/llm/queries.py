@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, quality, warc
+from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of the page with the same id: toxic or of low quality is bad."""
     bad = (F.coalesce(F.col("toxic"), F.lit(0)) == 1) | (F.coalesce(F.col("quality"), F.lit(1)) == 0)
@@ -73,5 +77,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_decontamination, op5_token_files, op6_near_duplicates, op8_url_filter, op9_warc, op10_chat_format)
+    for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_decontamination, op5_token_files, op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format)
 }
