@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kinweave.plans import field_queries, graph_queries, run_queries, source_queries
+
+_ALL = {**graph_queries.REGISTERED, **field_queries.REGISTERED, **run_queries.REGISTERED, **source_queries.REGISTERED}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["a18_homophily"](spark, sf_dir)
