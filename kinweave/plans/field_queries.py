@@ -190,18 +190,18 @@ def p8_standardise(spark, sf):
     return features.standardise(split_events(spark, sf).select("id", "split", "value"), ["value"]).select("id", F.round("value", 6).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / coalesce(nullif(l_tax, 0), 1), 6) AS bytes_rate, round(l_quantity / coalesce(nullif(l_tax, 0), 1), 6) AS packets_rate, round(l_extendedprice / coalesce(nullif(l_quantity, 0), 1), 6) AS mean_packet FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / coalesce(nullif(l_tax, 0), 1) AS bytes_rate, l_quantity / coalesce(nullif(l_tax, 0), 1) AS packets_rate, l_extendedprice / coalesce(nullif(l_quantity, 0), 1) AS mean_packet FROM lineitem")
 def p1_rates(spark, sf):
     t = read(spark, sf, "lineitem")
     c = features.rates(F.col("l_tax"), F.col("l_extendedprice"), F.col("l_quantity"))
-    return t.select("l_orderkey", "l_linenumber", *[F.round(v, 6).alias(k) for k, v in c.items()])
+    return t.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in c.items()])
 
 
-@query("SELECT l_orderkey, l_linenumber, round(greatest(l_tax - l_discount, 0.001), 6) AS duration, round(l_extendedprice / greatest(l_tax - l_discount, 0.001), 4) AS bytes_rate, round(l_quantity / greatest(l_tax - l_discount, 0.001), 4) AS packets_rate, round(l_extendedprice / greatest(l_quantity, 1), 4) AS mean_packet FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, greatest(l_tax - l_discount, 0.001::DOUBLE) AS duration, l_extendedprice / greatest(l_tax - l_discount, 0.001::DOUBLE) AS bytes_rate, l_quantity / greatest(l_tax - l_discount, 0.001::DOUBLE) AS packets_rate, l_extendedprice / greatest(l_quantity, 1) AS mean_packet FROM lineitem")
 def p2_packet_rates(spark, sf):
     t = read(spark, sf, "lineitem")
     c = features.packet_rates(F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice"), F.col("l_quantity"))
-    return t.select("l_orderkey", "l_linenumber", *[F.round(v, 6 if k == "duration" else 4).alias(k) for k, v in c.items()])
+    return t.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in c.items()])
 
 
 @query("SELECT o_orderkey, " + ", ".join(f"(o_orderstatus = '{v}')::INT AS \"o_orderstatus_{v}\"" for v in "FOP") + " FROM orders")
@@ -257,12 +257,12 @@ def a33_convolution(spark, sf):
     return features.convolved(t, graph.union_graph(edges_of(t)), ["value"]).withColumn("conv_value", F.round("conv_value", 6))
 
 
-@query(f"""WITH {S.ENTITIES}, t AS (SELECT id, value, coalesce(via_user, 's:' || coalesce(user_id::VARCHAR, '')) AS s, coalesce(via_prop, 'd:' || coalesce(prop, '')) AS d FROM e0),
+@query(f"""WITH {S.ENTITIES}, t AS (SELECT id, round_even(value * 1e4, 0) AS value, coalesce(via_user, 's:' || coalesce(user_id::VARCHAR, '')) AS s, coalesce(via_prop, 'd:' || coalesce(prop, '')) AS d FROM e0),
 w AS (SELECT *, sum(value) OVER (PARTITION BY s) AS ss, count(*) OVER (PARTITION BY s) AS ns, sum(value) OVER (PARTITION BY d) AS sd, count(*) OVER (PARTITION BY d) AS nd FROM t)
-SELECT id, round(CASE WHEN ns > 1 THEN (ss - value) / (ns - 1) ELSE value END, 7) AS src_node_mean, round(CASE WHEN nd > 1 THEN (sd - value) / (nd - 1) ELSE value END, 7) AS dst_node_mean FROM w""")
+SELECT id, CASE WHEN ns > 1 THEN (ss - value) / (ns - 1) ELSE value END AS src_node_mean, CASE WHEN nd > 1 THEN (sd - value) / (nd - 1) ELSE value END AS dst_node_mean FROM w""")
 def a34_endpoint_means(spark, sf):
-    t = events(spark, sf)
-    return features.endpoint_means(graph.endpoint_graph(t, "user_id", "prop"), t, "value").select("id", *[F.round(c, 7).alias(c) for c in ("src_node_mean", "dst_node_mean")])
+    t = events(spark, sf).withColumn("value", F.bround(F.col("value") * 1e4, 0))  # whole numbers: sums are exact in any order
+    return features.endpoint_means(graph.endpoint_graph(t, "user_id", "prop"), t, "value")
 
 
 def _avg_rank(x: str) -> str:
