@@ -49,7 +49,7 @@ def by_group(df: DataFrame, column: str, seed: int, test: float = TEST, val: flo
     First-fit is sequential, so it runs over the groups' sizes, never over rows; missing values
     are one group. With fewer than two valid groups it is a random split.
     """
-    t = df.withColumn("_g", F.coalesce(valid_value(F.col(column)), F.lit("")))
+    t = df.drop("split").withColumn("_g", F.coalesce(valid_value(F.col(column)), F.lit("")))
     groups = t.groupBy("_g").agg(F.count(F.lit(1)).alias("size")).withColumn("order", seeded_hash(seed, F.col("_g")))
     if groups.where("_g <> ''").limit(2).count() < 2:
         return at_random(df, seed, test, val)
