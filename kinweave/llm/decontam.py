@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import ascii_lower, pick, words
+from kinweave.llm.shared import ascii_lower, computed_once, pick, words
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 BROADCAST_SHINGLES = 500_000
@@ -43,7 +43,7 @@ def shingle_texts(w: str) -> Column:
 
 def signatures(items: DataFrame) -> DataFrame:
     """item_id, need, n_item, size partition, sorted signature and shingles of each item."""
-    t = with_shingles(pick(items, item_id="item_id", text="text")).where("size(h) > 0")
+    t = computed_once(with_shingles(pick(items, item_id="item_id", text="text"))).where("size(h) > 0")
     t = t.withColumns({"grams": shingle_texts("w"), "n_item": F.size("h").cast("long")})
     t = t.withColumn("need", F.ceil(F.col("n_item") * NUMERATOR / DENOMINATOR))
     sig = F.slice(F.array_sort("h"), F.lit(1), (F.col("n_item") - F.col("need") + 1).cast("int"))

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import SPACE, pick, words
+from kinweave.llm.shared import SPACE, computed_once, pick, words
 
 #: The rules in the order of their bits. Integer arithmetic keeps verdicts exact.
 RULES: tuple[tuple[str, str], ...] = (
@@ -66,7 +66,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = lambda a, b: F.get("s", a)["x"] == F.get("s", b)["x"]
     twice = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda j: F.coalesce(same(j, j - 1), F.lit(False)) | F.coalesce(same(j, j + 1), F.lit(False)))
     covered = F.flatten(F.transform(twice, lambda j: F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda k: F.get("s", j)["i"] + k)))
-    return t.select(
+    t = t.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
@@ -75,6 +75,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.when(F.col("s").isNull(), 0).otherwise(F.size(F.array_distinct(covered))).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
     )
+    return computed_once(t)
 
 
 def fail_bits() -> Column:

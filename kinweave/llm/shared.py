@@ -57,3 +57,12 @@ def words(text: Column) -> Column:
 def pick(df: DataFrame, **needed: str) -> DataFrame:
     """The named columns under the operator's own names, so that further columns can't clash."""
     return df.select(*[F.col(f"`{have}`").alias(name) for name, have in needed.items()])
+
+
+def computed_once(df: DataFrame) -> DataFrame:
+    """The same rows; filters on them are not pushed below.
+
+    Catalyst would put the expressions of computed arrays into such a filter, inside lambdas even,
+    and compute them again for every element. A projection that is not deterministic stops that.
+    """
+    return df.select(*[F.when(F.monotonically_increasing_id() >= 0, F.col(f"`{c}`")).alias(c) for c in df.columns])
