@@ -3,11 +3,11 @@
 A document is the set of its 5-word shingles (64-bit hashes). Each set gets a signature of
 SIGNATURE minwise values. In every one of TREES independent trees a set follows ROOT_BRANCH
 chosen coordinates to its first nodes, keyed by the minwise token there. Nodes with one set
-end; nodes of at most SMALL sets are compared exhaustively; larger ones branch again by BRANCH
-coordinates drawn from the node's key, so dissimilar sets part while a pair at the threshold
-follows 3 * 0.75 > 1 common branches on average and meets again almost surely. Nodes that are
-still large after LEVELS levels hold near copies of one text; there every set is compared with
-PIVOTS members, and what is unlike all of them goes on as a node of its own.
+end; nodes of at most SMALL sets are compared exhaustively. In a larger node every set is
+compared with PIVOTS members, which settles large groups of near copies; the sets that are unlike
+all of them go on and, if they are still many, branch again by BRANCH coordinates drawn from the
+node's key, so dissimilar sets part while a pair at the threshold follows 3 * 0.75 > 1 common
+branches on average and meets again almost surely.
 
 Nodes only propose: they link sets whose signatures agree enough (a bound far under the
 threshold), which gives candidate groups. Every candidate's full set is then fetched once and
@@ -37,10 +37,13 @@ from pyspark.sql import functions as F
 from kinweave.llm.shared import pick, staged
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-SIGNATURE, TREES, ROOT_BRANCH, BRANCH, LEVELS = 64, 8, 2, 3, 4
+SIGNATURE, TREES, ROOT_BRANCH, BRANCH = 64, 8, 2, 3
 SMALL, PIVOTS = 1000, 16
-#: Shares of agreeing minwise values that make a candidate, in small nodes and with pivots.
-AGREE, AGREE_PIVOT = 0.5, 0.35
+#: Shares of agreeing minwise values that make a candidate, in small nodes and with pivots, and
+#: that settle a set with a pivot.
+AGREE, AGREE_PIVOT, AGREE_NEAR = 0.5, 0.25, 0.75
+#: Candidates are sent to the documents up to this number; beyond it both are shuffled.
+BROADCAST_ROWS = 1_000_000
 GROUP_SHINGLES = 4_000_000
 _SETS = "doc_id long, n_shingles long, set_id binary, keys array<long>, mins binary"
 _MANY = 1 << 20
@@ -164,33 +167,42 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _nodes(paths: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
     """Paths in nodes of two to SMALL sets, paths in larger ones, and the number of the latter."""
     sizes = paths.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    t = staged(paths.join(sizes, "node"), name)
+    t = staged(paths.hint("merge").join(sizes, "node"), name)
     large = t.where(F.col("n") > SMALL)
     return t.where(F.col("n") <= SMALL).drop("n"), large, large.count()
 
 
 def _by_pivots(large: DataFrame, mins: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links to the pivots of each node, and the paths that are unlike all of them."""
+    """Links to the pivots of each node, and the paths that go on.
+
+    A set within AGREE_NEAR of a pivot stops here: whatever is similar enough to it is within
+    AGREE_PIVOT of the same pivot, and is linked to that. A set is linked to its first pivot, and
+    pivots that share a set to each other, once a task.
+    """
     order = F.xxhash64("node", "id")
     cut = large.select("node", (F.lit(2.0**64) * (PIVOTS / F.col("n")) - F.lit(2.0**63)).alias("cut")).distinct()
     t = large.select("node", "id").join(mins, "id")
     chosen = t.join(cut, "node").where(order <= F.col("cut")).groupBy("node").agg(F.collect_list(F.struct("id", "mins")).alias("pivots"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = set()
         for batch in batches:
-            node, ids, hit = batch.column("node"), batch.column("id"), []
-            for m, pivots in zip(batch.column("mins").to_pylist(), batch.column("pivots").to_pylist(), strict=True):
-                if not pivots:
-                    hit.append([])
-                    continue
-                p = np.frombuffer(b"".join(x["mins"] for x in pivots), np.uint8).reshape(len(pivots), -1)
+            rows = []
+            columns = (batch.column(c).to_pylist() for c in ("node", "id", "mins", "pivots"))
+            for node, i, m, pivots in zip(*columns, strict=True):
+                p = np.frombuffer(b"".join(x["mins"] for x in pivots or []), np.uint8).reshape(-1, SIGNATURE)
                 share = (p == np.frombuffer(m, np.uint8)).mean(axis=1)
-                hit.append([x["id"] for x, s in zip(pivots, share, strict=True) if s >= AGREE_PIVOT])
-            yield pa.RecordBatch.from_arrays([node, ids, pa.array(hit, pa.list_(pa.int64()))], names=["node", "id", "hit"])
+                hit = [pivots[j]["id"] for j in np.flatnonzero(share >= AGREE_PIVOT)]
+                new = [(hit[0], x) for x in hit[1:] if (node, hit[0], x) not in told]
+                told.update((node, *x) for x in new)
+                links = [x for x in ([(i, hit[0])] if hit else []) + new if x[0] != x[1]]
+                rows.append((node, i, len(p) == 0 or share.max() < AGREE_NEAR, [x for x, _ in links], [x for _, x in links]))
+            node, ids, on, a, b = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(ids, pa.int64()), pa.array([bool(x) for x in on], pa.bool_()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.list_(pa.int64()))], names=["node", "id", "goes_on", "a", "b"])
 
-    t = staged(t.join(chosen, "node", "left").mapInArrow(compare, "node long, id long, hit array<long>"), "pivots")
-    links = t.select(F.col("id").alias("a"), F.explode("hit").alias("b")).where("a <> b")
-    return links, t.where(F.size("hit") == 0).select(F.xxhash64("node").alias("node"), "id")
+    t = staged(t.join(chosen, "node", "left").mapInArrow(compare, "node long, id long, goes_on boolean, a array<long>, b array<long>"), "pivots")
+    links = t.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    return links, t.where("goes_on").select(F.xxhash64("node").alias("node"), "id")
 
 
 def propose_links(classes: DataFrame) -> DataFrame:
@@ -205,11 +217,9 @@ def propose_links(classes: DataFrame) -> DataFrame:
         found = links if found is None else found.unionByName(links)
         if not many:
             return staged(found.distinct(), "links")
-        if level >= LEVELS:
-            linked, large = _by_pivots(large, mins)
+        if level % 2:
+            linked, paths = _by_pivots(large, mins)
             found = found.unionByName(linked)
-            paths = large
-            level = 0 if level > 2 * LEVELS else level
             continue
         coordinate = F.explode(F.transform(F.array(*[F.lit(i) for i in range(BRANCH)]), lambda i: F.pmod(F.xxhash64("node", i), F.lit(SIGNATURE)).cast("int")))
         t = large.select("node", "id").join(mins, "id").withColumn("c", coordinate)
@@ -300,6 +310,7 @@ def confirm_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     sizes = members.groupBy("label").agg(F.sum("n_shingles").alias("total"))
     m = members.join(sizes, "label").withColumn("blocks", F.ceil(F.col("total") / GROUP_SHINGLES))
     m = m.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")))
+    m = m if members.count() > BROADCAST_ROWS else F.broadcast(m)
     rows = docs.join(m, "doc_id")
     one = rows.where("blocks = 1").select(F.col("label").alias("task"), F.lit(0).alias("side"), "set_id", F.col("set_id").alias("now"), "text")
     links = staged(_confirmed(one), "confirmed")
