@@ -176,10 +176,10 @@ def _by_pivots(large: DataFrame, mins: DataFrame) -> tuple[DataFrame, DataFrame]
     """Links to the pivots of each node, and the paths that go on.
 
     A set within AGREE_NEAR of a pivot stops here: whatever is similar enough to it is within
-    AGREE_PIVOT of the same pivot, and is linked to that. A set is linked to its first pivot, and
+    AGREE_PIVOT of the same pivot, and is linked to that. A set is linked to its smallest pivot, and
     pivots that share a set to each other, once a task.
     """
-    order = F.xxhash64("node", "id")
+    order = F.xxhash64("id")  # the same pivots in every node, so that the same links come from all
     cut = large.select("node", (F.lit(2.0**64) * (PIVOTS / F.col("n")) - F.lit(2.0**63)).alias("cut")).distinct()
     t = large.select("node", "id").join(mins, "id")
     chosen = t.join(cut, "node").where(order <= F.col("cut")).groupBy("node").agg(F.collect_list(F.struct("id", "mins")).alias("pivots"))
@@ -192,7 +192,7 @@ def _by_pivots(large: DataFrame, mins: DataFrame) -> tuple[DataFrame, DataFrame]
             for node, i, m, pivots in zip(*columns, strict=True):
                 p = np.frombuffer(b"".join(x["mins"] for x in pivots or []), np.uint8).reshape(-1, SIGNATURE)
                 share = (p == np.frombuffer(m, np.uint8)).mean(axis=1)
-                hit = [pivots[j]["id"] for j in np.flatnonzero(share >= AGREE_PIVOT)]
+                hit = sorted(pivots[j]["id"] for j in np.flatnonzero(share >= AGREE_PIVOT))
                 new = [(hit[0], x) for x in hit[1:] if (node, hit[0], x) not in told]
                 told.update((node, *x) for x in new)
                 links = [x for x in ([(i, hit[0])] if hit else []) + new if x[0] != x[1]]
@@ -236,7 +236,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         star = e.join(low, "u")
         e = staged(star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), name)
@@ -250,7 +250,7 @@ _VERIFIED = "a binary, b binary"
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Confirms links on full sets in each task group; emits a spanning forest of them.
+    """Confirms links on full sets in each task group; emits a star for each component.
 
     Rows carry ``side``: groups of one block compare all rows, groups of two blocks only rows of
     different sides. ``now`` is the component known before; rows that share it are connected.
@@ -273,7 +273,6 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         mark = np.zeros(int(flat.max()) + 1, bool)
         cross = len(set(side.tolist())) > 1
-        a, b = [], []
         order = np.argsort(-sizes, kind="stable")
         for at, i in enumerate(order):
             left = order[at + 1 :]
@@ -292,9 +291,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for j in left[DENOMINATOR * both >= NUMERATOR * (sizes[left] + sizes[i] - both)]:
                 if group[j] != group[i]:
                     group[group == group[j]] = group[i]
-                    a.append(ids[i])
-                    b.append(ids[j])
-        if a:
+        pairs = [(ids[g], ids[j]) for j, g in enumerate(group) if j != g]
+        if pairs:
+            a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
@@ -302,8 +301,15 @@ def _confirmed(tasks: DataFrame) -> DataFrame:
     return tasks.select("task", "side", "set_id", "now", "text").repartition("task").sortWithinPartitions("task", "set_id").mapInArrow(_confirm, _VERIFIED)
 
 
+def _star_labels(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("b").alias("set_id"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("set_id"), F.col("a").alias("root")).distinct())
+
+
 def confirm_links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) of set ids, confirmed on full sets, that span the components of each group.
+    """(set_id, root): components of links that were confirmed on full sets, of two sets or more.
+
+    The stars of a group that is one task are its components; only groups of several blocks need
+    them joined.
 
     ``members``: doc_id, set_id, n_shingles and the candidate group of each class representative.
     """
@@ -315,8 +321,10 @@ def confirm_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     one = rows.where("blocks = 1").select(F.col("label").alias("task"), F.lit(0).alias("side"), "set_id", F.col("set_id").alias("now"), "text")
     links = staged(_confirmed(one), "confirmed")
     large = staged(m.where("blocks > 1").select("doc_id", "set_id", "label", "block", "blocks"), "large-groups")
+    done = _star_labels(links)
     if not large.take(1):
-        return links
+        return done
+    links = None
     now = large.withColumn("now", F.col("set_id"))
     for turn in ("first", "rest"):
         by_block = now.groupBy("label", "block").agg(F.min("now").alias("low"), F.max("now").alias("high"))
@@ -325,11 +333,12 @@ def confirm_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         pairs = pairs.where("i = 0" if turn == "first" else "i > 0").select("label", "i", F.col("block").alias("j"))
         pairs = pairs.select("label", F.xxhash64("label", "i", "j").alias("task"), F.explode(F.expr("if(i = j, array(struct(i as block, 0 as side)), array(struct(i as block, 0 as side), struct(j as block, 1 as side)))")).alias("s"))
         tasks = now.join(pairs.select("label", "task", "s.block", "s.side"), ["label", "block"]).join(docs, "doc_id")
-        links = links.unionByName(staged(_confirmed(tasks), "confirmed"))
+        more = staged(_confirmed(tasks), "confirmed")
+        links = more if links is None else links.unionByName(more)
         if turn == "first":
             known = components(links, "known").select(F.col("id").alias("set_id"), F.col("label").alias("known"))
             now = staged(large.join(known, "set_id", "left").withColumn("now", F.coalesce("known", "set_id")).drop("known"), "now")
-    return links
+    return done.unionByName(components(links, "linked").select(F.col("id").alias("set_id"), F.col("label").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -341,9 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(classes, "classes")
     groups = components(propose_links(classes), "candidates")
     members = staged(classes.join(groups, "id").select(F.col("id").alias("doc_id"), "set_id", "n_shingles", "label"), "members")
-    links = confirm_links(t.where("doc_id is not null"), members)
-    joined = components(links, "linked").select(F.col("id").alias("set_id"), F.col("label").alias("root"))
-    joined = members.select("set_id", "doc_id").join(joined, "set_id")
+    joined = members.select("set_id", "doc_id").join(confirm_links(t.where("doc_id is not null"), members), "set_id")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component"))
     joined = joined.join(least, "root").select("set_id", "component")
     changed = classes.join(joined, "set_id", "left").where("copies > 1 or component is not null").select("set_id", F.coalesce("component", "id").alias("component_id"))
