@@ -41,9 +41,9 @@ from kinweave.llm.shared import new_dir, pick, staged
 
 LENGTH, ROWS = 2048, 32
 END_ID = 2
-MANY, LONG = 500_000, 64
+MANY, LONG = 350_000, 64
 #: Bytes of text that are split at a time.
-PORTION = 8 << 20
+PORTION = 3 << 20
 #: A blank at the end or before white space (as Python or the tokenizer counts it), or odd control characters.
 UNEVEN = r"[\x1c-\x1f]| $| [\s\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 MANIFEST = "file string, first long, n_ids long, n_docs long"
