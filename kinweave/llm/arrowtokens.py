@@ -59,6 +59,9 @@ class Encoder:
     """Ids of whole texts as little-endian bytes, by the tokenizers library."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each task has one core; more threads would only spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
