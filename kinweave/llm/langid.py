@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.llm.shared import pick
 
@@ -71,17 +72,24 @@ class Classifier:
         return self.names[best], 1 - sizes[best] / min(others) if others else 1.0
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """(doc_id, text) and any further columns with lang_pred, score and accepted."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], prefix: str = "") -> DataFrame:
+    """Adds lang_pred, score and accepted, named with the prefix, to rows that have a ``text``.
+
+    A column of ``docs`` with one of these names is replaced.
+    """
+    names = [prefix + n for n in ("lang_pred", "score", "accepted")]
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names])
+    for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
+        schema = schema.add(name, kind)
+    columns = schema.names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         classify = Classifier(dictionaries)
         for batch in batches:
             found = [classify(t) for t in batch["text"]]
-            batch["lang_pred"], batch["score"] = [x for x, _ in found], [float(s) for _, s in found]
-            batch["accepted"] = (batch["lang_pred"] != UNKNOWN) & ((batch["score"] >= NARROW))
-            yield batch
+            batch[names[0]], batch[names[1]] = [x for x, _ in found], [float(s) for _, s in found]
+            batch[names[2]] = (batch[names[0]] != UNKNOWN) & (batch[names[1]] >= NARROW)
+            yield batch[columns]
 
     return docs.mapInPandas(run, schema)
 
