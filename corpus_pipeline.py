@@ -17,7 +17,7 @@ from kinweave.llm.shared import staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown or whose margin is narrow."""
     dictionaries = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, dictionaries).where("accepted").select(*docs.columns)
+    return langid.predict(docs, dictionaries, "_language_").where("_language_accepted").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
