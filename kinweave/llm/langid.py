@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,41 +72,34 @@ class Classifier:
         return self.names[best], 1 - sizes[best] / min(others) if others else 1.0
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], prefix: str = "") -> DataFrame:
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], prefix: str = "", drop_text: bool = False) -> DataFrame:
     """Adds lang_pred, score and accepted, named with the prefix, to rows that have a ``text``.
 
     A column of ``docs`` with one of these names is replaced.
     """
     names = [prefix + n for n in ("lang_pred", "score", "accepted")]
-    schema = T.StructType([f for f in docs.schema.fields if f.name not in names])
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in names and not (drop_text and f.name == "text")])
     for name, kind in zip(names, ("string", "double", "boolean"), strict=True):
         schema = schema.add(name, kind)
     columns = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(dictionaries)
         for batch in batches:
-            found = [classify(t) for t in batch["text"]]
-            batch[names[0]], batch[names[1]] = [x for x, _ in found], [float(s) for _, s in found]
-            batch[names[2]] = (batch[names[0]] != UNKNOWN) & (batch[names[1]] >= NARROW)
-            yield batch[columns]
+            added = _columns([classify(t.as_py()) for t in batch.column("text")])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns[:-3]], *added], names=columns)
 
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _columns(found: list[tuple[str, float]]) -> list[pa.Array]:
+    accepted = [lang != UNKNOWN and score >= NARROW for lang, score in found]
+    return [pa.array([x for x, _ in found], pa.string()), pa.array([float(s) for _, s in found], pa.float64()), pa.array(accepted, pa.bool_())]
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Learns from the labelled documents that are not held out; predicts every document."""
     t = pick(docs, doc_id="doc_id", text="text", lang="lang")
     dictionaries = learn(t.where(~held_out(F.col("doc_id"))))
-    slim = t.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classify = Classifier(dictionaries)
-        for batch in batches:
-            found = [classify(t) for t in batch["text"]]
-            out = batch[["doc_id", "held_out"]].copy()
-            out["lang_pred"], out["score"] = [x for x, _ in found], [float(s) for _, s in found]
-            out["accepted"] = (out["lang_pred"] != UNKNOWN) & (out["score"] >= NARROW)
-            yield out
-
-    return slim.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, accepted boolean")
+    slim = t.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
+    return predict(slim, dictionaries, drop_text=True)
