@@ -2,12 +2,15 @@
 
 Documents are summed to cells (source, language, topic) of token counts before anything else.
 The cell weights are raked, margin by margin, until source, language and topic have their target
-shares; a document's sampling rate is its cell's calibrated weight over its tokens, scaled so
-that the expected sample has the wanted share of all tokens, and never over 1. A seeded hash of
-the id decides, so the sample does not depend on partitions and can be repeated.
+shares. A document's sampling rate starts as its cell's calibrated weight over its tokens and is
+raked again as min(1, product of one factor a category) until the expected sample itself has the
+target shares. SHARE is the most of all tokens that is sampled: where the rarest category has
+too few tokens for it, the sample is smaller (LESS a step), never off its targets. ``margins``
+says of each target whether it is met; targets that contradict each other are not. A seeded hash
+of the id decides, so the sample does not depend on partitions and can be repeated.
 
 Only cells are iterated on, as distributed tables that each sweep writes to the shared folder;
-the driver sees single rows. Sampling is this operator's purpose; nothing else drops rows.
+the driver sees single rows. The bounded sweeps sum cells, not documents, by windows. Sampling is this operator's purpose; nothing else drops rows.
 
 Defined results: a null source or language counts as the empty one; a null or empty text has no
 tokens and topic ``prose``; cells without tokens keep rate 0 and their documents are not
@@ -17,13 +20,15 @@ id is sampled as the empty id; repeated rows share their id's decision; no rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.shared import pick, staged, words
 
 MARGINS = ("source", "lang", "topic")
 SWEEPS, SCALE_STEPS, SHARE, TEMPERATURE, SEED = 8, 6, 0.5, 0.5, "mix-1"
+#: Raking under the bound 1: relative error allowed, sweeps in all, before the share is lowered and a job, share of the bound tried first, lowering.
+TOLERANCE, BOUNDED_SWEEPS, PATIENCE, STRIDE, NEAR, LESS = 1e-3, 64, 16, 4, 0.95, 0.8
 #: Topics as (name, text that shows it), the first that fits.
 TOPICS = (("legal", "icense"), ("contact", "@"), ("table", " | "), ("code", "="))
 OTHER = "prose"
@@ -42,19 +47,29 @@ def keys(docs: DataFrame) -> dict[str, Column]:
     return {"source": F.coalesce(F.col("source"), none), "lang": F.coalesce(F.col("lang"), none), "topic": topic_of(F.coalesce("text", none)), "n_tokens": F.size(words(F.col("text"))).cast("long")}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
-    """Cells (source, lang, topic, tokens) with raked weights ``w`` that sum to all tokens.
+def goals(cells: DataFrame, targets: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The wanted share ``g`` of each category that has tokens, by margin; they need not sum to 1.
 
     ``targets`` maps a margin to (category, share); margins without one get the tokens' shares to
     the power TEMPERATURE, which lifts small categories.
     """
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     goal = {}
     for m in MARGINS:
         have = cells.where("tokens > 0").groupBy(m).agg(F.sum("tokens").cast("double").alias("n"))
         share = have.select(m, F.pow("n", F.lit(TEMPERATURE)).alias("g")) if m not in (targets or {}) else have.join(targets[m].select(F.col("category").alias(m), F.col("share").alias("g")), m)
         goal[m] = staged(share, f"goal-{m}")
-    scale = {m: float(goal[m].agg(F.sum("g")).first()[0] or 1) for m in MARGINS}
+    return goal
+
+
+def sums(goal: dict[str, DataFrame]) -> dict[str, float]:
+    return {m: float(goal[m].agg(F.sum("g")).first()[0] or 1) for m in MARGINS}
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, goal: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Cells (source, lang, topic, tokens) with raked weights ``w`` that sum to all tokens."""
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    goal = goal or goals(cells, targets)
+    scale = sums(goal)
     t = cells.withColumn("w", F.col("tokens").cast("double"))
     for _ in range(sweeps):
         for m in MARGINS:
@@ -65,17 +80,46 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     return t
 
 
-def rates(cells: DataFrame, share: float = SHARE) -> DataFrame:
-    """Sampling rate of each raked cell: min(1, s w / tokens), with s for the wanted token sum."""
-    t = cells.where("tokens > 0").withColumn("r", F.col("w") / F.col("tokens"))
-    wanted = share * float(t.agg(F.sum("tokens")).first()[0] or 0)
-    s = share
-    for _ in range(SCALE_STEPS):
-        full = F.col("r") * F.lit(s) >= 1
-        row = t.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0)).alias("full"), F.coalesce(F.sum(F.when(~full, F.col("w"))), F.lit(0.0)).alias("rest")).first()
-        if row["rest"] > 0:
-            s = (wanted - float(row["full"])) / row["rest"]
-    return t.select(*MARGINS, "tokens", "w", F.least(F.lit(1.0), F.col("r") * F.lit(s)).alias("rate"))
+def rates(cells: DataFrame, goal: dict[str, DataFrame], share: float = SHARE, sweeps: int = BOUNDED_SWEEPS) -> DataFrame:
+    """Sampling rate of each raked cell, in [0, 1], so that the expected sample has the target shares.
+
+    The share of all tokens is at most ``share`` and a little under what the scarcest category
+    allows; it is lowered while the margins do not settle.
+    """
+    t = cells.where("tokens > 0")
+    total, scale = float(t.agg(F.sum("tokens")).first()[0] or 0), sums(goal)
+    for m in MARGINS:
+        g = goal[m].select(m, (F.col("g") * F.lit(total / scale[m])).alias(f"g_{m}"))
+        t = t.join(g, m, "left").withColumn(f"g_{m}", F.coalesce(f"g_{m}", F.lit(0.0)))
+    t = staged(t.select(*MARGINS, "tokens", "w", *[f"g_{m}" for m in MARGINS]), "bounded")
+    for m in MARGINS:
+        bound = t.where(f"w > 0 and g_{m} > 0").groupBy(m).agg((F.sum("tokens") / F.first(f"g_{m}")).alias("b")).agg(F.min("b")).first()[0]
+        share = min(share, NEAR * bound) if bound else share
+    t = t.withColumn("q", F.col("w") / F.col("tokens") * F.lit(share))
+    for done in range(0, sweeps, STRIDE):
+        if done and done % PATIENCE == 0:
+            share, t = share * LESS, t.withColumn("q", F.least(F.lit(1.0), "q") * F.lit(LESS))
+        for _ in range(STRIDE):
+            t = t.withColumn("off", F.lit(0.0))
+            for m in MARGINS:
+                t = t.withColumn("got", F.sum(F.col("tokens") * F.least(F.lit(1.0), "q")).over(Window.partitionBy(m)))
+                t = t.withColumn("f", F.when(F.col("got") > 0, F.col(f"g_{m}") * F.lit(share) / F.col("got")).otherwise(F.lit(0.0)))
+                t = t.withColumns({"off": F.when(F.col("got") > 0, F.greatest("off", F.abs(F.col("f") - 1))).otherwise(F.col("off")), "q": F.col("q") * F.col("f")})
+        t = staged(t.drop("got", "f"), "bounded")
+        if (t.agg(F.max("off")).first()[0] or 0.0) < TOLERANCE:
+            break
+    return t.select(*MARGINS, "tokens", "w", F.least(F.lit(1.0), "q").alias("rate"))
+
+
+def margins(rate: DataFrame, goal: dict[str, DataFrame]) -> DataFrame:
+    """margin, category, target share, share of the expected sample, and whether the target is met."""
+    scale, out = sums(goal), None
+    total = float(rate.agg(F.sum(F.col("tokens") * F.col("rate"))).first()[0] or 1)
+    for m in MARGINS:
+        got = rate.groupBy(m).agg(F.sum(F.col("tokens") * F.col("rate")).alias("got"))
+        t = got.join(goal[m], m, "full").select(F.lit(m).alias("margin"), F.col(m).alias("category"), (F.coalesce("g", F.lit(0.0)) / F.lit(scale[m])).alias("target"), (F.coalesce("got", F.lit(0.0)) / F.lit(total)).alias("share"))
+        out = t if out is None else out.unionByName(t)
+    return out.withColumn("met", F.abs(F.col("share") - F.col("target")) <= 5 * TOLERANCE * F.col("target"))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -88,7 +132,8 @@ def sampling_table(docs: DataFrame, share: float = SHARE, targets: dict[str, Dat
     """The documents' margins and token counts, and the rate of each cell."""
     slim = staged(pick(docs, doc_id="doc_id", source="source", lang="lang", text="text").withColumns(keys(docs)).drop("text"), "margins")
     cells = staged(slim.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    return slim, rates(rake(cells, targets), share)
+    goal = goals(cells, targets)
+    return slim, rates(rake(cells, goal=goal), goal, share)
 
 
 def mix(docs: DataFrame, share: float = SHARE, targets: dict[str, DataFrame] | None = None) -> DataFrame:

@@ -78,6 +78,32 @@ def test_raking_meets_targets(spark):
     assert w["a"] == pytest.approx(550, rel=1e-6) and w["b"] == pytest.approx(550, rel=1e-6) and w.get("c", 0) == 0
 
 
+def test_sample_meets_targets(spark):
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    total = sum(r.n_tokens for r in rows)
+    sampled = sum(r.rate * r.n_tokens for r in rows)
+    assert all(0 <= r.rate <= 1 for r in rows) and 0 < sampled <= mixing.SHARE * total * 1.001
+    for m in mixing.MARGINS:
+        have, got = collections.Counter(), collections.Counter()
+        for r in rows:
+            have[r[m]] += r.n_tokens
+            got[r[m]] += r.rate * r.n_tokens
+        goal = {k: n**mixing.TEMPERATURE for k, n in have.items() if n}
+        for k, g in goal.items():
+            assert got[k] / sampled == pytest.approx(g / sum(goal.values()), rel=0.01), (m, k)
+
+
+def test_targets_that_contradict_are_named(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    share = lambda p, q: spark.createDataFrame([(p, 0.5), (q, 0.5)], "category string, share double")
+    odd = spark.createDataFrame([("x", 0.9), ("y", 0.1)], "category string, share double")
+    for lang, met in ((share("x", "y"), True), (odd, False)):
+        goal = mixing.goals(cells, {"source": share("a", "b"), "lang": lang})
+        rate = mixing.rates(mixing.rake(cells, sweeps=2, goal=goal), goal, sweeps=4)
+        verdict = {(r.margin, r.category): r.met for r in mixing.margins(rate, goal).collect()}
+        assert all(verdict.values()) == met and verdict[("topic", "t")]
+
+
 # 2 quality ------------------------------------------------------------------------------------
 
 
