@@ -98,8 +98,9 @@ def decomposition(scores: DataFrame, plain: str, loop: str, permuted: str, full:
 
 
 def decomposition_interval(scores: DataFrame, plain: str, loop: str, permuted: str, full: str, resamples: int, seed: int, least: int = 100) -> DataFrame:
-    """95 % interval of the value-semantics share: seeds of the arms are drawn together, the
-    permuted arm apart; only if enough draws have a usable margin."""
+    """95 % intervals of the three terms and of their shares of the margin: seeds of the arms are
+    drawn together, the permuted arm apart. Shares need enough draws with a margin that is not 0;
+    ``low`` and ``high`` are the value-semantics share."""
     t = clean(scores).where(F.col("arm").isin(plain, loop, permuted, full))
     lists = t.groupBy("dataset").agg(*[F.array_sort(F.collect_list(F.when(F.col("arm") == a, F.struct("seed", "variant", "value")))).alias(n) for n, a in (("p", plain), ("l", loop), ("m", permuted), ("f", full))])
     t = lists.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
@@ -111,11 +112,16 @@ def decomposition_interval(scores: DataFrame, plain: str, loop: str, permuted: s
 
         return F.aggregate(F.transform(F.sequence(F.lit(0), F.size(column) - 1), pick), F.lit(0.0), lambda a, x: a + x) / F.size(column)
 
-    t = t.select("dataset", mean("p", "arms").alias("p"), mean("m", "permuted").alias("m"), mean("f", "arms").alias("f")).withColumn("margin", F.col("f") - F.col("p"))
-    share = F.when(F.col("margin") > 1e-9, (F.col("f") - F.col("m")) / F.col("margin"))
-    t = t.withColumn("share", share).groupBy("dataset").agg(F.count("share").alias("usable"), F.percentile("share", F.lit(0.025)).alias("lo"), F.percentile("share", F.lit(0.975)).alias("hi"))
-    enough = F.col("usable") >= least
-    return t.select("dataset", "usable", F.round(F.when(enough, F.col("lo")), 6).alias("low"), F.round(F.when(enough, F.col("hi")), 6).alias("high"))
+    t = t.select("dataset", mean("p", "arms").alias("p"), mean("l", "arms").alias("l"), mean("m", "permuted").alias("m"), mean("f", "arms").alias("f")).withColumn("margin", F.col("f") - F.col("p"))
+    terms = {"architecture": ("l", "p"), "availability": ("m", "l"), "value_semantics": ("f", "m")}
+    t = t.withColumns({k: F.col(x) - F.col(y) for k, (x, y) in terms.items()})
+    usable = F.abs(F.col("margin")) > 1e-9
+    t = t.withColumns({f"{k}_share": F.when(usable, F.col(k) / F.col("margin")) for k in terms})
+    ends = {f"{c}_{end}": F.percentile(c, F.lit(q)) for k in terms for c in (k, f"{k}_share") for end, q in (("low", 0.025), ("high", 0.975))}
+    t = t.groupBy("dataset").agg(F.count(F.when(usable, 1)).alias("usable"), *[c.alias(k) for k, c in ends.items()])
+    out = {k: F.round(F.when(F.col("usable") >= least, F.col(k)) if "_share_" in k else F.col(k), 6) for k in ends}
+    out = {k.replace("value_semantics_share_", ""): c for k, c in out.items()}
+    return t.select("dataset", "usable", *[c.alias(k) for k, c in out.items()])
 
 
 def noise_threshold(scores: DataFrame, arm: str, permuted: str) -> DataFrame:

@@ -182,7 +182,7 @@ def w3_usable_fields(spark, sf):
 
 @query()
 def a17_permutation_null(spark, sf):
-    return presence.null_summary(presence.permutation_null(labelled_documents(spark, sf), DOC_FIELDS, 500, 42))
+    return presence.null_summary(presence.permutation_null(labelled_documents(spark, sf), DOC_FIELDS, 1000, 42))
 
 
 @query(f"""WITH {S.ENT}, s AS (SELECT avg(value) AS m, stddev_pop(value) AS d FROM ent WHERE split = 'train') SELECT id, round((value - m) / coalesce(nullif(d, 0), 1), 6) AS value FROM ent, s""")

@@ -13,6 +13,7 @@ from kinweave.sources.tables import RELATIONS, events, split_events
 
 REGISTERED: dict = {}
 ARMS = ("plain", "loop", "permuted", "full")
+RESAMPLES = 10_000
 
 
 def query(sql: str | None = None):
@@ -95,17 +96,17 @@ q AS (SELECT dataset, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_c
 
 @query(_boot("a"))
 def m6_paired_bootstrap(spark, sf):
-    return compare.bootstrap(compare.paired(by_seed(spark, sf), "full", "plain"), 400, 3)
+    return compare.bootstrap(compare.paired(by_seed(spark, sf), "full", "plain"), RESAMPLES, 3)
 
 
 @query(_boot("b"))
 def m7_unpaired_bootstrap(spark, sf):
-    return compare.bootstrap(compare.paired(by_seed(spark, sf), "full", "plain"), 400, 3, independent=True)
+    return compare.bootstrap(compare.paired(by_seed(spark, sf), "full", "plain"), RESAMPLES, 3, independent=True)
 
 
 @query()
 def m8_decomposition_interval(spark, sf):
-    return compare.decomposition_interval(scores(spark, sf), *ARMS, 400, 5)
+    return compare.decomposition_interval(scores(spark, sf), *ARMS, RESAMPLES, 5)
 
 
 @query(f"{SCORES} SELECT dataset, variant, round(avg(value), 6) AS value FROM ok WHERE arm = 'permuted' GROUP BY 1, 2 HAVING count(*) = 5")

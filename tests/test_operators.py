@@ -209,6 +209,22 @@ def test_unequal_seeds_drop_out(spark):
     assert {r.dataset for r in compare.paired(t, "p", "q").collect()} == {"x"}
 
 
+def test_decomposition_interval_of_a_negative_margin(spark):
+    value = {"plain": 0.8, "loop": 0.7, "permuted": 0.55, "full": 0.5}
+    t = spark.createDataFrame([("x", a, "v0", s, v) for a, v in value.items() for s in range(5)], "dataset string, arm string, variant string, seed int, value double")
+    r = compare.decomposition_interval(t, *value, 120, 5).first()
+    assert r.usable == 120 and r.low == r.high == pytest.approx(1 / 6, abs=1e-6)
+    assert r.architecture_low == pytest.approx(-0.1) and r.availability_high == pytest.approx(-0.15) and r.value_semantics_low == pytest.approx(-0.05)
+    assert r.architecture_share_low == pytest.approx(1 / 3, abs=1e-6) and r.availability_share_high == pytest.approx(0.5, abs=1e-6)
+
+
+def test_draws_are_those_of_the_reference(spark):
+    from kinweave.plans import registry
+
+    rows = registry.queries()["m8_decomposition_interval"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and max(r.usable for r in rows) > 9000
+
+
 def test_union_of_frames(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "y int")
     assert sorted(map(str, tables.union_frames([a, b]).collect())) == ["Row(x=1, y=None)", "Row(x=None, y=2)"]
