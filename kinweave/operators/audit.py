@@ -230,10 +230,10 @@ def feature_audit(df: DataFrame, features: list[str], rho_limit: float = 0.95) -
     return t.select("feature", F.round(F.col("n_distinct") / F.col("n"), 6).alias("unique_ratio"), "counter", F.round("rho", 6).alias("rho_time"), flags.alias("flags"))
 
 
-def component_sizes(components: DataFrame) -> DataFrame:
-    """Number of components, largest, median size and isolates."""
-    s = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    return s.agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"), F.percentile("size", F.lit(0.5)).alias("median_size"), _count(F.col("size") == 1).alias("isolates"))
+def component_sizes(components: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Number of components, largest, median size and isolates, of each group of ``keys``."""
+    s = components.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"))
+    return s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_components"), F.max("size").alias("largest"), F.percentile("size", F.lit(0.5)).alias("median_size"), _count(F.col("size") == 1).alias("isolates"))
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -183,3 +183,11 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         last = state
     found = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def components_by_relation(vertices: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
+    """(relation, id, component) of all vertices under each relation; one run, as the relation is part of the vertex."""
+    node = lambda c: F.struct(F.col("relation"), F.col(c).alias("id"))
+    v = vertices.select("id", F.explode(F.array(*map(F.lit, relations))).alias("relation")).select(node("id").alias("id"))
+    c = components(v, edges.select(node("src").alias("src"), node("dst").alias("dst")))
+    return c.select("id.relation", "id.id", F.col("component.id").alias("component"))

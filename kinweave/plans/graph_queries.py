@@ -220,13 +220,12 @@ COMPONENTS = f"WITH RECURSIVE {E_}, {S.ring('edges', S.long(('via_prop',), where
 @query(COMPONENTS + " SELECT * FROM c")
 def m19_components(spark, sf):
     t = split_events(spark, sf)
-    return graph.components(t, graph.build(t.where("split = 'test'"), ["via_prop"], S.BUDGET, S.SEED))
+    return graph.components_by_relation(t, edges_of(t), RELATIONS)
 
 
 @query(COMPONENTS + ", s AS (SELECT count(*) AS size FROM c GROUP BY component) SELECT count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, sum((size = 1)::INT)::BIGINT AS isolates FROM s")
 def m19_component_sizes(spark, sf):
-    t = split_events(spark, sf)
-    return audit.component_sizes(graph.components(t, graph.build(t.where("split = 'test'"), ["via_prop"], S.BUDGET, S.SEED)))
+    return audit.component_sizes(m19_components(spark, sf), ("relation",))
 
 
 @query(f"WITH {S.EDGES} SELECT relation, src AS id, count(*) AS degree FROM edges GROUP BY 1, 2")

@@ -225,6 +225,29 @@ def test_draws_are_those_of_the_reference(spark):
     assert rows and max(r.usable for r in rows) > 9000
 
 
+def test_components_of_all_rows_and_relations(spark):
+    from kinweave.plans import graph_queries as q
+
+    sf = "/root/testdata/sf0.001"
+    t = q.split_events(spark, sf)
+    ids = [r.id for r in t.select("id").collect()]
+    up = {(n, i): i for n in q.RELATIONS for i in ids}
+
+    def root(n, i):
+        while up[n, i] != i:
+            up[n, i] = i = up[n, up[n, i]]
+        return i
+
+    for e in q.edges_of(t).collect():
+        a, b = root(e.relation, e.src), root(e.relation, e.dst)
+        up[e.relation, max(a, b)] = min(a, b)
+    expected = {(n, i, root(n, i)) for n in q.RELATIONS for i in ids}
+    got = [(r.relation, r.id, r.component) for r in q.m19_components(spark, sf).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    sizes = audit.component_sizes(spark.createDataFrame(got, "relation string, id long, component long"), ("relation",)).collect()
+    assert {r.relation: r.n_components for r in sizes} == {n: len({c for m, _, c in expected if m == n}) for n in q.RELATIONS}
+
+
 def test_union_of_frames(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "y int")
     assert sorted(map(str, tables.union_frames([a, b]).collect())) == ["Row(x=1, y=None)", "Row(x=None, y=2)"]
