@@ -14,7 +14,8 @@ BROADCAST_SHINGLES shingles; beyond that the same joins shuffle slim (id, hash)
 
 Defined results: items and documents with fewer than five words have no shingle and match
 nothing; null texts are empty; rows that repeat an item_id are separate items under that id, rows
-that repeat a doc_id are searched separately and reported once; empty tables give no rows.
+that repeat a doc_id are searched separately and reported once; a null item_id or doc_id is an id like any
+other, for both sizes of the items; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def signatures(items: DataFrame) -> DataFrame:
     return t.select("item_id", "need", "n_item", F.floor(F.log2("n_item")).cast("int").alias("part"), sig.alias("sig"), "grams")
 
 
+def same(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Inner join on ``key`` in which null equals null."""
+    return a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+
 def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, n_item and n_found of each pair with enough of the item's shingles."""
     sig = signatures(items).persist()
@@ -71,8 +77,9 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
     else:
         pairs = hits.select("doc_id", "n_doc", "s").join(keys.drop("earlier"), "s").where("n_doc >= need")
         pairs = pairs.select("doc_id", "item_id").distinct()
-        pairs = pairs.join(t.select("doc_id", "w"), "doc_id").join(sig.select("item_id", "n_item", "need"), "item_id")
-    pairs = pairs.join(hint(sig.select("item_id", "grams", F.col("n_item").alias("n2"))), "item_id").where("n_item = n2").drop("n2")
+        pairs = same(pairs, t.select("doc_id", "w"), "doc_id")
+        pairs = same(pairs, sig.select("item_id", "n_item", "need"), "item_id")
+    pairs = same(pairs, hint(sig.select("item_id", "grams", F.col("n_item").alias("n2"))), "item_id").where("n_item = n2").drop("n2")
     found = pairs.withColumn("doc_grams", shingle_texts("w")).withColumn("n_found", F.size(F.array_intersect("grams", "doc_grams")).cast("long"))
     found = found.where(F.col("n_found") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
     return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_found").alias("n_found"))

@@ -188,6 +188,16 @@ def test_decontamination(spark, docs, items, empty, monkeypatch, bound):
     assert decontam.find(empty, items).count() == 0 and decontam.find(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_null_ids_are_found(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", bound)
+    text = "one two three four five six seven"
+    other = "alpha beta gamma delta epsilon zeta"
+    d = spark.createDataFrame([(None, text), (1, other), (2, "no shingle of any item is in here")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, text), (None, other)], "item_id long, text string")
+    assert {tuple(r) for r in decontam.find(d, items).collect()} == {(None, 7, 3, 3), (1, None, 2, 2)}
+
+
 # 5 token files --------------------------------------------------------------------------------
 
 
