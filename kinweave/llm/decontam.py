@@ -1,21 +1,28 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 Items and documents are sets of 5-word shingles. A fixed-length MinHash of a long document says
-nothing about a ten-shingle item, so the signature sits on the short side: an item of n shingles
-with threshold t keeps its n - ceil(t n) + 1 smallest hashes, and a document that contains t of
-the item must contain one of them (no probability involved). Items are partitioned by size; each
-partition knows its largest signature hash, and a document's sketch is its hashes up to the
-largest of those of the partitions whose items fit its size. A sketch hash that hits a signature
-makes a candidate; only the item's smallest signature hash in the sketch counts, so a pair
-appears once without a shuffle. Candidates are verified on the shingles themselves.
+nothing about a ten-shingle item, so the signature sits on the short side: an item of n shingles,
+of which a document must contain ``need`` (75 %), keeps its n - need + 1 smallest hashes, and a
+document that contains the item must have one of them. That is certain for items of up to 124
+shingles. Longer ones keep SIGNATURE = 32 hashes, which a document that contains the item misses
+with a chance under 0.25 ** 32 (5e-20). So a signature never grows with the item. Shingles that
+more than COMMON items share come last in the order, as they would select too much.
+
+Items are partitioned by size (powers of two). Each partition has a bitmap of its signatures'
+hashes. A document's sketch is its hashes that are set in the bitmap of a partition whose items
+fit its size; ``sketch_share`` says what share of all shingles that is. A sketch hash that equals a
+signature's makes a candidate. Only the item's first signature hash in the sketch counts, so a
+pair appears once without a shuffle. Candidates are verified on the shingles themselves.
 
 Signatures and item shingles are broadcast while all items together have at most
-BROADCAST_SHINGLES shingles; beyond that the same joins shuffle slim (id, hash) rows.
+BROADCAST_SHINGLES shingles; beyond that the same joins shuffle slim (row, hash) pairs, where the
+documents' rows of a frequent hash stay where they are (``spread_join``).
 
 Defined results: items and documents with fewer than five words have no shingle and match
-nothing; null texts are empty; rows that repeat an item_id are separate items under that id, rows
-that repeat a doc_id are searched separately and reported once; a null item_id or doc_id is an id like any
-other, for both sizes of the items; empty tables give no rows.
+nothing; null texts are empty; rows that repeat an item_id are separate items under that id and the
+one found with most shingles is reported (then the shorter one); rows that repeat a doc_id are
+searched and dropped separately and reported once; a null item_id or doc_id is an id like any other;
+all this holds for both sizes of the items; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,69 +30,119 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import ascii_lower, computed_once, pick, words
+from kinweave.llm.shared import ascii_lower, computed_once, pick, spread_join, staged, text_hash, without, words
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
+SIGNATURE, COMMON = 32, 16
 BROADCAST_SHINGLES = 500_000
+#: Bits of a bitmap for each hash of the largest partition, and its most bits.
+BITS_EACH, MOST_BITS = 64, 1 << 18
 
 
 def with_shingles(t: DataFrame) -> DataFrame:
     """Adds the words ``w`` and the distinct shingle hashes ``h`` of each text."""
     t = t.withColumn("w", words(ascii_lower(F.col("text"))))
     one = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(SHINGLE)])
-    each = F.when(F.size("w") >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), one)).otherwise(F.array().cast("array<long>"))
-    return t.withColumn("h", F.array_distinct(each))
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - SHINGLE), one)
+    return t.withColumn("h", F.array_distinct(F.when(F.size("w") >= SHINGLE, each).otherwise(F.array().cast("array<long>"))))
 
 
 def shingle_texts(w: str) -> Column:
     """The distinct shingles of an array of words, as texts."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
+    starts = F.sequence(F.lit(1), F.size(w) - SHINGLE + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, SHINGLE), " ")))
 
 
 def signatures(items: DataFrame) -> DataFrame:
-    """item_id, need, n_item, size partition, sorted signature and shingles of each item."""
+    """k (a number of its own), item_id, n_item, need, part (of size), sig and grams of each item.
+
+    The table is on the shared folder, so k does not change.
+    """
     t = computed_once(with_shingles(pick(items, item_id="item_id", text="text"))).where("size(h) > 0")
     t = t.withColumns({"grams": shingle_texts("w"), "n_item": F.size("h").cast("long")})
     t = t.withColumn("need", F.ceil(F.col("n_item") * NUMERATOR / DENOMINATOR))
-    sig = F.slice(F.array_sort("h"), F.lit(1), (F.col("n_item") - F.col("need") + 1).cast("int"))
-    return t.select("item_id", "need", "n_item", F.floor(F.log2("n_item")).cast("int").alias("part"), sig.alias("sig"), "grams")
-
-
-def same(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Inner join on ``key`` in which null equals null."""
-    return a.join(b.withColumnRenamed(key, "_key"), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
-
-
-def find(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_item and n_found of each pair with enough of the item's shingles."""
-    sig = signatures(items).persist()
-    parts = sig.groupBy("part").agg(F.max(F.array_max("sig")).alias("cut"), F.min("need").alias("need"), F.sum("n_item").alias("n")).orderBy("part").collect()
-    small = sum(p["n"] for p in parts) <= BROADCAST_SHINGLES
-    hint = F.broadcast if small else (lambda x: x)
-    keys = sig.select("item_id", "need", "n_item", F.posexplode("sig").alias("pos", "s"), "sig")
-    keys = keys.select("item_id", "need", "n_item", "s", F.expr("slice(sig, 1, pos)").alias("earlier"))
-    cut = F.lit(-(2**63)).cast("long")
-    for p in parts:  # at most one for each power of two
-        cut = F.greatest(cut, F.when(F.size("h") >= p["need"], F.lit(p["cut"])))
-    t = with_shingles(pick(docs, doc_id="doc_id", text="text")).drop("text").withColumn("cut", cut)
-    t = t.withColumn("sketch", F.filter("h", lambda x: x <= F.col("cut"))).withColumn("n_doc", F.size("h"))
+    t = staged(t.select(F.monotonically_increasing_id().alias("k"), "item_id", "n_item", "need", "grams", "h"), "items")
+    each = t.select("k", "n_item", "need", F.explode("h").alias("x"))
+    shared = each.groupBy("x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON).select("x", F.lit(1).alias("late"))
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(0)).alias("late"), "x")))
+    keep = F.least(F.first("n_item") - F.first("need") + 1, F.lit(SIGNATURE)).cast("int")
+    sig = each.join(shared, "x", "left").groupBy("k").agg(F.transform(F.slice(order, F.lit(1), keep), lambda s: s["x"]).alias("sig"))
+    part = F.floor(F.log2("n_item")).cast("int").alias("part")
+    return staged(t.drop("h").join(sig, "k").select("k", "item_id", "n_item", "need", part, "sig", "grams"), "signatures")
+
+
+def _bitmaps(sig: DataFrame) -> tuple[int, list[tuple[int, Column]]]:
+    """Number of bits, and least need and bitmap of each size partition, of which there are at most 64."""
+    s = sig.select("part", "need", F.explode("sig").alias("s"))
+    parts = s.groupBy("part").agg(F.min("need").alias("need"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    bits = 64
+    while bits < min(BITS_EACH * max((p["n"] for p in parts), default=0), MOST_BITS):
+        bits *= 2
+    at = F.pmod("s", F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    cells = s.groupBy("part", F.floor(at / 64).cast("int").alias("i")).agg(F.bit_or(bit).alias("b")).collect()
+    found = {(r["part"], r["i"]): r["b"] for r in cells}
+    text = lambda part: ",".join(str(found.get((part, i), 0)) for i in range(bits // 64))
+    return bits, [(p["need"], F.from_json(F.lit(f"[{text(p['part'])}]"), "array<bigint>")) for p in parts]
+
+
+def with_sketch(t: DataFrame, sig: DataFrame) -> DataFrame:
+    """Adds ``sketch``: the hashes of ``h`` that may be in a signature of an item that fits."""
+    bits, maps = _bitmaps(sig)
+
+    def may_be(x: Column) -> Column:
+        hit, at = F.lit(False), F.pmod(x, F.lit(bits)).cast("int")
+        for need, bitmap in maps:
+            bit = F.getbit(F.get(bitmap, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63)))
+            hit = hit | ((F.size("h") >= need) & (bit == 1))
+        return hit
+
+    return t.withColumn("sketch", F.filter("h", may_be))
+
+
+def sketch_share(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """One row: shingles of all documents, those in their sketches, and the share of these."""
+    t = with_sketch(with_shingles(pick(docs, text="text")), signatures(items)).select(F.size("h").alias("n"), F.size("sketch").alias("k"))
+    t = t.agg(F.sum("n").alias("n_shingles"), F.sum("k").alias("n_sketch"))
+    return t.withColumn("share", F.try_divide(F.col("n_sketch"), F.col("n_shingles")))
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, n_item and n_found of each row and item with enough shingles."""
+    sig = signatures(items)
+    small = int(sig.agg(F.sum("n_item")).first()[0] or 0) <= BROADCAST_SHINGLES
+    keys = sig.select("k", "need", F.posexplode("sig").alias("pos", "s"), "sig")
+    keys = keys.select("k", "need", "s", F.expr("slice(sig, 1, pos)").alias("earlier"))
+    rows = pick(docs, doc_id="doc_id", text="text").withColumn("text_hash", text_hash(F.col("text")))
+    t = with_sketch(with_shingles(rows).drop("text"), sig).withColumn("n_doc", F.size("h"))
+    grams = sig.select("k", "item_id", "n_item", "grams")
+    fits = (F.col("n_doc") >= F.col("need")) & ~F.arrays_overlap("sketch", "earlier")
     # The outer form, as a filter on the sketch's size would be pushed down and split texts again for every shingle.
-    hits = t.select("doc_id", "w", "n_doc", "sketch", F.explode_outer("sketch").alias("s"))
+    each = F.explode_outer("sketch").alias("s")
     if small:
-        pairs = hits.join(hint(keys), "s")
-        pairs = pairs.where("n_doc >= need").where(~F.arrays_overlap("sketch", "earlier")).select("doc_id", "w", "item_id", "n_item", "need")
+        hits = t.select("doc_id", "text_hash", "w", "n_doc", "sketch", each)
+        pairs = hits.join(F.broadcast(keys), "s").where(fits).select("doc_id", "text_hash", "w", "k").join(F.broadcast(grams), "k")
     else:
-        pairs = hits.select("doc_id", "n_doc", "s").join(keys.drop("earlier"), "s").where("n_doc >= need")
-        pairs = pairs.select("doc_id", "item_id").distinct()
-        pairs = same(pairs, t.select("doc_id", "w"), "doc_id")
-        pairs = same(pairs, sig.select("item_id", "n_item", "need"), "item_id")
-    pairs = same(pairs, hint(sig.select("item_id", "grams", F.col("n_item").alias("n2"))), "item_id").where("n_item = n2").drop("n2")
-    found = pairs.withColumn("doc_grams", shingle_texts("w")).withColumn("n_found", F.size(F.array_intersect("grams", "doc_grams")).cast("long"))
+        hits = staged(t.select("doc_id", "text_hash", "n_doc", "sketch", each).where("s is not null"), "sketches")
+        keyed = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n")).join(keys.groupBy("s").agg(F.collect_list(F.struct("k", "need", "earlier")).alias("items")), "s")
+        keyed = staged(keyed, "keyed")
+        pairs = spread_join(hits, keyed, "s", "n").withColumn("i", F.explode("items"))
+        pairs = pairs.select("doc_id", "text_hash", "n_doc", "sketch", "i.*").where(fits).select("doc_id", "text_hash", "k")
+        pairs = staged(pairs.distinct().withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "candidates")
+        same = pairs["_id"].eqNullSafe(t["doc_id"]) & (pairs["_hash"] == t["text_hash"])
+        pairs = t.select("doc_id", "text_hash", "w").join(pairs, same).select("doc_id", "text_hash", "w", "k").join(grams, "k")
+    found = pairs.withColumn("n_found", F.size(F.array_intersect("grams", shingle_texts("w"))).cast("long"))
     found = found.where(F.col("n_found") * DENOMINATOR >= F.col("n_item") * NUMERATOR)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.max("n_found").alias("n_found"))
+    return found.select("doc_id", "text_hash", "item_id", "n_item", "n_found")
+
+
+def find(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_item and n_found of each pair with enough of the item's shingles."""
+    best = F.max_by(F.struct("n_item", "n_found"), F.struct(F.col("n_found"), -F.col("n_item"))).alias("best")
+    return matches(docs, items).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_item", "best.n_found")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without a benchmark item, with all their columns."""
-    bad = find(docs, items).select(F.col("doc_id").alias("_contaminated")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_contaminated"], "left_anti")
+    """The rows that contain no benchmark item, with all their columns; whole texts are not shuffled
+    while few rows contain one."""
+    return without(docs, matches(docs, items))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, pii, quality, queries, warc
+from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, pii, quality, queries, shared, warc
 
 LONG = " ".join(f"w{i % 700}x{i // 700}" for i in range(30_000))
 TEXTS = [
@@ -189,13 +189,36 @@ def test_decontamination(spark, docs, items, empty, monkeypatch, bound):
 
 
 @pytest.mark.parametrize("bound", [0, 500_000])
-def test_null_ids_are_found(spark, monkeypatch, bound):
+def test_null_and_repeated_ids(spark, monkeypatch, bound):
+    """Only the rows that hold an item go, whatever other rows have their id."""
     monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", bound)
-    text = "one two three four five six seven"
-    other = "alpha beta gamma delta epsilon zeta"
-    d = spark.createDataFrame([(None, text), (1, other), (2, "no shingle of any item is in here")], "doc_id long, text string")
-    items = spark.createDataFrame([(7, text), (None, other)], "item_id long, text string")
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", bound)
+    text, other, clean = "one two three four five six seven", "alpha beta gamma delta epsilon zeta", "no shingle of any item is in here"
+    rows = [(None, text), (None, clean), (1, other), (1, clean), (2, clean), (3, None), (1, other)]
+    d = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, k string, w int")
+    items = spark.createDataFrame([(7, text, 0), (None, other, 0), (7, text + " eight", 0)], "item_id long, text string, doc_id int")
     assert {tuple(r) for r in decontam.find(d, items).collect()} == {(None, 7, 3, 3), (1, None, 2, 2)}
+    left = decontam.decontaminate(d, items)
+    assert left.columns == d.columns
+    assert sorted((tuple(r)[:2] for r in left.collect()), key=str) == sorted([(None, clean), (1, clean), (2, clean), (3, None)], key=str)
+
+
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_long_item(spark, monkeypatch, bound):
+    """An item of 100,000 shingles has a signature of the same length as any other."""
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", bound)
+    w = [f"v{i}" for i in range(100_004)]
+    d = [(1, " ".join(w)), (2, " ".join(w[:80_000])), (3, " ".join(w[:70_000])), (4, "v1 v2 v3 v4 v5 v6")]
+    items = spark.createDataFrame([(5, " ".join(w))], "item_id long, text string")
+    got = {tuple(r) for r in decontam.find(spark.createDataFrame(d, "doc_id long, text string"), items).collect()}
+    assert got == {(1, 5, 100_000, 100_000), (2, 5, 100_000, 79_996)}
+    assert max(len(r.sig) for r in decontam.signatures(items).collect()) == decontam.SIGNATURE
+
+
+def test_sketches_are_small(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    assert decontam.sketch_share(d, b).first().share < 0.1
 
 
 # 5 token files --------------------------------------------------------------------------------
@@ -227,6 +250,7 @@ def test_token_files_round_trip(spark, docs, empty, tmp_path):
 
 
 def plain_components(rows):
+    """(id, size, id of the group) of each row; null ids count last."""
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -235,35 +259,85 @@ def plain_components(rows):
             i = parent[i]
         return i
 
-    usable = [k for k, (i, _) in enumerate(rows) if i is not None and sets[k]]
+    usable = [k for k in range(len(rows)) if sets[k]]
     for a, b in itertools.combinations(usable, 2):
         both = len(sets[a] & sets[b])
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
             parent[find(a)] = find(b)
     least = {}
     for k in usable:
-        least[find(k)] = min(least.get(find(k), rows[k][0]), rows[k][0])
-    return [(i, len(s), None if i is None else least[find(k)] if k in usable else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+        ids = [x for x in (least.get(find(k)), rows[k][0]) if x is not None]
+        least[find(k)] = min(ids, default=None)
+    return [(i, len(s), least[find(k)] if k in usable else i) for k, ((i, _), s) in enumerate(zip(rows, sets, strict=True))]
+
+
+ORDER = lambda r: (r[0] is None, r[0] or 0, r[1])
 
 
 @pytest.mark.parametrize("small", [neardup.SMALL, 2])
 def test_near_duplicates(spark, docs, empty, monkeypatch, small):
-    """With tiny limits the large nodes and blocked groups are exercised too."""
+    """With tiny limits the large nodes, blocked groups, hot keys and shuffled joins are exercised too."""
     if small == 2:
         monkeypatch.setattr(neardup, "SMALL", 2)
         monkeypatch.setattr(neardup, "PIVOTS", 2)
         monkeypatch.setattr(neardup, "GROUP_SHINGLES", 60)
+        monkeypatch.setattr(neardup, "LARGE_GRAPH", 0)
+        monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(shared, "HOT_ROWS", 2)
+        monkeypatch.setattr(shared, "HOT_KEYS", 3)
     base = [f"t{i}" for i in range(40)]
     copies = [(100 + k, " ".join([*base[:k], f"changed{k}", *base[k + 1 :]])) for k in range(0, 40, 5)]
+    copies += [(None, copies[0][1]), (None, " ".join(base)), (None, "alone and without an id are these two words"), (100, copies[0][1])]
     more = spark.createDataFrame([(i, t, None, None, "", 0, "") for i, t in copies], DOCS)
-    key = lambda r: (r[0] is None, r[0] or 0, r[1])
-    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs.unionByName(more)).collect()), key=key)
-    assert got == sorted(plain_components([*TEXTS, *copies]), key=key)
-    assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in neardup.near_duplicates(docs).collect())
+    rows = neardup.near_duplicates(docs.unionByName(more)).collect()
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=ORDER)
+    assert got == sorted(plain_components([*TEXTS, *copies]), key=ORDER)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
     if small != 2:
         assert neardup.near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("bound", [shared.BROADCAST_ROWS, 0])
+def test_one_row_of_a_group_survives(spark, empty, monkeypatch, bound):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", bound)
+    t, u, v = "one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue white black grey"
+    near = " ".join(f"n{i}" for i in range(40))
+    rows = [(1, t), (10, t), (10, u), (None, t), (None, u), (None, v), (None, v), (7, near), (7, near + " end"), (8, ""), (8, ""), (9, None)]
+    d = spark.createDataFrame([(i, x, "k", 1) for i, x in rows], "doc_id long, text string, id string, h int").repartition(3)
+    left = neardup.survivors(d)
+    assert left.columns == d.columns
+    left = [tuple(r)[:2] for r in left.collect()]
+    seven = [x for x in left if x[0] == 7]
+    assert len(seven) == 1 and sorted((x for x in left if x[0] != 7), key=str) == sorted([(1, t), (10, u), (None, v), (8, ""), (8, ""), (9, None)], key=str)
+    assert neardup.survivors(empty).collect() == [] and neardup.survivors(empty).columns == empty.columns
+
+
+def test_recall_at_the_threshold(spark, monkeypatch):
+    """Pairs of a similarity of 0.75 to 0.80 among documents that share a third of their shingles, in
+    large nodes: all of 400 planted pairs are found, and nothing else."""
+    monkeypatch.setattr(neardup, "SMALL", 20)
+    rng = np.random.default_rng(5)
+    common, rows, links = [f"c{i}" for i in range(60)], [], 0
+    for k in range(400):
+        own = [f"w{k}x{i}" for i in range(120)]
+        at = int(rng.integers(20, 100))
+        change = int(rng.integers(20, 25))  # one block of changed words: a similarity of about 0.75 to 0.80
+        other = [*own[:at], *[f"y{k}x{i}" for i in range(min(change, 120 - at))], *own[at + change :]]
+        pair = [" ".join(common + own), " ".join(common + other)]
+        a, b = map(shingles, pair)
+        links += 100 * len(a & b) >= 75 * len(a | b)
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()), key=ORDER)
+    expected = []
+    for k in range(400):
+        a, b = shingles(rows[2 * k][1]), shingles(rows[2 * k + 1][1])
+        same = 100 * len(a & b) >= 75 * len(a | b)
+        expected += [(2 * k, len(a), 2 * k), (2 * k + 1, len(b), 2 * k if same else 2 * k + 1)]
+    assert links > 100 and got == sorted(expected, key=ORDER)
+
+
 # 7 personal data ------------------------------------------------------------------------------
 
 
