@@ -112,29 +112,30 @@ def _op6() -> str:
 
 
 def _op1() -> str:
-    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{sign}') THEN '{name}'" for name, sign in mixing.TOPICS) + f" ELSE '{mixing.OTHER}' END"
-    sql = f"""
-    WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, len({WORDS})::BIGINT AS n_tokens FROM documents),
-    w0 AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens)::DOUBLE AS w FROM d GROUP BY ALL HAVING sum(n_tokens) > 0),"""
-    for m in mixing.MARGINS:
-        sql += f"""
-    g_{m} AS MATERIALIZED (SELECT {m}, pow(sum(tokens), {mixing.TEMPERATURE}) AS g FROM w0 GROUP BY {m}),
-    h_{m} AS MATERIALIZED (SELECT {m}, g * (SELECT sum(tokens) FROM w0) / (SELECT sum(g) FROM g_{m}) AS g FROM g_{m}),"""
-    at = 0
-    for _ in range(mixing.SWEEPS):
-        for m in mixing.MARGINS:
-            at += 1
-            sql += f"""
-    w{at} AS MATERIALIZED (SELECT source, lang, topic, tokens, w * g / sum(w) OVER (PARTITION BY {m}) AS w FROM w{at - 1} JOIN h_{m} USING ({m})),"""
-    sql += f"""
-    s0 AS (SELECT {mixing.SHARE}::DOUBLE AS s),"""
-    for i in range(1, mixing.SCALE_STEPS + 1):
-        sql += f"""
-    s{i} AS MATERIALIZED (SELECT ({mixing.SHARE} * sum(tokens) - coalesce(sum(tokens) FILTER (w / tokens * s >= 1), 0)) / sum(w) FILTER (w / tokens * s < 1) AS s FROM w{at}, s{i - 1}),"""
-    return sql + f"""
-    r AS (SELECT source, lang, topic, least(1.0, w / tokens * s) AS rate FROM w{at}, s{mixing.SCALE_STEPS}),
-    u AS (SELECT *, (('0x' || substr(md5('{mixing.SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM d)
-    SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0.0), 6) AS rate, u < coalesce(rate, 0.0) AS kept FROM u LEFT JOIN r USING (source, lang, topic)"""
+    """The sweeps are a recursion over the table of cells."""
+    m = mixing
+    topic = "CASE " + " ".join(f"WHEN contains(coalesce(text, ''), '{sign}') THEN '{name}'" for name, sign in m.TOPICS) + f" ELSE '{m.OTHER}' END"
+    goals = ", ".join(f"""
+    g_{x} AS MATERIALIZED (SELECT {x}, have, pow(have, {m.TEMPERATURE}) * sum(have) OVER () / sum(pow(have, {m.TEMPERATURE})) OVER () AS g_{x}
+      FROM (SELECT {x}, sum(tokens)::DOUBLE AS have FROM c WHERE tokens > 0 GROUP BY {x}))""" for x in m.MARGINS)
+    bounds = " UNION ALL ".join(f"SELECT have / g_{x} AS b FROM g_{x} WHERE g_{x} > 0" for x in m.MARGINS)
+    keep = "source, lang, topic, tokens, g_source, g_lang, g_topic"
+    step = f"""(SELECT {keep}, n + 1 AS n, share * CASE WHEN low THEN {m.LESS} ELSE 1 END AS share, 0.0::DOUBLE AS off,
+        CASE WHEN low THEN least(1.0, q) * {m.LESS} ELSE q END AS q FROM (SELECT *, n > 0 AND n % {m.PATIENCE} = 0 AS low FROM r WHERE n < {m.SWEEPS} AND off >= {m.TOLERANCE}))"""
+    for x in m.MARGINS:
+        step = f"""(SELECT {keep}, n, share, greatest(off, CASE WHEN f > 0 THEN abs(f - 1) ELSE 0 END) AS off, q * f AS q FROM
+        (SELECT *, coalesce(g_{x} * share / nullif(sum(tokens * least(1.0, q)) OVER (PARTITION BY {x}), 0), 0) AS f FROM {step}))"""
+    return f"""
+    WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic, len({WORDS})::BIGINT AS n_tokens FROM documents),
+    c AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL), {goals},
+    s AS MATERIALIZED (SELECT least({m.SHARE}, {m.NEAR} * coalesce(min(b), 1e9)) AS share FROM ({bounds})),
+    b AS MATERIALIZED (SELECT {keep}, share FROM c JOIN (SELECT source, g_source FROM g_source) USING (source) JOIN (SELECT lang, g_lang FROM g_lang) USING (lang)
+      JOIN (SELECT topic, g_topic FROM g_topic) USING (topic), s WHERE tokens > 0),
+    r AS (SELECT {keep}, 0 AS n, share::DOUBLE AS share, 1.0::DOUBLE AS off, share::DOUBLE AS q FROM b
+      UNION ALL SELECT {keep}, n, share, max(off) OVER () AS off, q FROM {step}),
+    f AS (SELECT source, lang, topic, round(least(1.0, arg_max(q, n)), 6) AS rate FROM r GROUP BY ALL),
+    u AS (SELECT *, (('0x' || substr(md5('{m.SEED}|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE / {1 << 52}::DOUBLE AS u FROM d)
+    SELECT doc_id, source, lang, topic, n_tokens, coalesce(rate, 0.0) AS rate, u < coalesce(rate, 0.0) AS kept FROM u LEFT JOIN f USING (source, lang, topic)"""
 
 
 ORACLES = {

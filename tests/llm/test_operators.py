@@ -59,23 +59,50 @@ def shingles(text):
 # 1 mixing -------------------------------------------------------------------------------------
 
 
-def test_mixing_rates_and_margins(spark, docs, empty):
+def test_mixing_edge_cases(spark, docs, empty):
+    """Null source, language, text and id; clashing columns; repeated rows; no rows."""
     rows = mixing.mix(docs).collect()
-    assert len(rows) == len(TEXTS)
-    by_id = {(r.doc_id, r.n_tokens): r for r in rows}
-    assert by_id[(4, 0)].rate == 0 or by_id[(4, 0)].n_tokens == 0
-    assert all(0 <= r.rate <= 1 for r in rows)
+    assert len(rows) == len(TEXTS) and all(0 <= r.rate <= 1 for r in rows)
+    assert all(r.topic == "prose" for r in rows if r.n_tokens == 0)
+    assert sorted(r.n_tokens for r in rows) == sorted(len(word_list(t)) for _, t in TEXTS)
+    for r in rows:
+        draw = int(hashlib.md5(f"{mixing.SEED}|{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        assert r.kept == (draw < r.rate)
     assert mixing.mix(empty).count() == 0
     assert mixing.sample(empty).columns == empty.columns and mixing.sample(empty).count() == 0
-    kept = {r.doc_id for r in rows if r.kept}
-    assert {r.doc_id for r in mixing.sample(docs).collect()} == kept
+    kept = sorted((str(r.doc_id) for r in rows if r.kept))
+    assert sorted(str(r.doc_id) for r in mixing.sample(docs).collect()) == kept
+
+
+CELLS = "source string, lang string, topic string, tokens long"
+
+
+def cell_table(spark, rows):
+    return spark.createDataFrame(rows, CELLS).withColumns({"cell": F.struct("source", "lang", "topic"), "n": F.lit(1)})
 
 
-def test_raking_meets_targets(spark):
-    cells = spark.createDataFrame([("a", "x", "t", 900), ("a", "y", "t", 100), ("b", "x", "t", 50), ("b", "y", "t", 50), ("c", "y", "t", 0)], "source string, lang string, topic string, tokens long")
+@pytest.mark.parametrize("most", [mixing.MOST_CELLS, 0])
+def test_raking_meets_targets(spark, monkeypatch, most):
+    """In one row and in tables."""
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    cells = cell_table(spark, [("a", "x", "t", 900), ("a", "y", "t", 100), ("b", "x", "t", 50), ("b", "y", "t", 50), ("c", "y", "t", 0)])
     target = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "category string, share double")}
-    w = mixing.rake(cells, target, 30).toPandas().groupby("source").w.sum()
-    assert w["a"] == pytest.approx(550, rel=1e-6) and w["b"] == pytest.approx(550, rel=1e-6) and w.get("c", 0) == 0
+    goal = mixing.goals(cells, target)
+    rate = mixing.rates(cells, goal).toPandas()
+    w = rate.groupby("source").weight.sum()
+    assert w["a"] == pytest.approx(w["b"], rel=1e-2) and w["c"] == 0 and len(rate) == 5 and rate.rate.between(0, 1).all()
+    assert w.sum() <= mixing.SHARE * 1100 and w.sum() > 0.5 * 190
+
+
+def test_one_row_and_tables_agree(spark, monkeypatch):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    cells = mixing.cells_of(mixing.measured(d))
+    goal = mixing.goals(cells)
+    key = lambda t: {tuple(r.cell): r.rate for r in t.collect()}
+    one = key(mixing.rates(cells, goal, sweeps=6))
+    monkeypatch.setattr(mixing, "MOST_CELLS", 0)
+    other = key(mixing.rates(cells, goal, sweeps=6))
+    assert one.keys() == other.keys() and all(one[k] == pytest.approx(other[k], abs=2e-6) for k in one)
 
 
 def test_sample_meets_targets(spark):
@@ -93,14 +120,18 @@ def test_sample_meets_targets(spark):
             assert got[k] / sampled == pytest.approx(g / sum(goal.values()), rel=0.01), (m, k)
 
 
+def test_given_topics(spark):
+    d = spark.createDataFrame([(i, "w " * 50, "s", "en", "ab"[i % 2]) for i in range(20)], "doc_id long, text string, source string, lang string, about string")
+    assert {r.topic for r in mixing.mix(d, topic="about").collect()} == {"a", "b"}
+
+
 def test_targets_that_contradict_are_named(spark):
-    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    cells = cell_table(spark, [("a", "x", "t", 100), ("b", "y", "t", 100)])
     share = lambda p, q: spark.createDataFrame([(p, 0.5), (q, 0.5)], "category string, share double")
     odd = spark.createDataFrame([("x", 0.9), ("y", 0.1)], "category string, share double")
     for lang, met in ((share("x", "y"), True), (odd, False)):
         goal = mixing.goals(cells, {"source": share("a", "b"), "lang": lang})
-        rate = mixing.rates(mixing.rake(cells, sweeps=2, goal=goal), goal, sweeps=4)
-        verdict = {(r.margin, r.category): r.met for r in mixing.margins(rate, goal).collect()}
+        verdict = {(r.margin, r.category): r.met for r in mixing.margins(mixing.rates(cells, goal, sweeps=4), goal).collect()}
         assert all(verdict.values()) == met and verdict[("topic", "t")]
 
 
