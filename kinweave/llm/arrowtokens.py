@@ -8,9 +8,14 @@ document). As all batches have one size, sequence k lies at a computed offset an
 without copying (``read_sequence``). A second stream after it lists the documents, and the last
 16 bytes say where the streams begin, so each file is complete in itself.
 
-Only pieces between white space are encoded by the tokenizer; as its own pre-tokenizer always
-splits there, ids are those of the whole text. Known pieces are looked up. Memory is bounded by
-one Arrow batch of documents, the lookup table (MANY pieces) and one batch of sequences.
+Only pieces between blanks are encoded by the tokenizer; as its own pre-tokenizer always splits
+there, ids are those of the whole text. Known pieces are looked up; new ones are encoded together,
+parted by line feeds, and the whole text is encoded where it holds an added token of the tokenizer
+(like ``<|endoftext|>``), which the library then reads as that token.
+
+The number of files follows from the bytes and documents of the table (FILE_BYTES, FILE_DOCS). A
+task's memory is bounded by one Arrow batch of documents, the lookup table (MANY pieces), one batch of
+sequences, and the list of its file's documents (24 bytes each).
 
 Files go to the shared folder under the attempt's own name; the manifest of the attempts that
 count is a table there. Offsets over all files come from the manifest's sums (one row a file).
@@ -22,6 +27,7 @@ no files.
 
 from __future__ import annotations
 
+import itertools
 import re
 import struct
 import sys
@@ -41,7 +47,15 @@ from kinweave.llm.shared import new_dir, pick, staged
 
 LENGTH, ROWS = 2048, 32
 END_ID = 2
-MANY, LONG = 350_000, 64
+MANY, LONG = 500_000, 64
+#: Letters of the Latin script, all white space, as character classes; the mark of cuts.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SPACES = r"\s\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x01"
+CUT = "\x01"
+#: New pieces that are encoded as one text.
+TOGETHER = 2_000
+#: Text and documents of a file, at most about.
+FILE_BYTES, FILE_DOCS = 64 << 20, 500_000
 #: Bytes of text that are split at a time.
 PORTION = 3 << 20
 #: A blank at the end or before white space (as Python or the tokenizer counts it), or odd control characters.
@@ -56,7 +70,7 @@ def worker_cache() -> dict:
 
 
 class Encoder:
-    """Ids of whole texts as little-endian bytes, by the tokenizers library."""
+    """Ids of whole texts, by the tokenizers library."""
 
     def __init__(self, path: str):
         import os
@@ -65,44 +79,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
         self.pieces = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-        #: Characters that Python counts as white space and the tokenizer does not.
-        self.odd = re.compile("[\x1c-\x1f]").search
+        #: Texts with the mark of cuts, with what Python counts as white space and the tokenizer does
+        #: not, or with an added token are encoded whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join([f"[{CUT}\x1c-\x1f]", *added])
+        self.feed = self._ids(["\n"])[0]
+        self.plain = re.compile(r" ?\S+").fullmatch
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = "HI"[self.dtype.itemsize // 4]
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space but for a blank before them: encoded as one text, with a
+        line feed, which is a token of its own, between them."""
+        out, width = [], self.dtype.itemsize
+        parts = [pieces[i : i + TOGETHER] for i in range(0, len(pieces), TOGETHER)]
+        texts = ["\n".join(x) for x in parts]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            cuts = np.flatnonzero(ids == np.frombuffer(self.feed, self.dtype)[0])
+            if len(self.feed) != width or len(cuts) != len(part) - 1:
+                out += self._ids(part)
+                continue
+            raw, ends = ids.tobytes(), [*(cuts * width).tolist(), len(ids) * width]
+            out += [raw[i:j] for i, j in zip([0, *(cuts * width + width).tolist()], ends, strict=True)]
+        return out
+
     def _lookup(self, pieces: list[str]) -> list[bytes]:
-        new = list(set(pieces) - self.known.keys())
-        self.known.update(zip(new, self._ids(new), strict=True))
-        found = list(map(self.known.__getitem__, pieces))
-        # The table keeps what came first, which holds the frequent pieces; long ones never stay.
-        for p in new if len(self.known) > MANY else [p for p in new if len(p) > LONG]:
-            del self.known[p]
+        """Ids of pieces, each of which the tokenizer parts from what is around it."""
+        found = list(map(self.known.get, pieces))
+        missing = {pieces[i] for i, x in enumerate(found) if x is None}
+        if missing:
+            plain = list(filter(self.plain, missing))
+            new = dict(zip(plain, self._together(plain), strict=True))
+            if len(plain) < len(missing):
+                other = list(missing - new.keys())
+                new.update(zip(other, self._ids(other), strict=True))
+            found = [new[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
+            # The table keeps what came first, which holds the frequent pieces; long ones never stay.
+            room = MANY - len(self.known)
+            if room > 0:
+                self.known.update([x for x in new.items() if len(x[0]) <= LONG][:room])
         return found
 
     def _even(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of texts in which each blank stands before a character that is no white space.
 
-        All pieces but the first of a text begin with the blank before them; equal pieces are
-        found by Arrow and looked up once.
+        They are cut before blanks, between a letter and a comma or full stop, and around single line
+        feeds, all of which are bounds of the tokenizer's own pieces. Equal pieces are found by Arrow
+        and looked up once.
         """
-        cut = pc.split_pattern(texts, " ")
+        cut = pc.replace_substring(texts, " ", CUT + " ")
+        cut = pc.replace_substring_regex(cut, f"([{LETTERS}])([.,])", f"\\1{CUT}\\2")
+        cut = pc.replace_substring_regex(cut, f"([^{SPACES}])\n([^{SPACES}])", f"\\1{CUT}\n{CUT}\\2")
+        cut = pc.split_pattern(cut, CUT)
         starts = np.asarray(cut.offsets)
         coded = cut.flatten().dictionary_encode()
-        which = coded.indices.to_numpy().astype(np.int64)
-        firsts = starts[:-1] - starts[0]
-        table = self._lookup([" " + p for p in coded.dictionary.to_pylist()] + cut.flatten().take(pa.array(firsts)).to_pylist())
-        which[firsts] = len(coded.dictionary) + np.arange(len(texts))
+        which = coded.indices.to_numpy()
+        table = self._lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype.itemsize
-        begins = np.concatenate(([0], np.cumsum(sizes)))
+        begins = np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(table), self.dtype)[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1])]
+        flat = np.frombuffer(b"".join(table), self.dtype)
+        flat = flat[np.repeat(begins[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate(([0], ends))[starts - starts[0]]
         for i, j in zip(bounds, bounds[1:], strict=False):
             yield flat[i:j]
@@ -113,12 +157,13 @@ class Encoder:
         cuts = [0, *np.flatnonzero(np.diff(size // PORTION)) + 1, len(texts)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             some = texts.slice(i, j - i)
-            odd = pc.match_substring_regex(some, UNEVEN)
+            whole = pc.match_substring_regex(some, self.whole)
+            odd = pc.or_(whole, pc.match_substring_regex(some, UNEVEN))
             even = self._even(some.filter(pc.invert(odd)))
-            for k, other in enumerate(odd.to_pylist()):
+            for k, (other, all_of_it) in enumerate(zip(odd.to_pylist(), whole.to_pylist(), strict=True)):
                 if other:
                     t = some[k].as_py()
-                    yield np.frombuffer(b"".join(self._lookup([t] if self.odd(t) else self.pieces(t))), self.dtype)
+                    yield np.frombuffer(b"".join(self._ids([t]) if all_of_it else self._lookup(self.pieces(t))), self.dtype)
                 else:
                     yield next(even)
 
@@ -146,10 +191,15 @@ class TokenFile:
         self.stream = pa.ipc.new_stream(out, self.schema)
         self.ids, self.held, self.n = [], 0, 0
         self.begins: list[int] = []
-        self.docs: list[tuple] = []
+        #: Ids (0 for null, of which ``nulls`` tells), places and lengths of the documents.
+        self.docs, self.nulls, self.first = (array("q"), array("q"), array("q")), array("b"), None
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        self.docs.append((doc_id, self.n, len(ids)))
+        if not self.docs[0]:
+            self.first = doc_id
+        for column, x in zip(self.docs, (doc_id or 0, self.n, len(ids)), strict=True):
+            column.append(x)
+        self.nulls.append(doc_id is None)
         self.begins.append(self.held)
         self.ids.append(ids)
         self.held += len(ids)
@@ -176,9 +226,11 @@ class TokenFile:
             self._write(last=True)
         self.stream.close()
         at = self.out.tell()
-        doc_id, starts, n = zip(*self.docs, strict=True) if self.docs else ((), (), ())
+        columns = [np.frombuffer(x, np.int64) for x in self.docs]
+        columns = [pa.array(columns[0], mask=np.frombuffer(self.nulls, bool)), *map(pa.array, columns[1:])]
         with pa.ipc.new_stream(self.out, DOCS) as s:
-            s.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, starts, n)], schema=DOCS))
+            for i in range(0, len(columns[0]), 1 << 16):
+                s.write_batch(pa.RecordBatch.from_arrays([x.slice(i, 1 << 16) for x in columns], schema=DOCS))
         self.out.write(struct.pack("<QQ", at, self.n))
 
 
@@ -204,10 +256,14 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         if file is not None:
             file.close()
             out.close()
-            first = [file.docs[0][0]]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array(first, pa.int64()), pa.array([file.n], pa.int64()), pa.array([len(file.docs)], pa.int64())], names=["file", "first", "n_ids", "n_docs"])
-
-    t = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+            first = [file.first]
+            row = [pa.array([name]), *(pa.array(x, pa.int64()) for x in (first, [file.n], [len(file.docs[1])]))]
+            yield pa.RecordBatch.from_arrays(row, names=["file", "first", "n_ids", "n_docs"])
+
+    size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
+    n_bytes, most = size["bytes"] or 0, 3 * docs.sparkSession.sparkContext.defaultParallelism
+    files = max(1, -(-n_bytes // FILE_BYTES), -(-size["docs"] // FILE_DOCS), min(most, -(-n_bytes // (FILE_BYTES >> 4))))
+    t = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(t.mapInArrow(write, MANIFEST), "token-manifest")
 
 
@@ -220,7 +276,8 @@ def read_documents(source) -> Iterator[tuple]:
     source.seek(0)
     held, at = np.empty(0, np.uint16), 0
     batches = iter(pa.ipc.open_stream(source))
-    for doc_id, begin, length in zip(*(docs.column(i).to_pylist() for i in range(3)), strict=True):
+    each = (row for part in docs.to_batches() for row in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True))
+    for doc_id, begin, length in each:
         parts, have = [held], len(held)
         while have < length:
             batch = next(batches)
@@ -258,8 +315,10 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 with system.open_input_file(f"{at}/{name}") as source:
-                    rows = [(d, start + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, a, ids in read_documents(source)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    rows = ((d, start + a, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for d, a, ids in read_documents(source))
+                    while some := list(itertools.islice(rows, 10_000)):
+                        columns = [pa.array(x, pa.int64()) for x in zip(*some, strict=True)]
+                        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     t = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))

@@ -255,17 +255,20 @@ def test_sketches_are_small(spark):
 # 5 token files --------------------------------------------------------------------------------
 
 
+ODD_TEXT = "a  b \n c\u00a0 d <|endoftext|>\x1c e "
+MORE_TEXTS = [ODD_TEXT, "hello <|endoftext|> x", "one\ntwo\n\nthree four\n five\n", "\n\n", " a\nb it's\n's x", "tail \r\n\t z", "é\n" * 50 + "x" * 200, "a\x01b, c", "a.b,c... d.\"e\" f\n,g ,h .\ni", "x\n\u00a0\u00a0y\nz\u2028\n w", "\ufb03,a \u0250. b"]
+
+
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
-    tokenizer.encode_special_tokens = True
     folder = f"file://{tmp_path}/tokens"
-    more = spark.createDataFrame([(-5, "a  b \n c\u00a0 d <|endoftext|>\x1c e ", None, None, "", 0, "")], DOCS)
+    more = spark.createDataFrame([(-5 - k, t, None, None, "", 0, "") for k, t in enumerate(MORE_TEXTS)], DOCS)
     manifest, rows = arrowtokens.encode_documents(spark, docs.unionByName(more), queries.tokenizer_path(), folder)
     got = [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in rows.orderBy("start").collect()]
     expected, at = [], 0
-    texts = [*TEXTS, (-5, "a  b \n c\u00a0 d <|endoftext|>\x1c e ")]
+    texts = [*TEXTS, *[(-5 - k, t) for k, t in enumerate(MORE_TEXTS)]]
     for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
         expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
