@@ -6,6 +6,13 @@ to host; its strength on each level is estimated by moments from the groups of t
 A host is blocked if the lower posterior bound of its rate of bad pages is over a limit.
 Hosts without labels take their domain's posterior. Only blocked hosts are joined to pages.
 
+The registered domain is one label more than the public suffix. That is the longest entry of
+``suffixes`` (a parameter; PUBLIC_SUFFIXES has only the most common ones of two labels) or else the
+last label. A host's port counts as part of the host for rules, and not for reputation; a host of
+digits and dots is a domain and suffix of its own.
+
+Hot suffixes, domains and hosts are joined by broadcast (``spread_join``), so their rows stay dealt.
+
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule
 and has no reputation (allow); outcomes of unknown pages count nowhere; if a page has several
 outcomes, each counts; repeated pages are judged separately; an empty table gives no rows.
@@ -16,11 +23,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import ascii_lower, pick
+from kinweave.llm.shared import ascii_lower, pick, spread_join, staged
 
 #: Rules of the registered query as (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 MAX_RULES = 1000
+#: Public suffixes of two labels, fixed values; more are given as a parameter.
+PUBLIC_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr",
+    "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.za", "com.ar",
+)
 #: A host is blocked if mean - Z * deviation of its posterior is over LIMIT.
 Z, LIMIT = 1.645, 0.5
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
@@ -55,35 +67,59 @@ def _strength(groups: DataFrame, level: str) -> DataFrame:
     return s.select(F.coalesce(m, F.lit(0.0)).alias("m"), strength.alias("k"))
 
 
-def host_reputation(outcomes: DataFrame) -> DataFrame:
+def suffix_of(host: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """The public suffix of a host without its port; the host itself if it is an address."""
+    last = lambda n: F.array_join(F.slice(F.split(host, r"\."), F.greatest(F.size(F.split(host, r"\.")) - n + 1, F.lit(1)), n), ".")
+    found = last(1)
+    for n in sorted({x.count(".") + 1 for x in suffixes}):
+        found = F.when(last(n).isin(*[x for x in suffixes if x.count(".") + 1 == n]), last(n)).otherwise(found)
+    return F.when(host.rlike(r"^[0-9.]*$"), host).otherwise(found)
+
+
+def domain_of(host: Column, suffix: Column) -> Column:
+    """The registered domain: one label more than the suffix, if the host has one."""
+    rest = F.substring(host, F.lit(1), F.length(host) - F.length(suffix) - 1)
+    label = F.element_at(F.split(rest, r"\."), -1)
+    return F.when(F.length(host) <= F.length(suffix) + 1, host).otherwise(F.concat_ws(".", label, suffix))
+
+
+def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
     """From (host, n, bad), one row a host, its posterior: rate, deviation and lower bound.
 
     Every level is a sum of the level below; the three prior strengths are single rows.
     """
-    label = F.split("host", r"\.")
-    t = outcomes.withColumns({"suffix": F.element_at(label, -1), "domain": F.array_join(F.slice(label, F.greatest(F.size(label) - 1, F.lit(1)), 2), ".")})
+    t = outcomes.withColumn("suffix", suffix_of(F.col("host"), suffixes))
+    t = staged(t.withColumn("domain", domain_of(F.col("host"), F.col("suffix"))), "hosts")
     prior = {level: _strength(t, level).first() for level in ("suffix", "domain", "host")}
     blend = lambda n, bad, mean, k: (F.col(bad) + F.lit(k) * mean) / (F.col(n) + F.lit(k))
-    suffixes = t.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("bad").alias("sb"))
-    suffixes = suffixes.select("suffix", blend("sn", "sb", F.lit(prior["suffix"].m or 0.0), prior["suffix"].k or MOST_STRENGTH).alias("smean"))
-    domains = t.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")).join(suffixes, "suffix")
-    domains = domains.select("domain", blend("dn", "db", F.col("smean"), prior["domain"].k or MOST_STRENGTH).alias("dmean"))
+    rows, total = F.count(F.lit(1)).alias("rows"), t.count()
+    domains = staged(t.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"), rows), "domains")
+    levels = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"), F.count(F.lit(1)).alias("domains"))
+    mean = blend("sn", "sb", F.lit(prior["suffix"].m or 0.0), prior["suffix"].k or MOST_STRENGTH).alias("smean")
+    levels = staged(levels.select("suffix", mean, "domains"), "suffixes")
+    domains = spread_join(domains, levels, "suffix", "domains", total=total)
+    mean = blend("dn", "db", F.col("smean"), prior["domain"].k or MOST_STRENGTH).alias("dmean")
+    domains = staged(domains.select("domain", mean, "rows"), "domain-rates")
     k = F.lit(prior["host"].k or MOST_STRENGTH)
-    t = t.join(domains, "domain").withColumn("rate", (F.col("bad") + k * F.col("dmean")) / (F.col("n") + k))
+    t = spread_join(t, domains, "domain", "rows", total=total).withColumn("rate", (F.col("bad") + k * F.col("dmean")) / (F.col("n") + k))
     t = t.withColumn("deviation", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k + 1)))
     return t.select("host", "n", "bad", "rate", "deviation", (F.col("rate") - F.lit(Z) * F.col("deviation")).alias("lower_bound"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule and verdict of each page.
 
     ``outcomes`` has page_id and bad (0 or 1). They are joined to the pages' ids and hosts by
     page_id, which repeats no key often.
     """
     p = with_parts(pick(pages, page_id="page_id", url="url")).drop("url")
+    p = staged(p.withColumn("_site", F.nullif(F.regexp_replace("host", ":[0-9]*$", ""), F.lit(""))), "parts")
     seen = pick(outcomes, page_id="page_id", bad="bad").where("page_id is not null and bad is not null")
-    counted = p.where("host <> ''").join(seen, "page_id", "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
-    poor = host_reputation(counted).where(F.col("lower_bound") > limit).select("host", F.lit("block").alias("by_host"))
+    counted = p.where("_site is not null").join(seen, "page_id", "left").groupBy(F.col("_site").alias("host"))
+    counted = staged(counted.agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("_n")), "outcomes")
+    poor = host_reputation(counted, suffixes).where(F.col("lower_bound") > limit).select("host")
+    poor = poor.join(counted.select("host", "_n"), "host").select(F.col("host").alias("_site"), F.lit("block").alias("by_host"), "_n")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    t = p.join(poor, "host", "left").withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("by_host"), F.lit("allow"))})
+    t = spread_join(p, staged(poor, "blocked"), "_site", "_n", "left")
+    t = t.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("by_host"), F.lit("allow"))})
     return t.select("page_id", "host", "path", "rule", "verdict")

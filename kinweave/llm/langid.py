@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.shared import pick
+from kinweave.llm.shared import BROADCAST_ROWS, pick, staged
 
 SAMPLES, SAMPLE_CHARS = 64, 2048
 CHUNK, LEVEL = 2048, 5
@@ -37,11 +37,17 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(labelled: DataFrame) -> dict[str, bytes]:
-    """Dictionaries from (doc_id, text, lang); at most SAMPLES * SAMPLE_CHARS characters each."""
+    """Dictionaries from (doc_id, text, lang); at most SAMPLES * SAMPLE_CHARS characters each.
+
+    The choice is made on ids alone and, being small, sent to the texts, which are not shuffled.
+    """
     t = labelled.where("doc_id is not null and lang is not null and text is not null")
     key = {"h": F.xxhash64("doc_id"), "bucket": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SAMPLES))}
     chosen = t.select("lang", "doc_id").withColumns(key).groupBy("lang", "bucket").agg(F.min("h").alias("h"))
-    rows = t.withColumns(key).join(chosen, ["lang", "bucket", "h"]).groupBy("lang", "bucket").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))
+    chosen = staged(chosen, "sample")
+    begin = t.select("lang", "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumns(key)
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    rows = begin.join(few, ["lang", "bucket", "h"]).groupBy("lang", "bucket").agg(F.min("text").alias("text"))
     found: dict[str, list] = {}
     for row in rows.collect():
         found.setdefault(row["lang"], []).append((row["bucket"], row["text"]))

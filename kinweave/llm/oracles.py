@@ -25,8 +25,17 @@ def _op2() -> str:
       (fail_bits & {quality.POLICIES["web"].mask}) = 0 AS kept, fail_bits FROM b"""
 
 
+def _ablation() -> str:
+    mask = quality.POLICIES["web"].mask
+    rules = ", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(quality.RULES))
+    return f"""
+    WITH l AS MATERIALIZED (SELECT fail_bits & {mask} AS bits FROM ({_op2()})), r(rule, bit) AS (VALUES {rules})
+    SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only_this, count(*) FILTER (bits & ~bit = 0) AS n_kept_without
+    FROM l, r GROUP BY rule"""
+
+
 def _op8() -> str:
-    lower, most = hostrep.LEAST_STRENGTH, hostrep.MOST_STRENGTH
+    lower, most, suffixes = hostrep.LEAST_STRENGTH, hostrep.MOST_STRENGTH, hostrep.PUBLIC_SUFFIXES
     rules = ", ".join(str(r) for r in hostrep.RULES)
 
     def strength(level: str) -> str:
@@ -40,8 +49,10 @@ def _op8() -> str:
     WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
       coalesce(regexp_extract(url, '^.*?://([^/?#]*)([^?#]*)', 2, 's'), '') AS path FROM pages),
     o AS (SELECT doc_id AS page_id, (coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0)::INT AS bad FROM labels WHERE doc_id IS NOT NULL),
-    h AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad
-      FROM p LEFT JOIN o USING (page_id) WHERE host <> '' GROUP BY host),
+    q AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS site FROM p),
+    h0 AS (SELECT site AS host, CASE WHEN regexp_matches(site, '^[0-9.]*$') THEN site WHEN array_to_string(string_split(site, '.')[-2:], '.') IN {suffixes} THEN array_to_string(string_split(site, '.')[-2:], '.')
+      ELSE string_split(site, '.')[-1] END AS suffix, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM q LEFT JOIN o USING (page_id) WHERE site <> '' GROUP BY site),
+    h AS (SELECT *, CASE WHEN length(host) <= length(suffix) + 1 THEN host ELSE string_split(left(host, length(host) - length(suffix) - 1), '.')[-1] || '.' || suffix END AS domain FROM h0),
     {strength("suffix")}, {strength("domain")}, {strength("host")},
     s AS (SELECT suffix, (sum(bad) + (SELECT k * m FROM suffix_k)) / (sum(n) + (SELECT k FROM suffix_k)) AS smean FROM h GROUP BY suffix),
     d AS (SELECT domain, (sum(bad) + (SELECT k FROM domain_k) * any_value(smean)) / (sum(n) + (SELECT k FROM domain_k)) AS dmean FROM h JOIN s USING (suffix) GROUP BY domain),
@@ -50,7 +61,7 @@ def _op8() -> str:
     rules(verdict, h, path) AS (VALUES {rules}),
     f AS (SELECT p.page_id, p.host, p.path, max_by(r.h || r.path, length(r.h || r.path)) AS rule, max_by(r.verdict, length(r.h || r.path)) AS verdict
       FROM p LEFT JOIN rules r ON (p.host = r.h OR suffix(p.host, '.' || r.h)) AND starts_with(p.path, r.path) GROUP BY p.page_id, p.host, p.path)
-    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN host IN (SELECT host FROM poor) THEN 'block' END, 'allow') AS verdict FROM f"""
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_replace(host, ':[0-9]*$', '') IN (SELECT host FROM poor) THEN 'block' END, 'allow') AS verdict FROM f"""
 
 
 #: Base 32 of a SHA-1 in hexadecimal: five digits are four characters.
@@ -145,5 +156,6 @@ ORACLES = {
     "op6_near_duplicates": _op6(),
     "op8_url_filter": _op8(),
     "op9_warc": OP9,
+    "quality_ablation": _ablation(),
     "op10_chat_format": _op10(),
 }

@@ -200,4 +200,4 @@ def find(docs: DataFrame) -> DataFrame:
     scanned = staged(scan(docs), "spans")
     t = classify(scanned, train(scanned))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
-    return t.select("doc_id", *counts[:4], F.sha2(F.encode(joined(BASE), "UTF-8"), 256).alias("base_sha256"), joined(KINDS).alias("spans"), counts[4])
+    return t.select("doc_id", *counts[:4], F.sha2(F.encode(joined(BASE), "UTF-8"), 256).alias("base_sha256"), joined(KINDS).alias("spans"), counts[4], F.expr(" + ".join(f"size({k})" for k in KINDS)).cast("long").alias("n_spans"))

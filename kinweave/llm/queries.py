@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, pii, quality, warc
+from kinweave.llm.shared import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,18 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all documents under policy ``web``; the bits of ``base`` give base_failed."""
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), quality.POLICIES["web"])
+    ledger = staged(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
+    rows = quality.apply_policy(ledger, quality.POLICIES["web"])
     failed = F.col("fail_bits").bitwiseAND(F.lit(quality.POLICIES["base"].mask)) != 0
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of policy ``web`` rejects, from the stored ledger's bits alone."""
+    ledger = staged(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return quality.ablation(ledger, quality.POLICIES["web"])
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -77,5 +85,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_quality_rules, op3_language_id, op4_decontamination, op5_token_files, op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format)
-}
+    for f in (
+        op1_source_mixing, op2_quality_rules, quality_ablation, op3_language_id, op4_decontamination, op5_token_files,
+        op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format,
+    )
+}

@@ -7,12 +7,14 @@ frame, so one record is read by decompressing one frame. Bundles go to the folde
 cluster shares, under a name of the task's attempt; the index, which names the attempt that
 counted, is written as a table, so a repeated task leaves no doubt.
 
-Payloads are compared by SHA-1 and length. Only digests that occur more than once are joined
-back, by page and digest, so equal payloads never meet in one task.
+Payloads are compared by SHA-1 and length. Digests that occur more than once are joined back to slim
+rows of ids, where those of frequent payloads (empty and error pages) stay dealt over tasks; html is
+shuffled only if there are more than BROADCAST_ROWS revisits.
 
 Defined results: null html is an empty payload; records with equal page_id and payload are all
 responses if theirs is the smallest page_id; a null page_id is a response and is never referred
-to; null urls are written as an empty target; no pages give no records.
+to; null urls are written as an empty target; ids have all 64 bits; further columns are not read;
+no pages give no records. Pages have no time of fetching, so ``date`` is the same for all records.
 """
 
 from __future__ import annotations
@@ -24,11 +26,11 @@ import uuid
 from collections.abc import Iterator
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import new_dir, pick, staged
+from kinweave.llm.shared import BROADCAST_ROWS, new_dir, pick, spread_join, staged
 
 FRAME_BYTES = 1 << 20
 #: Fixed values of the seekable format: magic numbers of the skippable frame and of the footer.
@@ -38,23 +40,39 @@ INDEX = "page_id long, bundle string, frame int, frame_offset long, frame_bytes
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+#: Date of records, for want of a time of fetching.
+DATE = "1970-01-01T00:00:00Z"
+
+
 def resolve_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Adds refers_to: the page with the smallest id whose payload is equal, null for that page."""
-    p = pages.withColumn("sha", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    p = p.withColumn("bytes", F.octet_length(F.coalesce("html", F.lit(""))))
-    ids = p.where(F.col("page_id").isNotNull() & (F.col("bytes") >= min_bytes)).select("page_id", "sha", "bytes")
-    first = ids.groupBy("sha", "bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("last > refers_to").drop("last")
-    again = ids.join(first, ["sha", "bytes"]).where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
+    html = F.coalesce("html", F.lit(""))
+    p = pages.withColumn("sha", F.concat(F.sha1(F.encode(html, "UTF-8")), F.lit("-"), F.octet_length(html).cast("string")))
+    ids = p.where(F.col("page_id").isNotNull() & (F.octet_length(html) >= min_bytes)).select("page_id", "sha")
+    ids = staged(ids, "digests")
+    first = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    first = staged(first.where("last > refers_to").drop("last"), "repeated-payloads")
+    again = spread_join(ids, first, "sha", "n").where("page_id > refers_to").select("page_id", "sha", "refers_to").distinct()
+    again = staged(again, "revisits")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     return p.join(again, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
 
 
-def _record(page_id, url, html, refers_to) -> bytes:
+def _record(page_id: int | None, url: str | None, html: str | None, refers_to: int | None, date: str = DATE) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    revisit = not pd.isna(refers_to)
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if pd.isna(page_id) else int(page_id)}>", f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}"]
+    revisit = refers_to is not None
+    head = [
+        "WARC/1.1",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%')}",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"WARC-Payload-Length: {len(payload)}",
+    ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{int(refers_to)}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
     block = b"" if revisit else payload
     return ("\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -76,6 +94,11 @@ class BundleWriter:
         if len(self.buffer) >= self.frame_bytes:
             self.flush()
 
+    def taken(self) -> list[tuple]:
+        """Index rows of the frames written since the last call."""
+        rows, self.rows = self.rows, []
+        return rows
+
     def flush(self) -> None:
         if self.waiting:
             frame = self.compress(bytes(self.buffer))
@@ -116,13 +139,19 @@ def parse_record(record: bytes) -> tuple:
     return number(fields["WARC-Record-ID"]), size, digest, fields["WARC-Type"], number(fields.get("WARC-Refers-To", ""))
 
 
-def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = [x.split() for x in schema.split(", ")]
+    of = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(x, of[kind]) for x, (_, kind) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
+
+
+def write_bundles(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
     """Writes the bundles and returns their index, kept as a table in the shared folder."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        names = [x.split()[0] for x in INDEX.split(", ")]
         writer = out = None
         for batch in batches:
             if writer is None and len(batch):
@@ -131,22 +160,17 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
                 name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                 out = system.open_output_stream(f"{at}/{name}", compression=None)
                 writer = BundleWriter(out, name)
-            for row in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
-                writer.add(row[0], _record(*row))
-            if writer is not None and writer.rows:
-                yield _index(writer, names)
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
+                page_id, url, html, refers_to = (x.as_py() for x in row)
+                writer.add(page_id, _record(page_id, url, html, refers_to, date))
+            if writer is not None:
+                yield _rows(writer.taken(), INDEX)
         if writer is not None:
             writer.close()
             out.close()
-            if writer.rows:
-                yield _index(writer, names)
-
-    return staged(pages.mapInPandas(write, INDEX), "warc-index")
-
+            yield _rows(writer.taken(), INDEX)
 
-def _index(writer: BundleWriter, names: list[str]) -> pd.DataFrame:
-    rows, writer.rows = pd.DataFrame(writer.rows, columns=names), []
-    return rows.assign(page_id=rows["page_id"].astype("Int64"))
+    return staged(pages.mapInArrow(write, INDEX), "warc-index")
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
@@ -155,16 +179,16 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     Frames, not bundles, are dealt out, so a large bundle is read by many tasks.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyarrow import fs
 
         system, at = fs.FileSystem.from_uri(folder)
-        names, plain = [x.split()[0] for x in RECORD.split(", ")], zstandard.ZstdDecompressor()
+        plain = zstandard.ZstdDecompressor()
         key = bundle = file = table = frame = None
         for batch in batches:
             rows = []
-            for name, k, offset, length in zip(batch["bundle"], batch["frame"], batch["offset"], batch["length"], strict=True):
+            for name, k, offset, length in zip(*(batch.column(c).to_pylist() for c in ("bundle", "frame", "offset", "length")), strict=True):
                 if bundle != name:
                     file = system.open_input_file(f"{at}/{name}")
                     bundle, table = name, read_seek_table(file)
@@ -172,11 +196,10 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                     place, packed, size = table[k]
                     key, frame = (name, k), plain.decompress(file.read_at(packed, place), max_output_size=size)
                 rows.append(parse_record(frame[offset : offset + length]))
-            out = pd.DataFrame(rows, columns=names)
-            yield out.assign(**{c: out[c].astype("Int64") for c in ("page_id", "payload_bytes", "refers_to")})
+            yield _rows(rows, RECORD)
 
     t = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
-    return t.mapInPandas(read, RECORD)
+    return t.mapInArrow(read, RECORD)
 
 
 def archive(spark: SparkSession, pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -180,6 +180,46 @@ def test_language_edge_cases(docs, empty):
     assert langid.identify(empty).count() == 0
 
 
+def plain_dictionaries(rows):
+    """The sample of each language, chosen by hashes of the ids; written without the operator."""
+    import struct
+
+    import xxhash
+
+    best = {}
+    for i, text, lang in rows:
+        if i is None or lang is None or text is None or zlib.crc32(str(i).encode()) % 4 == 2:
+            continue
+        h = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        bucket = xxhash.xxh64(struct.pack("<i", 1), seed=h).intdigest()
+        h, bucket = (x - 2**64 if x >= 2**63 else x for x in (h, bucket))
+        new = (h, text[: langid.SAMPLE_CHARS])
+        best[lang, bucket % langid.SAMPLES] = min(best.get((lang, bucket % langid.SAMPLES), new), new)
+    out = collections.defaultdict(list)
+    for (lang, _), (_, text) in sorted(best.items()):
+        out[lang].append(text)
+    return {lang: "\n".join(x).lower().encode() for lang, x in out.items()}
+
+
+def test_language_against_plain_compression(spark):
+    import zstandard
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in d.collect()]
+    samples = plain_dictionaries(rows)
+    assert langid.learn(d.where(~langid.held_out(F.col("doc_id")))) == samples
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(d).collect()}
+    for i, text, _ in rows:
+        raw, sizes = text.lower().encode(), {}
+        for lang, sample in samples.items():
+            d = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            z = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(z.compress(raw[k : k + langid.CHUNK])) for k in range(0, len(raw), langid.CHUNK))
+        first, second = sorted(sizes, key=lambda x: (sizes[x], x))[:2]
+        if got[i][0] != "und":
+            assert got[i][0] == first and got[i][1] == pytest.approx(1 - sizes[first] / sizes[second], abs=0.02)
+
+
 def test_language_accuracy_on_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     t = langid.identify(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null")
@@ -409,6 +449,57 @@ def test_personal_data(spark, docs, empty):
     assert pii.find(empty).count() == 0
 
 
+def plain_weights(candidates):
+    """EM over vote patterns and naive Bayes on features, in plain loops."""
+    import math
+
+    patterns = collections.Counter(tuple(v) for v, _ in candidates)
+    n = 3 * len(pii.LABELERS)
+    p, t1, t0 = 0.3, [0.1, 0.3, 0.6] * 4, [0.4, 0.5, 0.1] * 4
+    chance = lambda v: 1 / (1 + (1 - p) / p * math.prod(t0[j] / t1[j] for j in v))
+    for _ in range(pii.ROUNDS):
+        r = {v: chance(v) for v in patterns}
+        yes, no = sum(patterns[v] * r[v] for v in patterns), sum(patterns[v] * (1 - r[v]) for v in patterns)
+        t1 = [(1 + sum(patterns[v] * r[v] for v in patterns if c in v)) / (3 + yes) for c in range(n)]
+        t0 = [(1 + sum(patterns[v] * (1 - r[v]) for v in patterns if c in v)) / (3 + no) for c in range(n)]
+        p = (1 + yes) / (2 + yes + no)
+    yes, no = collections.Counter(), collections.Counter()
+    for v, features in candidates:
+        for f in ("", *features):
+            yes[f] += chance(tuple(v))
+            no[f] += 1 - chance(tuple(v))
+    out = {f: math.log((yes[f] + 0.5) / (yes[""] + 1)) - math.log((no[f] + 0.5) / (no[""] + 1)) for f in yes if f}
+    return out | {"": math.log((yes[""] + 1) / (no[""] + 1))}
+
+
+def test_secrets_against_plain_learning(spark):
+    """Weights equal plain loops; the added spans follow from them; planted secrets are found."""
+    import random
+
+    rng, letters = random.Random(3), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = lambda n: "".join(rng.choice(letters) for _ in range(n - 1)) + "7"
+    rows, secrets = [], {}
+    for i in range(300):
+        words = " ".join(rng.choice(("report", "of", "the", "year2023andmore", "model-x100-series-b", "on", "page")) for _ in range(40))
+        if i % 3 == 0:
+            secret = key(rng.choice((20, 32, 40)))
+            head = f"{words} {rng.choice(('password=', 'api_key: ', 'token = '))}"
+            secrets[i] = f"secret:{len(head)}:{len(head) + len(secret)}"
+            words = head + secret + " " + words
+        rows.append((i, words))
+    scanned = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).persist()
+    candidates = [(c.votes, c.features) for r in scanned.collect() for c in r.found]
+    weights, plain = pii.train(scanned), plain_weights(candidates)
+    assert weights.keys() == plain.keys() and all(weights[f] == pytest.approx(plain[f], abs=1e-6) for f in plain)
+    found = {r.doc_id: [tuple(x) for x in r.secret] for r in pii.classify(scanned, weights).collect()}
+    for r in scanned.collect():
+        chosen = [(c.start, c.end) for c in r.found if plain[""] + sum(plain[f] for f in c.features) > 0]
+        assert found[r.doc_id] == chosen
+    caught = sum(secrets[i] in [f"secret:{a}:{b}" for a, b in found[i]] for i in secrets)
+    clean = sum(not found[i] for i, _ in rows if i not in secrets)
+    assert caught >= 0.9 * len(secrets) and clean >= 0.95 * (len(rows) - len(secrets))
+
+
 # 8 host reputation ----------------------------------------------------------------------------
 
 
@@ -421,6 +512,19 @@ def test_urls_and_rules(spark):
     assert hostrep.judge(pages.limit(0), none).count() == 0
 
 
+def test_url_edge_cases(spark):
+    """Null and repeated ids, ports, addresses, public suffixes, very long urls, clashing columns."""
+    urls = [(None, "http://a.b.co.uk:80/x"), (1, "http://10.0.0.1/x"), (1, "http://10.0.0.1/x"), (2, "http://h.com/" + "x" * 200_000), (3, "http://co.uk/")]
+    pages = spark.createDataFrame([(i, u, "v", "d") for i, u in urls], "page_id long, url string, verdict string, domain string")
+    labels = spark.createDataFrame([(1, 1), (None, 1), (99, 1), (2, None)], "page_id long, bad int")
+    rows = hostrep.judge(pages, labels).collect()
+    assert sorted((str(r.page_id), r.host, len(r.path)) for r in rows) == sorted([("None", "a.b.co.uk:80", 2), ("1", "10.0.0.1", 2), ("1", "10.0.0.1", 2), ("2", "h.com", 200_001), ("3", "co.uk", 1)])
+    hosts = spark.createDataFrame([(x,) for x in ("a.b.co.uk", "co.uk", "10.0.0.1", "x.y.com", "localhost", "b.co.uk")], "h string")
+    suffix = hostrep.suffix_of(F.col("h"))
+    got = {r.h: (r.s, r.d) for r in hosts.select("h", suffix.alias("s"), hostrep.domain_of(F.col("h"), suffix).alias("d")).collect()}
+    assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "x.y.com": ("com", "y.com"), "localhost": ("localhost", "localhost"), "b.co.uk": ("co.uk", "b.co.uk")}
+
+
 def test_bad_host_is_blocked(spark):
     pages = spark.createDataFrame([(i, f"http://{'bad' if i < 40 else 'good'}.site.info/{i}") for i in range(80)], "page_id long, url string")
     outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(80) if i % 40 < 38], "page_id long, bad int")
@@ -446,6 +550,21 @@ def test_archives(spark, tmp_path):
     assert warc.archive(spark, pages.limit(0))[1].count() == 0
 
 
+@pytest.mark.parametrize("bound", [shared.BROADCAST_ROWS, 0])
+def test_archives_keep_large_ids(spark, monkeypatch, bound):
+    """Ids over 2 ** 53 beside nulls, many equal payloads, clashing columns, and the header of WARC/1.1."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    big = 2**60
+    html = [(big + 3, "same"), (big + 1, "same"), (None, "same"), (big + 5, "other"), *[(big + 10 + k, "") for k in range(8)]]
+    pages = spark.createDataFrame([(i, f"http://u/{i}", h, "x", 1) for i, h in html], "page_id long, url string, html string, sha string, refers_to int")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(spark, pages)[1].collect()}
+    expected = {big + 3: ("revisit", big + 1), big + 1: ("response", None), None: ("response", None), big + 5: ("response", None), big + 10: ("response", None)}
+    assert got == expected | {big + 10 + k: ("revisit", big + 10) for k in range(1, 8)}
+    head = warc._record(1, "http://a/", "x", None).decode().split("\r\n\r\n")[0]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= {x.split(":")[0] for x in head.split("\r\n")[1:]}
+
+
 # 10 chat --------------------------------------------------------------------------------------
 
 
@@ -475,3 +594,25 @@ def test_chat_parts(spark):
     r = chat.format_turns(row).first()
     assert "see<|image|><|audio|><|document|><|document|>" in r.segment
     assert r.attachments == ["i.png", "a.wav", "d.pdf", "v"] and r.expanded_tokens == 576 + 4 * 25 + 3 * 512
+
+
+def test_controls_do_not_form_across_parts(spark):
+    """Parts whose texts only together spell a control string, and what is read back of them."""
+    rows = []
+    for k, control in enumerate(chat.CONTROLS):
+        for at in range(1, len(control)):
+            rows.append((2**60 + 100 * k + at, 0, "assistant", [("text", control[:at], None, None), ("text", control[at:], None, None)]))
+    rows.append((2**60 - 1, 0, "user", [("text", x, None, None) for x in ("<|", "im_", "end|>", "&", "lt;", "[", "INST]")]))
+    rows += [(None, 0, "user", []), (5, 1, "assistant", None), (5, 0, "user", [("text", "x" * 300_000 + "<", None, None)])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>").withColumns({"segment": F.lit("clash"), "head": F.lit(1)})
+    formatted = chat.format_turns(df).collect()
+    for r in formatted:
+        body = r.segment[len(chat.OPEN) : -len(chat.CLOSE) - 1]
+        assert not any(c in body for c in chat.CONTROLS)
+    back = {r.conv_id: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    assert back.keys() == {r[0] for r in rows}
+    for conv, _, role, parts in rows:
+        text = "".join(p[1] for p in parts or [])
+        if conv != 5:
+            assert back[conv].turns_sha256 == hashlib.sha256(f"{role}\n{text}\n".encode()).hexdigest()
+    assert back[5].formatted_chars > 300_000 and back[5].n_turns == 2
