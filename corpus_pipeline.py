@@ -3,10 +3,19 @@
 Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``docs``. A
 stage's result is written as Parquet and read again before the next begins, so the loss of an
 executor repeats one stage at most.
+
+Rows, not ids, are judged: rows that repeat a doc_id or have none are kept or dropped by their own
+texts. Stage by stage: language ID drops null, empty and unclear texts; near-duplicates keep one row
+of each group (of rows that agree in id and text, any one), and every row without words;
+decontamination drops just the rows that hold an item; mixing takes rows by a hash of their id, so
+rows that share an id share its draw; token files have a row for each row. Columns of any name pass
+through unchanged; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +26,13 @@ from kinweave.llm.shared import staged
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown or whose margin is narrow."""
     dictionaries = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
-    return langid.predict(docs, dictionaries, "_language_").where("_language_accepted").select(*docs.columns)
+    prefix = f"_{uuid.uuid4().hex[:8]}_"  # no column of docs begins so
+    return langid.predict(docs, dictionaries, prefix).where(f"{prefix}accepted").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group."""
-    drop = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_dropped"))
-    drop = staged(drop.distinct(), "dropped")
-    return docs.join(drop, docs["doc_id"] == drop["_dropped"], "left_anti")
+    """Keeps one document of each group, that with the smallest id."""
+    return neardup.survivors(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
