@@ -43,11 +43,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import new_dir, pick, staged
+from kinweave.llm.shared import give_back, new_dir, pick, staged
 
 LENGTH, ROWS = 2048, 32
 END_ID = 2
-MANY, LONG = 500_000, 64
+MANY, LONG = 400_000, 64
 #: Letters of the Latin script, all white space, as character classes; the mark of cuts.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 SPACES = r"\s\v\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x01"
@@ -259,6 +259,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
             first = [file.first]
             row = [pa.array([name]), *(pa.array(x, pa.int64()) for x in (first, [file.n], [len(file.docs[1])]))]
             yield pa.RecordBatch.from_arrays(row, names=["file", "first", "n_ids", "n_docs"])
+        encode = file = batch = ids = None
+        give_back()
 
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
     n_bytes, most = size["bytes"] or 0, 3 * docs.sparkSession.sparkContext.defaultParallelism
@@ -319,6 +321,7 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     while some := list(itertools.islice(rows, 10_000)):
                         columns = [pa.array(x, pa.int64()) for x in zip(*some, strict=True)]
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        give_back()
 
     before = Window.orderBy(F.col("first").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     t = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))

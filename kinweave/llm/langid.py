@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.shared import BROADCAST_ROWS, pick, staged
+from kinweave.llm.shared import BROADCAST_ROWS, give_back, pick, staged
 
 SAMPLES, SAMPLE_CHARS = 64, 2048
 CHUNK, LEVEL = 2048, 5
@@ -94,6 +94,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], prefix: str = "", d
         for batch in batches:
             added = _columns([classify(t.as_py()) for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns[:-3]], *added], names=columns)
+        batch = added = None
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.shared import BROADCAST_ROWS, pick, spread_join, staged, text_hash, without
+from kinweave.llm.shared import BROADCAST_ROWS, give_back, pick, spread_join, staged, text_hash, without
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
 SIGNATURE, TREES, ROOT_BRANCH, BRANCH = 64, 8, 2, 3
@@ -125,6 +125,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(mins, pa.binary())]
         names = ["doc_id", "text_hash", "n_shingles", "set_id", "keys", "mins"]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], names=names)
+    give_back()
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple]:
@@ -322,6 +323,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pairs:
             a, b = zip(*pairs, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    give_back()
 
 
 def _star_labels(stars: DataFrame) -> DataFrame:

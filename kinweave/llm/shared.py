@@ -13,6 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tables of slim rows are broadcast up to this number of rows; beyond it both sides are shuffled.
 BROADCAST_ROWS = 500_000
+ARROW_ROWS = 2_000
 #: A key with more rows than this, and more than one in HOT_KEYS of all, is hot. So there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
 
@@ -42,14 +43,33 @@ def new_dir(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    This cuts the lineage in a way that survives the loss of any executor.
+    This cuts the lineage in a way that survives the loss of any executor. Meanwhile Python tasks get
+    at most ARROW_ROWS rows a batch, as rows may hold whole texts.
     """
     spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
+    path, setting = new_dir(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a Python task: memory that Arrow and the C library hold for later goes back to
+    the system, as the worker lives on and serves other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z in lower case; other characters stay."""
     return F.translate(c, UPPER, LOWER)
