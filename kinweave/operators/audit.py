@@ -190,7 +190,7 @@ def attachment_report(df: DataFrame, train: DataFrame, attached: DataFrame) -> D
     d = attached.groupBy("relation", "dst").agg(F.count(F.lit(1)).alias("k")).groupBy("relation").agg(F.max("k").alias("max_in_degree"))
     t = train.groupBy("relation").agg(F.count(F.lit(1)).alias("train_edges")).join(a, "relation", "full").join(d, "relation", "left").join(reach, "relation", "left").join(F.broadcast(n_test))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.select("relation", zero("train_edges"), zero("attach_edges"), zero("max_in_degree"), (F.col("n_test") - F.coalesce("test_reached", F.lit(0))).alias("isolated_test"), F.round(1 - F.coalesce("test_reached", F.lit(0)) / F.col("n_test"), 6).alias("isolated_rate"))
+    return t.select("relation", zero("train_edges"), zero("attach_edges"), zero("max_in_degree"), (F.col("n_test") - F.coalesce("test_reached", F.lit(0))).alias("isolated_test"), F.round(1 - F.try_divide(F.coalesce("test_reached", F.lit(0)), F.col("n_test")), 6).alias("isolated_rate"))
 
 
 def host_suitability(sessions: DataFrame, hosts: DataFrame) -> DataFrame:

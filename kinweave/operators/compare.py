@@ -87,38 +87,58 @@ def permutation_observation(scores: DataFrame, arm: str, training_seeds: int = 5
     return t.where(F.col("k") == training_seeds).select("dataset", "variant", F.round("value", 6).alias("value"))
 
 
+#: Scores are summed as whole numbers of a millionth, so that sums do not depend on their order.
+UNIT = 1_000_000
+TERMS = {"architecture": ("loop", "plain"), "availability": ("permuted", "loop"), "value_semantics": ("full", "permuted")}
+
+
+def _whole(c: str = "value") -> Column:
+    return F.bround(F.col(c) * UNIT, 0).cast("long")
+
+
 def decomposition(scores: DataFrame, plain: str, loop: str, permuted: str, full: str) -> DataFrame:
-    """The margin of ``full`` over ``plain`` in three terms and their shares; no shares of a margin of 0."""
-    t = clean(scores).groupBy("dataset").pivot("arm", [plain, loop, permuted, full]).agg(F.avg("value"))
-    terms = {"architecture": (loop, plain), "availability": (permuted, loop), "value_semantics": (full, permuted)}
-    margin = F.col(full) - F.col(plain)
-    t = t.withColumns({"margin": margin, **{k: F.col(a) - F.col(b) for k, (a, b) in terms.items()}})
-    share = {f"{k}_share": F.round(F.when(F.abs("margin") > 1e-9, F.col(k) / F.col("margin")), 6) for k in terms}
-    return t.select("dataset", *[F.round(c, 6).alias(c) for c in ("margin", *terms)], *[v.alias(k) for k, v in share.items()])
+    """The margin of ``full`` over ``plain`` in three terms and their shares; no shares of a margin of 0.
+
+    Differences of means are formed over common denominators and divided once.
+    """
+    arms = {"plain": plain, "loop": loop, "permuted": permuted, "full": full}
+    of = lambda arm, x: F.when(F.col("arm") == arm, x)
+    sums = {f"s_{a}": F.sum(of(arm, _whole())) for a, arm in arms.items()} | {f"k_{a}": F.count(of(arm, F.lit(1))) for a, arm in arms.items()}
+    t = clean(scores).groupBy("dataset").agg(*[c.alias(n) for n, c in sums.items()])
+    over = lambda a, b: F.col(f"s_{a}") * F.col(f"k_{b}") - F.col(f"s_{b}") * F.col(f"k_{a}")
+    under = lambda a, b: F.col(f"k_{a}") * F.col(f"k_{b}")
+    mean = lambda a, b: F.round(F.try_divide(over(a, b), under(a, b) * UNIT), 6)
+    share = lambda a, b: F.round(F.try_divide(over(a, b) * under("full", "plain"), under(a, b) * over("full", "plain")), 6)
+    out = {"margin": mean("full", "plain")} | {n: mean(*x) for n, x in TERMS.items()} | {f"{n}_share": share(*x) for n, x in TERMS.items()}
+    return t.select("dataset", *[c.alias(n) for n, c in out.items()])
 
 
 def decomposition_interval(scores: DataFrame, plain: str, loop: str, permuted: str, full: str, resamples: int, seed: int, least: int = 100) -> DataFrame:
     """95 % intervals of the three terms and of their shares of the margin: seeds of the arms are
     drawn together, the permuted arm apart. Shares need enough draws with a margin that is not 0;
-    ``low`` and ``high`` are the value-semantics share."""
-    t = clean(scores).where(F.col("arm").isin(plain, loop, permuted, full))
-    lists = t.groupBy("dataset").agg(*[F.array_sort(F.collect_list(F.when(F.col("arm") == a, F.struct("seed", "variant", "value")))).alias(n) for n, a in (("p", plain), ("l", loop), ("m", permuted), ("f", full))])
+    ``low`` and ``high`` are the value-semantics share. Arms without a run give nulls."""
+    t = clean(scores).where(F.col("arm").isin(plain, loop, permuted, full)).withColumn("whole", _whole())
+    arms = {"plain": plain, "loop": loop, "permuted": permuted, "full": full}
+    each = lambda arm: F.array_sort(F.collect_list(F.when(F.col("arm") == arm, F.struct("seed", "variant", "whole"))))
+    lists = t.groupBy("dataset").agg(*[each(arm).alias(f"v_{a}") for a, arm in arms.items()])
     t = lists.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
 
-    def mean(column: str, stream: str) -> Column:
+    def total(column: str, stream: str) -> Column:
         def pick(i: Column) -> Column:
-            h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}:{stream}"), F.col("dataset"), F.col("r").cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("long")
-            return F.get(column, F.pmod(h, F.size(column)).cast("int"))["value"]
-
-        return F.aggregate(F.transform(F.sequence(F.lit(0), F.size(column) - 1), pick), F.lit(0.0), lambda a, x: a + x) / F.size(column)
-
-    t = t.select("dataset", mean("p", "arms").alias("p"), mean("l", "arms").alias("l"), mean("m", "permuted").alias("m"), mean("f", "arms").alias("f")).withColumn("margin", F.col("f") - F.col("p"))
-    terms = {"architecture": ("l", "p"), "availability": ("m", "l"), "value_semantics": ("f", "m")}
-    t = t.withColumns({k: F.col(x) - F.col(y) for k, (x, y) in terms.items()})
-    usable = F.abs(F.col("margin")) > 1e-9
-    t = t.withColumns({f"{k}_share": F.when(usable, F.col(k) / F.col("margin")) for k in terms})
-    ends = {f"{c}_{end}": F.percentile(c, F.lit(q)) for k in terms for c in (k, f"{k}_share") for end, q in (("low", 0.025), ("high", 0.975))}
-    t = t.groupBy("dataset").agg(F.count(F.when(usable, 1)).alias("usable"), *[c.alias(k) for k, c in ends.items()])
+            text = F.concat_ws("|", F.lit(f"{seed}:{stream}"), F.col("dataset"), F.col("r").cast("string"), i.cast("string"))
+            h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+            return F.get(column, F.pmod(h, F.size(column)).cast("int"))["whole"]
+
+        places = F.when(F.size(column) > 0, F.sequence(F.lit(0), F.size(column) - 1))
+        return F.aggregate(F.transform(places, pick), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    t = t.select("dataset", *[total(f"v_{a}", "permuted" if a == "permuted" else "arms").alias(f"s_{a}") for a in arms], *[F.size(f"v_{a}").cast("long").alias(f"k_{a}") for a in arms])
+    over = lambda a, b: F.col(f"s_{a}") * F.col(f"k_{b}") - F.col(f"s_{b}") * F.col(f"k_{a}")
+    under = lambda a, b: F.col(f"k_{a}") * F.col(f"k_{b}")
+    usable = over("full", "plain") != 0
+    t = t.select("dataset", usable.alias("is_usable"), *[F.try_divide(over(*x), under(*x) * UNIT).alias(n) for n, x in TERMS.items()], *[F.when(usable, F.try_divide(over(*x) * under("full", "plain"), under(*x) * over("full", "plain"))).alias(f"{n}_share") for n, x in TERMS.items()])
+    ends = {f"{c}_{end}": F.percentile(c, F.lit(q)) for k in TERMS for c in (k, f"{k}_share") for end, q in (("low", 0.025), ("high", 0.975))}
+    t = t.groupBy("dataset").agg(F.count(F.when(F.col("is_usable"), 1)).alias("usable"), *[c.alias(k) for k, c in ends.items()])
     out = {k: F.round(F.when(F.col("usable") >= least, F.col(k)) if "_share_" in k else F.col(k), 6) for k in ends}
     out = {k.replace("value_semantics_share_", ""): c for k, c in out.items()}
     return t.select("dataset", "usable", *[c.alias(k) for k, c in out.items()])

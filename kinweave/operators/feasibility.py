@@ -1,22 +1,18 @@
 """Can whole groups be dealt to train, validation and test without losing a class?
 
-Rows collapse to groups with class counts first. The searches run over that table, which must
-have at most MOST_GROUPS rows, and are dealt over tasks by restart.
+Rows collapse to groups with class counts first. Searches and folds order that table and sum it as
+it lies, in ranges dealt over tasks; only the three largest groups reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.values import valid_value
+from kinweave.functions.values import seeded_hash, valid_value
+from kinweave.operators.ranking import kept, position_by_order, running_total
 
 SHARES = (0.7, 0.1, 0.2)
-MOST_GROUPS = 1_000_000
 
 
 def collapse(df: DataFrame, column: str) -> DataFrame:
@@ -36,39 +32,41 @@ def axis_report(df: DataFrame, column: str, least_groups: int = 3) -> DataFrame:
     return t.select("axis", "n", (F.col("n") - F.col("n_usable")).alias("n_missing"), "n_groups", "largest", F.round(F.try_divide(F.col("largest"), F.col("n_usable")), 6).alias("largest_share"), F.coalesce("groups_0", F.lit(0)).alias("groups_0"), F.coalesce("groups_1", F.lit(0)).alias("groups_1"), starved.alias("starved"), F.coalesce(F.col("largest") > smallest, F.lit(False)).alias("dominates"))
 
 
-def _groups(df: DataFrame, column: str) -> pd.DataFrame:
-    """The collapsed table on the driver, its size checked first."""
-    g = collapse(df, column)
-    if g.count() > MOST_GROUPS:
-        raise ValueError(f"{column} has over {MOST_GROUPS} groups")
-    return g.orderBy("value").toPandas()
-
-
 def search(df: DataFrame, column: str, restarts: int, seed: int, tolerance: float = 0.1) -> DataFrame:
     """(restart, covered, deviation, feasible) of random assignments of whole groups.
 
-    The three largest groups go first, the others in random order, each to the part that is
-    furthest below its target.
+    The three largest groups go first, each to the part that is furthest below its target. The others
+    fill what the parts still lack, in the order of a hash of restart and value: a group belongs to
+    the part that the middle of its stretch of rows falls into.
     """
-    g = _groups(df, column)
-    counts = g[["negatives", "positives"]].to_numpy(np.int64)
-    sizes = counts.sum(axis=1)
-    by_size = np.argsort(-sizes, kind="stable")
-    target, classes = np.array(SHARES) * max(int(sizes.sum()), 1), (counts.sum(axis=0) > 0)
-
-    def attempt(i: int) -> tuple[bool, float]:
-        tail = np.random.default_rng([seed, i]).permutation(by_size[3:])
-        filled = np.zeros((3, 2), np.int64)
-        for j in [*by_size[:3], *tail]:
-            filled[np.argmax(target - filled.sum(axis=1))] += counts[j]
-        return bool((filled[:, classes] > 0).all()), float(np.max(np.abs(filled.sum(axis=1) - target) / target))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(int(i), *attempt(int(i))) for i in b["id"]]
-            yield pd.DataFrame(rows, columns=["restart", "covered", "deviation"])
-
-    t = df.sparkSession.range(restarts).mapInPandas(run, "restart long, covered boolean, deviation double")
+    g = kept(collapse(df, column))
+    all_ = g.agg(F.sum("size").alias("n"), F.sum("negatives").alias("neg"), F.sum("positives").alias("pos")).first()
+    target, filled = [share * max(all_["n"] or 0, 1) for share in SHARES], [[0, 0] for _ in SHARES]
+    first = g.orderBy(F.desc("size"), "value").limit(3).collect()
+    for r in first:
+        lack = [t - sum(f) for t, f in zip(target, filled, strict=True)]
+        part = filled[lack.index(max(lack))]
+        part[0], part[1] = part[0] + r["negatives"], part[1] + r["positives"]
+    lack = [max(t - sum(f), 0.0) for t, f in zip(target, filled, strict=True)]
+    rest = (all_["n"] or 0) - sum(r["size"] for r in first)
+    scale = rest / (sum(lack) or 1.0)
+    restart = F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("restart")
+    tail = g.where(~F.col("value").isin(*[r["value"] for r in first])).select("*", restart)
+    tail = tail.withColumn("h", seeded_hash(seed, F.col("restart"), F.col("value")))
+    tail = running_total(tail, ["restart"], ["h", "value"], "size").withColumn("middle", F.col("pos") + F.col("size") / 2)
+    part = F.when(F.col("middle") < lack[0] * scale, 0).when(F.col("middle") < (lack[0] + lack[1]) * scale, 1).otherwise(2)
+    tail = tail.withColumn("part", part)
+    sums = {f"{c}_{i}": F.sum(F.when(F.col("part") == i, F.col(c)).otherwise(0)) for i in range(3) for c in ("negatives", "positives")}
+    t = g.sparkSession.range(restarts).select(F.col("id").alias("restart"))
+    t = t.join(tail.groupBy("restart").agg(*[x.alias(k) for k, x in sums.items()]), "restart", "left")
+    have = lambda c, i: F.coalesce(f"{c}_{i}", F.lit(0)) + F.lit(filled[i][c == "positives"])
+    classes = [c for c, k in (("negatives", "neg"), ("positives", "pos")) if all_[k]]
+    covered = F.lit(True)
+    for i in range(3):
+        for c in classes:
+            covered = covered & (have(c, i) > 0)
+    off = F.greatest(*[F.abs(have("negatives", i) + have("positives", i) - F.lit(target[i])) / F.lit(target[i]) for i in range(3)])
+    t = t.select("restart", covered.alias("covered"), off.alias("deviation"))
     return t.withColumn("feasible", F.col("covered") & (F.col("deviation") <= tolerance))
 
 
@@ -86,16 +84,15 @@ def verdict(attempts: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def group_folds(df: DataFrame, column: str, k: int = 3) -> DataFrame:
-    """(value, fold): greedy balanced folds of whole groups; refused if a class has under k groups."""
+    """(value, fold): balanced folds of whole groups; refused if a class has under k groups.
+
+    Groups are ordered by positives, then negatives, and dealt to the folds forth and back, so folds
+    differ by no more than the largest group in each class's part of the order.
+    """
     report = axis_report(df, column, k).first()
     if report["starved"]:
         raise ValueError(f"classes {report['starved']} are in under {k} groups of {column}")
-    g = _groups(df, column)
-    counts = g[["negatives", "positives"]].to_numpy(np.float64)
-    share = counts / np.maximum(counts.sum(axis=0), 1)
-    filled, fold = np.zeros((k, 2)), np.zeros(len(g), np.int64)
-    for j in np.lexsort((g["value"], -share.max(axis=1))):
-        spread = [np.std(filled + share[j] * (np.arange(k) == f)[:, None], axis=0).sum() for f in range(k)]
-        fold[j] = int(np.argmin(spread))
-        filled[fold[j]] += share[j]
-    return df.sparkSession.createDataFrame(pd.DataFrame({"value": g["value"], "fold": fold}), "value string, fold int")
+    g = collapse(df, column).withColumns({"_p": -F.col("positives"), "_n": -F.col("negatives")})
+    turn = F.pmod("pos", F.lit(2 * k))
+    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
+    return position_by_order(g, [], ["_p", "_n", "value"]).select("value", fold.alias("fold"))

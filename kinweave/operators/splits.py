@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.values import hash_number, seeded_hash, valid_value
-from kinweave.operators.ranking import position_by_hash, position_by_order
+from kinweave.operators.ranking import kept, position_by_hash, position_by_order, running_total
 from kinweave.spec import SPLITS
 
 TEST, VAL = 0.2, 0.1
@@ -40,32 +40,47 @@ def at_random(df: DataFrame, seed: int, test: float = TEST, val: float = VAL) ->
     return t.withColumn("split", _named(F.col("n") - n_test - n_val, n_val)).drop("n", "pos")
 
 
-GROUP_SCHEMA = "value string, split string"
+def first_fit(groups: DataFrame, goal: int) -> tuple[DataFrame, int]:
+    """(_g) of the groups (_g, size, at) that fit into ``goal`` one after another in the order of ``at``,
+    and their rows; the first group is taken whatever its size.
+
+    Equal to walking through the groups, in few rounds: each takes a whole run of groups, up to the
+    first that does not fit; after it, only groups that fit into what is left can follow.
+    """
+    first = groups.orderBy("at").limit(1).first()
+    if first is None:
+        return groups.select("_g").limit(0), 0
+    taken, filled, at = groups.where(F.col("at") == first["at"]).select("_g"), first["size"], first["at"]
+    while filled < goal:
+        could = groups.where((F.col("at") > at) & (F.col("size") <= goal - filled))
+        run = kept(running_total(could, [], ["at"], "size"))
+        ends = F.col("pos") + F.col("size")
+        over = run.where(ends > goal - filled).agg(F.min("at")).first()[0]
+        fits = run if over is None else run.where(F.col("at") < over)
+        s = fits.agg(F.sum("size").alias("size"), F.max("at").alias("at")).first()
+        if s["size"] is None:
+            break
+        taken, filled, at = taken.unionByName(fits.select("_g")), filled + s["size"], s["at"]
+        if over is None:
+            break
+    return kept(taken), filled
 
 
 def by_group(df: DataFrame, column: str, seed: int, test: float = TEST, val: float = VAL) -> DataFrame:
     """No value of a column in two splits: groups in hash order go first-fit to test, then val.
 
-    First-fit is sequential, so it runs over the groups' sizes, never over rows; missing values
-    are one group. With fewer than two valid groups it is a random split.
+    Missing values are one group. With fewer than two valid groups it is a random split.
     """
     t = df.drop("split").withColumn("_g", F.coalesce(valid_value(F.col(column)), F.lit("")))
     groups = t.groupBy("_g").agg(F.count(F.lit(1)).alias("size")).withColumn("order", seeded_hash(seed, F.col("_g")))
+    groups = kept(position_by_order(groups, [], ["order", "_g"]).select("_g", "size", F.col("pos").alias("at")))
     if groups.where("_g <> ''").limit(2).count() < 2:
         return at_random(df, seed, test, val)
-
-    def fit(pdf):
-        n = pdf["size"].sum()
-        goals, filled, out = {"test": int(n * test), "val": int(n * val)}, {"test": 0, "val": 0}, []
-        for size in pdf.sort_values(["order", "_g"])["size"]:
-            place = next((s for s in ("test", "val") if filled[s] + size <= goals[s] or not filled[s]), "train")
-            if place != "train":
-                filled[place] += size
-            out.append(place)
-        return pdf.sort_values(["order", "_g"])[["_g"]].assign(split=out)
-
-    placed = groups.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fit, "_g string, split string")
-    return t.join(placed, "_g").drop("_g")
+    n = groups.agg(F.sum("size")).first()[0]
+    tested, _ = first_fit(groups, int(n * test))
+    validated, _ = first_fit(groups.join(tested, "_g", "left_anti"), int(n * val))
+    named = tested.withColumn("split", F.lit("test")).unionByName(validated.withColumn("split", F.lit("val")))
+    return t.join(named, "_g", "left").withColumn("split", F.coalesce("split", F.lit("train"))).drop("_g")
 
 
 def variants(df: DataFrame, seeds: list[int]) -> DataFrame:

@@ -293,18 +293,35 @@ def a22_axis_report(spark, sf):
     return feasibility.axis_report(events(spark, sf), "user_id")
 
 
-@query()
+SEARCH = f"""WITH {S.ENTITIES}, {GROUPS}, rk AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY size DESC, value) AS k FROM g),
+n AS (SELECT sum(size)::DOUBLE AS n, coalesce(sum(size) FILTER (k = 1), 0)::DOUBLE AS s1, coalesce(sum(size) FILTER (k = 2), 0)::DOUBLE AS s2, coalesce(sum(size) FILTER (k = 3), 0)::DOUBLE AS s3 FROM rk),
+p2 AS (SELECT *, CASE WHEN 0.7 * n - s1 >= 0.2 * n THEN 0 ELSE 2 END AS q2 FROM n),
+d2 AS (SELECT *, 0.7 * n - s1 - CASE WHEN q2 = 0 THEN s2 ELSE 0 END AS a2, 0.1 * n AS b2, 0.2 * n - CASE WHEN q2 = 2 THEN s2 ELSE 0 END AS c2 FROM p2),
+p3 AS (SELECT *, CASE WHEN a2 >= b2 AND a2 >= c2 THEN 0 WHEN b2 >= c2 THEN 1 ELSE 2 END AS q3 FROM d2),
+la AS MATERIALIZED (SELECT *, greatest(a2 - CASE WHEN q3 = 0 THEN s3 ELSE 0 END, 0) AS a, greatest(b2 - CASE WHEN q3 = 1 THEN s3 ELSE 0 END, 0) AS b, greatest(c2 - CASE WHEN q3 = 2 THEN s3 ELSE 0 END, 0) AS c FROM p3),
+tl AS (SELECT *, sum(size) OVER (PARTITION BY restart ORDER BY md5(concat_ws('|', '42', restart, value)), value) - size / 2 AS middle FROM (SELECT rk.*, unnest(range(0, 200)) AS restart FROM rk) WHERE k > 3),
+pt AS (SELECT restart, negatives, positives, CASE WHEN middle < a * (n - s1 - s2 - s3) / (a + b + c) THEN 0 WHEN middle < (a + b) * (n - s1 - s2 - s3) / (a + b + c) THEN 1 ELSE 2 END AS part FROM tl, la
+  UNION ALL SELECT restart, negatives, positives, CASE k WHEN 1 THEN 0 WHEN 2 THEN q2 ELSE q3 END FROM (SELECT rk.*, unnest(range(0, 200)) AS restart FROM rk WHERE k <= 3), la),
+fl AS (SELECT restart, p.part, coalesce(sum(negatives) FILTER (pt.part = p.part), 0) AS neg, coalesce(sum(positives) FILTER (pt.part = p.part), 0) AS pos, p.share FROM pt, (VALUES (0, 0.7::DOUBLE), (1, 0.1), (2, 0.2)) p(part, share) GROUP BY ALL),
+se AS MATERIALIZED (SELECT restart, bool_and(neg > 0 AND pos > 0) AS covered, max(abs(neg + pos - share * n) / (share * n)) AS deviation FROM fl, n GROUP BY 1)"""
+
+
+@query(SEARCH + " SELECT restart, covered, round(deviation, 6) AS deviation, covered AND deviation <= 0.1 AS feasible FROM se")
 def m16_feasibility_search(spark, sf):
-    return feasibility.search(events(spark, sf), "user_id", 200, 42)
+    return feasibility.search(events(spark, sf), "user_id", 200, 42).withColumn("deviation", F.round("deviation", 6))
 
 
-@query()
+@query(SEARCH + """, us AS (SELECT count(via_user) AS n_usable FROM e0),
+rp AS (SELECT max(size) > floor(n_usable * 0.1) AS dominates, concat_ws(',', CASE WHEN count(*) FILTER (negatives > 0) < 3 THEN '0' END, CASE WHEN count(*) FILTER (positives > 0) < 3 THEN '1' END) AS starved FROM g, us GROUP BY n_usable),
+be AS (SELECT count(*) AS restarts, count(*) FILTER (covered) AS n_covered, arg_max(covered, covered::INT * 1000 - deviation) AS best_covered, arg_max(deviation, covered::INT * 1000 - deviation) AS best_deviation FROM se),
+rs AS (SELECT *, concat_ws('; ', CASE WHEN starved <> '' THEN 'classes in too few groups: ' || starved END, CASE WHEN dominates THEN 'one group is larger than the smallest part' END, CASE WHEN n_covered = 0 THEN 'no assignment kept every class' END, CASE WHEN n_covered > 0 AND best_deviation > 0.1 THEN 'no covered assignment meets the sizes' END) AS reasons FROM be, rp)
+SELECT 'user_id' AS axis, restarts, n_covered, best_covered, round(best_deviation, 6) AS best_deviation, reasons, reasons = '' AS feasible FROM rs""")
 def m18_feasibility_verdict(spark, sf):
     t = events(spark, sf)
     return feasibility.verdict(feasibility.search(t, "user_id", 200, 42), feasibility.axis_report(t, "user_id"))
 
 
-@query()
+@query(f"WITH {S.ENTITIES}, {GROUPS}, o AS (SELECT value, (row_number() OVER (ORDER BY positives DESC, negatives DESC, value) - 1) % 6 AS t FROM g) SELECT value, (CASE WHEN t < 3 THEN t ELSE 5 - t END)::INT AS fold FROM o")
 def m17_group_folds(spark, sf):
     return feasibility.group_folds(events(spark, sf), "user_id")
 

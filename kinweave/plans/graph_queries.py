@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from kinweave.operators import audit, controls, graph, splits
+from kinweave.operators.ranking import scratch
 from kinweave.plans import sql as S
 from kinweave.sources.tables import RELATIONS, events, labelled_documents, read, split_events, union_frames
 from kinweave.streaming import flows
@@ -209,12 +208,9 @@ def j15_endpoint_graph(spark, sf):
     return graph.endpoint_graph(t, "l_suppkey", "l_partkey").groupBy("src_node", "dst_node").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _components(edges: str) -> str:
-    return f"""r(v, m) AS (SELECT id, id FROM ent UNION SELECT e.dst, r.m FROM r JOIN ({edges}) e ON r.v = e.src WHERE r.m < e.dst),
-c AS (SELECT v AS id, min(m) AS component FROM r GROUP BY 1)"""
-
-
-COMPONENTS = f"WITH RECURSIVE {E_}, {S.ring('edges', S.long(('via_prop',), where='''split = 'test' '''))}, {_components('SELECT src, dst FROM edges')}"
+COMPONENTS = f"""WITH RECURSIVE {S.EDGES.removeprefix("WITH ")},
+r(relation, v, m) AS (SELECT relation, id, id FROM ent, (SELECT unnest({list(S.RELATIONS)}) AS relation) UNION SELECT e.relation, e.dst, r.m FROM r JOIN edges e ON r.relation = e.relation AND r.v = e.src WHERE r.m < e.dst),
+c AS (SELECT relation, v AS id, min(m) AS component FROM r GROUP BY 1, 2)"""
 
 
 @query(COMPONENTS + " SELECT * FROM c")
@@ -223,7 +219,7 @@ def m19_components(spark, sf):
     return graph.components_by_relation(t, edges_of(t), RELATIONS)
 
 
-@query(COMPONENTS + ", s AS (SELECT count(*) AS size FROM c GROUP BY component) SELECT count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, sum((size = 1)::INT)::BIGINT AS isolates FROM s")
+@query(COMPONENTS + ", s AS (SELECT relation, count(*) AS size FROM c GROUP BY relation, component) SELECT relation, count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, sum((size = 1)::INT)::BIGINT AS isolates FROM s GROUP BY 1")
 def m19_component_sizes(spark, sf):
     return audit.component_sizes(m19_components(spark, sf), ("relation",))
 
@@ -270,7 +266,7 @@ def _stream(spark, sf, path="events"):
 def _drained(df, mode="append"):
     """Runs a stream over what is there now and returns what it wrote."""
     spark = df.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kinweave-")) + f"/stream-{id(df)}-{__import__('uuid').uuid4().hex}"
+    root = scratch(spark, "stream")
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").format("parquet").option("path", f"{root}/rows").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/rows")

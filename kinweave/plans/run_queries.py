@@ -90,7 +90,7 @@ def m9_sign_consistency(spark, sf):
 def _boot(other: str) -> str:
     h = lambda s: f"(('0x' || substr(md5(concat_ws('|', '3:{s}', dataset, r, i)), 1, 8))::BIGINT % n + 1)"
     return f"""{PAIRS}, l AS (SELECT dataset, list(x ORDER BY seed) AS vx, list(y ORDER BY seed) AS vy, count(*) AS n FROM pa GROUP BY 1),
-t AS (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, 400)) AS r FROM l)), m AS (SELECT dataset, r, sum(vx[{h('a')}] - vy[{h(other)}]) / n AS m FROM t GROUP BY dataset, r, n),
+t AS (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, {RESAMPLES})) AS r FROM l)), m AS (SELECT dataset, r, sum(vx[{h('a')}] - vy[{h(other)}]) / n AS m FROM t GROUP BY dataset, r, n),
 q AS (SELECT dataset, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1) SELECT dataset, low, high, low <= 0 AND high >= 0 AS includes_zero FROM q"""
 
 
@@ -104,7 +104,27 @@ def m7_unpaired_bootstrap(spark, sf):
     return compare.bootstrap(compare.paired(by_seed(spark, sf), "full", "plain"), RESAMPLES, 3, independent=True)
 
 
-@query()
+def _interval() -> str:
+    """Whole sums of drawn scores, as in the query."""
+    of = dict(zip(("plain", "loop", "permuted", "full"), ("p", "l", "m", "f"), strict=True))
+    lists = ", ".join(f"list(whole ORDER BY seed, variant, whole) FILTER (arm = '{a}') AS v{c}" for a, c in of.items())
+    total = lambda c: f"list_sum(list_transform(range(0, len(v{c})), lambda i: v{c}[(('0x' || substr(md5(concat_ws('|', '5:{'permuted' if c == 'm' else 'arms'}', dataset, r, i)), 1, 8))::BIGINT % len(v{c}) + 1)::BIGINT]))::DOUBLE AS s{c}, len(v{c})::DOUBLE AS k{c}"
+    over = lambda a, b: f"(s{a} * k{b} - s{b} * k{a})"
+    under = lambda a, b: f"(k{a} * k{b})"
+    terms = {"architecture": ("l", "p"), "availability": ("m", "l"), "value_semantics": ("f", "m")}
+    values = ", ".join(f"{over(*x)} / ({under(*x)} * 1000000) AS {n}, CASE WHEN {over('f', 'p')} <> 0 THEN {over(*x)} * {under('f', 'p')} / ({under(*x)} * {over('f', 'p')}) END AS {n}_share" for n, x in terms.items())
+    ends = []
+    for n in terms:
+        for end, q in (("low", 0.025), ("high", 0.975)):
+            ends.append(f"round(quantile_cont({n}, {q}), 6) AS {n}_{end}")
+            name = end if n == "value_semantics" else f"{n}_share_{end}"
+            ends.append(f"round(CASE WHEN count({n}_share) >= 100 THEN quantile_cont({n}_share, {q}) END, 6) AS {name}")
+    return f"""{SCORES}, wh AS (SELECT dataset, arm, seed, variant, round_even(value * 1000000, 0)::BIGINT AS whole FROM ok), ls AS MATERIALIZED (SELECT dataset, {lists} FROM wh GROUP BY 1),
+dr AS (SELECT *, unnest(range(0, {RESAMPLES})) AS r FROM ls), dt AS (SELECT dataset, {", ".join(total(c) for c in of.values())} FROM dr), dv AS (SELECT dataset, {values} FROM dt)
+SELECT dataset, count(value_semantics_share) AS usable, {", ".join(ends)} FROM dv GROUP BY 1"""
+
+
+@query(_interval())
 def m8_decomposition_interval(spark, sf):
     return compare.decomposition_interval(scores(spark, sf), *ARMS, RESAMPLES, 5)
 
@@ -117,7 +137,19 @@ def m10_permutation_observation(spark, sf):
 PIVOT = "p AS (SELECT dataset{v}, avg(value) FILTER (arm = 'plain') AS pl, avg(value) FILTER (arm = 'loop') AS lo, avg(value) FILTER (arm = 'permuted') AS pe, avg(value) FILTER (arm = 'full') AS fu FROM ok GROUP BY ALL)"
 
 
-@query(f"{SCORES}, {PIVOT.format(v='')} SELECT dataset, round(fu - pl, 6) AS margin, round(lo - pl, 6) AS architecture, round(pe - lo, 6) AS availability, round(fu - pe, 6) AS value_semantics, " + ", ".join(f"round(CASE WHEN abs(fu - pl) > 1e-9 THEN ({x}) / (fu - pl) END, 6) AS {n}_share" for n, x in (("architecture", "lo - pl"), ("availability", "pe - lo"), ("value_semantics", "fu - pe"))) + " FROM p")
+def _decomposed() -> str:
+    sums = ", ".join(f"sum(round_even(value * 1000000, 0)::BIGINT) FILTER (arm = '{a}')::DOUBLE AS s{a}, count(*) FILTER (arm = '{a}')::DOUBLE AS k{a}" for a in ARMS)
+    over = lambda a, b: f"(s{a} * k{b} - s{b} * k{a})"
+    under = lambda a, b: f"(k{a} * k{b})"
+    mean = lambda a, b: f"round({over(a, b)} / nullif({under(a, b)} * 1000000, 0), 6)"
+    share = lambda a, b: f"round({over(a, b)} * {under('full', 'plain')} / nullif({under(a, b)} * {over('full', 'plain')}, 0), 6)"
+    out = [f"{mean('full', 'plain')} AS margin"]
+    for n, x in compare.TERMS.items():
+        out += [f"{mean(*x)} AS {n}", f"{share(*x)} AS {n}_share"]
+    return f"{SCORES}, de AS (SELECT dataset, {sums} FROM ok GROUP BY 1) SELECT dataset, {', '.join(out)} FROM de"
+
+
+@query(_decomposed())
 def a29_decomposition(spark, sf):
     return compare.decomposition(scores(spark, sf), *ARMS)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from kinweave.functions import values as V
 from kinweave.operators import audit
+from kinweave.operators.ranking import kept, scratch
 from kinweave.plans import sql as S
 from kinweave.plans.graph_queries import edges_of
 from kinweave.sources import logs
@@ -25,11 +23,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-kinweave-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderpriority, o_totalprice FROM orders")
 def r1_log_round_trip(spark, sf):
     path = scratch(spark, "log")
@@ -60,11 +53,24 @@ def r3_released_csv(spark, sf):
     return spark.read.schema("event_id long, value double").option("header", True).csv(path)
 
 
-@query("SELECT 0::BIGINT AS n_changed, count(*) > 0 AS has_files FROM events")
+@query("SELECT 'gone' AS change, count(DISTINCT event_type) AS n_files FROM events UNION ALL SELECT 'new', 2 * count(DISTINCT event_type) FROM events")
 def r5_extraction_manifest(spark, sf):
-    now = logs.file_manifest(spark, f"{sf}/events.parquet")
-    changed = logs.manifest_changes(now, now).agg(F.count(F.lit(1)).alias("n_changed"))
-    return changed.join(now.agg((F.count(F.lit(1)) > 0).alias("has_files")))
+    """A cached extraction by type, of which each type's file is then rewritten with more columns (a
+    file gone, a new one) and gets another one beside it (new)."""
+    path = scratch(spark, "extraction")
+    t = read(spark, sf, "events").select("event_type", "event_id").repartition("event_type")
+    t.write.partitionBy("event_type").parquet(path)
+    before = kept(logs.file_manifest(spark, path))
+    one = t.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("event_id"))
+    rewritten = t.withColumn("twice", F.col("event_id") * 2).where(F.col("event_id") >= 0)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        rewritten.write.mode("overwrite").partitionBy("event_type").parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    one.repartition("event_type").write.mode("append").partitionBy("event_type").parquet(path)
+    spark.catalog.refreshByPath(path)
+    return logs.manifest_changes(logs.file_manifest(spark, path), before).groupBy("change").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 @query(f"WITH {S.ENT} SELECT split, count(*) AS n, sum(label)::BIGINT AS positives FROM ent GROUP BY 1")
@@ -97,7 +103,7 @@ def r10_report_sinks(spark, sf):
     return spark.read.schema("split string, label int, n long").json(path)
 
 
-PACKETS = """pk AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE 1000 END AS src, CASE WHEN event_id % 2 = 0 THEN 1000 ELSE user_id END AS dst, epoch_us(ts) / 1e6 AS ts, value AS bytes, CASE WHEN event_type = 'view' THEN event_type END AS name FROM events WHERE user_id <> 1000)"""
+PACKETS = """pk AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id ELSE -1 END AS src, CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS dst, epoch_us(ts) / 1e6 AS ts, value AS bytes, CASE WHEN event_type = 'view' THEN event_type END AS name FROM events)"""
 
 
 @query(f"""WITH {PACKETS}, f AS (SELECT *, CASE WHEN src < dst THEN src ELSE dst END AS lo, CASE WHEN src < dst THEN dst ELSE src END AS hi FROM pk),
@@ -105,9 +111,9 @@ g AS (SELECT lo, hi, min(ts) AS first, max(ts) AS last, arg_min(src, ts) AS clie
 SELECT client, CASE WHEN client = lo THEN hi ELSE lo END AS server, round(first, 3) AS first, round(last, 3) AS last, count(*) FILTER (f.src = client) AS packets_out, count(*) FILTER (f.src <> client) AS packets_in,
 round(coalesce(sum(f.bytes) FILTER (f.src = client), 0), 2) AS bytes_out, arg_min(name, f.ts) FILTER (name IS NOT NULL) AS name FROM g JOIN f USING (lo, hi) GROUP BY lo, hi, client, first, last""")
 def r12_packet_fold(spark, sf):
-    e = read(spark, sf, "events").where("user_id <> 1000")
+    e = read(spark, sf, "events")
     even = F.col("event_id") % 2 == 0
-    t = e.select(F.when(even, F.col("user_id")).otherwise(1000).cast("long").alias("src"), F.lit(1).alias("sport"), F.when(even, 1000).otherwise(F.col("user_id")).cast("long").alias("dst"), F.lit(1).alias("dport"), F.lit("tcp").alias("proto"), V.epoch_seconds(F.col("ts")).alias("ts"), F.col("value").alias("bytes"), F.when(F.col("event_type") == "view", F.col("event_type")).alias("name"))
+    t = e.select(F.when(even, F.col("user_id")).otherwise(-1).cast("long").alias("src"), F.lit(1).alias("sport"), F.when(even, -1).otherwise(F.col("user_id")).cast("long").alias("dst"), F.lit(1).alias("dport"), F.lit("tcp").alias("proto"), V.epoch_seconds(F.col("ts")).alias("ts"), F.col("value").alias("bytes"), F.when(F.col("event_type") == "view", F.col("event_type")).alias("name"))
     f = logs.fold_packets(t)
     return f.select("client", "server", F.round("first", 3).alias("first"), F.round("last", 3).alias("last"), "packets_out", "packets_in", F.round("bytes_out", 2).alias("bytes_out"), "name")
 
@@ -248,11 +254,11 @@ def f14_f16_f18_decode(spark, sf):
 
 @query("SELECT event_id, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS code, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def f17_f20_label_map(spark, sf):
-    from pyspark.sql import Window
+    from kinweave.operators.ranking import position_by_order
 
     t = read(spark, sf, "events")
-    codes = t.select("event_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("event_type")) - 1)
-    return t.join(F.broadcast(codes), "event_type").select("event_id", "code", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    codes = position_by_order(t.select("event_type").distinct(), [], ["event_type"]).select("event_type", F.col("pos").cast("int").alias("code"))
+    return t.join(codes, "event_type").select("event_id", "code", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 @query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occurrence FROM orders")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinweave.functions import values as V
-from kinweave.operators import audit, compare, controls, feasibility, graph, presence, ranking, splits
+from kinweave.operators import audit, compare, controls, feasibility, graph, learn, presence, ranking, splits
 from kinweave.sources import logs, tables
 
 SIZES = (147, 35, 12, 3, 2, 1)
@@ -64,6 +64,31 @@ def test_hot_groups_are_ranked_in_pieces(flows):
     assert sorted(whole) == sorted(cut)
 
 
+def test_pieces_are_dealt_over_tasks(spark):
+    """A million rows, 95 % of one value: the exchange is by piece, and no task ranks the whole value."""
+    t = spark.range(1_000_000).select("id", F.when(F.col("id") % 20 == 0, F.col("id") % 100).otherwise(-1).alias("v"))
+    out = ranking.position_by_hash(t, ["v"], F.md5(F.col("id").cast("string")), "id", piece_rows=50_000)
+    plan = out._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_COL" in plan and "_piece" in plan.split("REPARTITION_BY_COL")[0].rsplit("Exchange", 1)[-1]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = out.where("v = -1").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 500_000
+    s = out.where("v = -1").agg(F.min("pos"), F.max("pos"), F.countDistinct("pos"), F.min("n"), F.max("n")).first()
+    assert tuple(s) == (0, 949_999, 950_000, 950_000, 950_000)
+
+
+def test_average_rank_in_ranges(flows):
+    for keys in ([], ["via"]):
+        whole = ranking.average_rank(flows.where("via like 'v%'"), keys, "ts").select("id", "avg_rank").collect()
+        cut = ranking.average_rank(flows.where("via like 'v%'"), keys, "ts", piece_rows=10).select("id", "avg_rank").collect()
+        assert sorted(whole) == sorted(cut)
+    same = ranking.average_rank(flows.where("ts = 0").select("id", "ts"), [], "ts").collect()
+    assert {r.avg_rank for r in same} == {(len(same) + 1) / 2}
+
+
 def test_attachment(spark):
     def attached(values, n_train):
         df = spark.createDataFrame([(i, v, "train" if i < n_train else "test") for i, v in enumerate(values)], "id long, via string, split string")
@@ -98,6 +123,36 @@ def test_group_split_is_disjoint(flows):
     assert {r.k for r in t.where("via like 'v%'").collect()} == {1}
 
 
+def test_first_fit_equals_a_walk(spark):
+    rng = np.random.default_rng(1)
+    for goal in (0, 1, 30, 200, 10_000):
+        sizes = [int(x) for x in rng.integers(1, 40, 60)]
+        groups = spark.createDataFrame([(f"g{i}", n, i) for i, n in enumerate(sizes)], "_g string, size long, at long")
+        filled, expected = 0, set()
+        for i, n in enumerate(sizes):
+            if not expected or filled + n <= goal:
+                filled += n
+                expected.add(f"g{i}")
+        taken, rows = splits.first_fit(groups, goal)
+        assert {r["_g"] for r in taken.collect()} == expected and rows == filled
+
+
+def test_learners_on_separable_rows(spark):
+    """Each learner, the ablation and the comparisons tell classes apart that a column tells, and only then."""
+    rows = [(i, i % 2, ("train", "val", "test")[i % 3], float(i % 2) * 3 + (i % 7) / 10, float(i), float(i % 5)) for i in range(240)]
+    t = spark.createDataFrame(rows, "id long, label int, split string, good double, row_id double, noise double")
+    for model in ("boosting", "linear"):
+        m = compare.metrics(learn.fit_predict(t, ["good"], model), ["split"], 2).where("split = 'test'").first()
+        assert m.accuracy == 1.0 and m.macro_f1 == 1.0 and m.n == 80
+    sets = {(r.feature_set, r.fit_on): r.macro_f1 for r in learn.feature_set_comparison(t, {"good": ["good"], "noise": ["noise"]}, "linear").collect()}
+    assert sets[("good", "train")] == 1.0 == sets[("good", "train+val")] and sets[("noise", "train")] < 0.8 and len(sets) == 4
+    lost = {r.feature_set: r.inflation for r in learn.index_ablation(t, ["good", "row_id", "noise"], ["noise"]).collect()}
+    assert lost["drop"] == 0 and set(lost) == {"keep", "drop", "drop_ports"}
+    near = t.select(F.lit("r").alias("relation"), "id", F.col("good").alias("nbr_noise")).unionByName(t.select(F.lit("s").alias("relation"), "id", F.lit(0.0).alias("nbr_noise")))
+    of = {r.relations: r.macro_f1 for r in learn.relation_sets(t, near, ["noise"], "r;s;r+s").collect()}
+    assert of["r"] == 1.0 == of["r+s"] and of["s"] < 0.8
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (4, 5), (11, 12), (12, 13), (11, 13)]
     e = spark.createDataFrame(edges, "src long, dst long")
