@@ -55,7 +55,7 @@ CUT = "\x01"
 #: New pieces that are encoded as one text.
 TOGETHER = 2_000
 #: Text and documents of a file, at most about.
-FILE_BYTES, FILE_DOCS = 64 << 20, 500_000
+FILE_BYTES, FILE_DOCS = 32 << 20, 500_000
 #: Bytes of text that are split at a time.
 PORTION = 3 << 20
 #: A blank at the end or before white space (as Python or the tokenizer counts it), or odd control characters.
@@ -234,8 +234,8 @@ class TokenFile:
         self.out.write(struct.pack("<QQ", at, self.n))
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """Writes the files in ascending doc_id order; returns their manifest."""
+def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the files, of about ``file_bytes`` of text, in ascending doc_id order; returns their manifest."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -263,8 +263,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int =
         give_back()
 
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("docs")).first()
-    n_bytes, most = size["bytes"] or 0, 3 * docs.sparkSession.sparkContext.defaultParallelism
-    files = max(1, -(-n_bytes // FILE_BYTES), -(-size["docs"] // FILE_DOCS), min(most, -(-n_bytes // (FILE_BYTES >> 4))))
+    files = max(1, -(-(size["bytes"] or 0) // file_bytes), -(-size["docs"] // FILE_DOCS))
     t = docs.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     return staged(t.mapInArrow(write, MANIFEST), "token-manifest")
 
@@ -328,9 +327,9 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
     return staged(t, "token-offsets").repartition(max(1, manifest.count()), "file").mapInArrow(read, TOKENS)
 
 
-def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, DataFrame]:
+def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, DataFrame]:
     """Writes the files and reads them back; returns manifest and documents."""
     folder = folder or new_dir(spark, "tokens")
     t = pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    manifest = write_files(t, folder, tokenizer_path, end_id)
+    manifest = write_files(t, folder, tokenizer_path, end_id, file_bytes)
     return manifest, read_files(manifest, folder)
