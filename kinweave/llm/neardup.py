@@ -50,6 +50,8 @@ GROUP_SHINGLES = 2_000_000
 _SETS = "doc_id long, text_hash long, n_shingles long, set_id binary, keys array<long>, mins binary"
 #: Words whose hashes are kept; a worker's table stays under ten MB.
 _MANY = 1 << 16
+#: Large nodes whose pivots, about a kilobyte each, are broadcast.
+MANY_PIVOTS = 20_000
 #: Graphs of more edges than this treat centres of stars as hot keys.
 LARGE_GRAPH = 100_000
 
@@ -212,7 +214,7 @@ def _by_pivots(large: DataFrame, many: int, mins: DataFrame, level: int) -> tupl
             made = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(made, names=["node", "id", "goes_on", "a", "b"])
 
-    t = spread_join(t.drop("n"), chosen, "node", "n", "left", many).select("node", "id", "mins", "pivots")
+    t = spread_join(t.drop("n"), chosen, "node", "n", "left", many, MANY_PIVOTS).select("node", "id", "mins", "pivots")
     t = staged(t.mapInArrow(compare, "node long, id long, goes_on boolean, a array<long>, b array<long>"), "pivots")
     links = t.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
     return links, t.where("goes_on").select(F.xxhash64("node").alias("node"), "id")

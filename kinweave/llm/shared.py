@@ -16,6 +16,8 @@ BROADCAST_ROWS = 500_000
 ARROW_ROWS = 2_000
 #: A key with more rows than this, and more than one in HOT_KEYS of all, is hot. So there are at most HOT_KEYS of them.
 HOT_ROWS, HOT_KEYS = 1_000, 100_000
+#: Tables of up to this number of keys are broadcast whole by ``spread_join``.
+FEW_KEYS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -110,26 +112,25 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(drop, same, "left_anti")
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner", total: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, n: str, how: str = "inner", total: int | None = None, few: int | None = None) -> DataFrame:
     """Joins rows with a table that has one row a key; ``n`` is its column with the number of rows.
 
-    Hot keys, at most HOT_KEYS, are broadcast, so that their rows stay where they are; the others
-    are shuffled, each of a bounded number of rows. Rows with a null key match nothing and are not
-    shuffled. ``n`` is dropped. Both inputs are read more than once and should be staged.
+    A table of at most ``few`` (FEW_KEYS) keys is broadcast. Of a larger one hot keys, at most
+    HOT_KEYS, are broadcast, so that their rows stay where they are; the others are shuffled, each of a
+    bounded number of rows. Rows with a null key match nothing and are not shuffled. ``n`` is dropped.
+    Both inputs are read more than once and should be staged.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
+    if table.count() <= (FEW_KEYS if few is None else few):
+        return rows.join(F.broadcast(table.drop(n)), key, how)
     if total is None:
         total = int(table.agg(F.sum(n)).first()[0] or 0)
     bound = max(HOT_ROWS, total // HOT_KEYS)
-    rest = table.where(F.col(n) <= bound).drop(n)
+    hot, rest = F.broadcast(table.where(F.col(n) > bound).drop(n)), table.where(F.col(n) <= bound).drop(n)
     there = rows.where(F.col(key).isNotNull())
-    if total > HOT_ROWS:
-        hot = F.broadcast(table.where(F.col(n) > bound).drop(n))
-        cold = there.join(hot.select(key), key, "left_anti").join(rest, key, how)
-        out = cold.unionByName(there.join(hot, key).select(*cold.columns))
-    else:
-        out = there.join(rest, key, how)
+    cold = there.join(hot.select(key), key, "left_anti").join(rest, key, how)
+    out = cold.unionByName(there.join(hot, key).select(*cold.columns))
     if how == "inner":
         return out
     nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rest.schema if f.name != key]

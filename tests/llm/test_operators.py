@@ -359,6 +359,8 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, small):
         monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
         monkeypatch.setattr(shared, "HOT_ROWS", 2)
         monkeypatch.setattr(shared, "HOT_KEYS", 3)
+        monkeypatch.setattr(shared, "FEW_KEYS", 0)
+        monkeypatch.setattr(neardup, "MANY_PIVOTS", 0)
     base = [f"t{i}" for i in range(40)]
     copies = [(100 + k, " ".join([*base[:k], f"changed{k}", *base[k + 1 :]])) for k in range(0, 40, 5)]
     copies += [(None, copies[0][1]), (None, " ".join(base)), (None, "alone and without an id are these two words"), (100, copies[0][1])]
@@ -555,6 +557,7 @@ def test_archives_keep_large_ids(spark, monkeypatch, bound):
     """Ids over 2 ** 53 beside nulls, many equal payloads, clashing columns, and the header of WARC/1.1."""
     monkeypatch.setattr(warc, "BROADCAST_ROWS", bound)
     monkeypatch.setattr(shared, "HOT_ROWS", 3)
+    monkeypatch.setattr(shared, "FEW_KEYS", bound and shared.FEW_KEYS)
     big = 2**60
     html = [(big + 3, "same"), (big + 1, "same"), (None, "same"), (big + 5, "other"), *[(big + 10 + k, "") for k in range(8)]]
     pages = spark.createDataFrame([(i, f"http://u/{i}", h, "x", 1) for i, h in html], "page_id long, url string, html string, sha string, refers_to int")
