@@ -160,8 +160,9 @@ def write_bundles(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame:
                 name = f"bundle-{uuid.uuid4().hex}.warc.zst"
                 out = system.open_output_stream(f"{at}/{name}", compression=None)
                 writer = BundleWriter(out, name)
-            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                page_id, url, html, refers_to = (x.as_py() for x in row)
+            ids = (batch.column(c).to_pylist() for c in ("page_id", "refers_to"))
+            texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("url", "html"))
+            for page_id, refers_to, url, html in zip(*ids, *texts, strict=True):
                 writer.add(page_id, _record(page_id, url, html, refers_to, date))
             if writer is not None:
                 yield _rows(writer.taken(), INDEX)
