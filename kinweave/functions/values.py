@@ -126,9 +126,13 @@ def version_cipher_fingerprint(version: Column, cipher: Column) -> Column:
     return F.md5(F.concat(F.coalesce(version, F.lit("")), F.lit("|"), F.coalesce(cipher, F.lit(""))))
 
 
-def handshake_fingerprint(*fields: Column) -> Column:
-    """Digest of the handshake's fields; lists are joined by dashes."""
-    return F.md5(F.concat_ws(",", *fields))
+def handshake_fingerprint(version: Column, *lists: Column) -> Column:
+    """Digest of a handshake: its version and its lists (ciphers, extensions, curves, point formats).
+
+    Lists are joined by dashes, fields by commas; a null or empty list leaves its field empty.
+    """
+    joined = [F.concat_ws("-", x.cast("array<string>")) for x in lists]
+    return F.md5(F.concat_ws(",", F.coalesce(version.cast("string"), F.lit("")), *joined))
 
 
 def first_of_list(c: Column) -> Column:
@@ -162,6 +166,25 @@ def label_by_longest(text: Column, tokens, otherwise=None) -> Column:
     return label_by_substring(text, [(t.lower(), t) for t in ordered], otherwise)
 
 
+def label_by_file_name(path: Column, categories, otherwise=None) -> Column:
+    """The first category whose name after its first underscore occurs in the file's name."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return label_by_substring(name, [(c.split("_", 1)[1].lower(), c) for c in categories], otherwise)
+
+
+def clean_label(c: Column) -> Column:
+    """The label trimmed and in lower case; null if nothing is left."""
+    return F.nullif(F.lower(F.trim(c)), F.lit(""))
+
+
+def tuple_text(columns: list[str], candidates) -> Column:
+    """A row's tuple as text: the values of those candidates that the table has, three at least."""
+    have = [c for c in candidates if c in columns]
+    if len(have) < 3:
+        raise ValueError(f"fewer than three of {list(candidates)} in {columns}")
+    return F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("nan")) for c in have])
+
+
 def folder(path: Column, depth: int = 1) -> Column:
     """The folder that many levels above the file."""
     return F.element_at(F.split(path, "/"), -1 - depth)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.values import log_count
+from kinweave.functions.values import log_count, tuple_text
 from kinweave.operators.graph import long_values
+from kinweave.operators.ranking import position_by_order
 from kinweave.operators.splits import folds
 
 
@@ -103,3 +104,14 @@ def endpoint_means(ends: DataFrame, df: DataFrame, column: str, exclude_self: bo
         mean = F.when(n > 1, (total - F.col(column)) / (n - 1)).otherwise(F.col(column)) if exclude_self else total / n
         out = out.withColumn(f"{side}_mean", mean).drop(f"_s_{side}", f"_n_{side}")
     return out.select("id", "src_node_mean", "dst_node_mean")
+
+
+def row_identity(df: DataFrame, order: list[str], candidates) -> DataFrame:
+    """Adds ``row_hash``: a digest of the tuple columns the table has (at least three).
+
+    Rows that repeat a tuple are numbered in the order of columns, so that each has its own digest.
+    """
+    t = df.withColumn("_tuple", tuple_text(df.columns, candidates))
+    t = position_by_order(t, ["_tuple"], order)
+    again = F.when(F.col("pos") > 0, F.concat(F.lit("#"), F.col("pos").cast("string"))).otherwise("")
+    return t.withColumn("row_hash", F.md5(F.concat("_tuple", again))).drop("_tuple", "n", "pos")

@@ -153,6 +153,23 @@ def j3_certificate_lookup(spark, sf):
     return t.select("o_orderkey", "c_name", "c_mktsegment")
 
 
+CERTIFICATES = """ce AS (SELECT c_custkey::VARCHAR AS key, c_name AS subject, c_mktsegment AS issuer,
+(1000000 + c_nationkey)::VARCHAR AS begin FROM customer)"""
+
+
+@query(f"WITH {CERTIFICATES} SELECT o_orderkey, subject, issuer, begin, NULL::VARCHAR AS \"end\" FROM orders LEFT JOIN ce ON o_custkey::VARCHAR = key")
+def j3_certificate_names(spark, sf):
+    """A certificate log with names of both kinds and without an end of validity."""
+    certificates = read(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.col("c_name").alias("certificate.subject"),
+        F.col("c_mktsegment").alias("issuer"),
+        (1000000 + F.col("c_nationkey")).alias("certificate.not_valid_before"),
+    )
+    t = sessions(spark, sf).withColumnRenamed("chain", "cert_chain_fuids")
+    return logs.with_named_certificate(t, certificates).select("o_orderkey", "subject", "issuer", "begin", "end")
+
+
 @query(f"WITH {S.ENT}, lv AS ({S.long()}), tr AS (SELECT DISTINCT relation, value FROM lv WHERE split = 'train') SELECT relation, count(*) AS n_seen FROM lv JOIN tr USING (relation, value) WHERE split = 'test' GROUP BY 1")
 def j5_value_membership(spark, sf):
     from kinweave.operators.graph import long_values
@@ -204,6 +221,20 @@ def f2_f4_cipher_group(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", V.cipher_group(v, c).alias("bucket"), V.version_cipher_fingerprint(v, c).alias("fingerprint"))
 
 
+@query("""SELECT l_orderkey, md5(concat(l_orderkey % 5 + 769, ',', string_agg(l_partkey, '-' ORDER BY l_linenumber, l_partkey, l_suppkey), ',',
+string_agg(l_suppkey, '-' ORDER BY l_linenumber, l_partkey, l_suppkey), ',,',
+coalesce(string_agg(l_linenumber, '-' ORDER BY l_linenumber) FILTER (l_linenumber > 1), ''))) AS fingerprint
+FROM lineitem GROUP BY 1""")
+def f4_handshake_fingerprint(spark, sf):
+    """An order's lines as a handshake's lists, one of which is missing and one often empty."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
+    t = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(lines.alias("x"))
+    later = F.filter("x.l_linenumber", lambda n: n > 1)
+    none = F.lit(None).cast("array<int>")
+    found = V.handshake_fingerprint(F.col("l_orderkey") % 5 + 769, F.col("x.l_partkey"), F.col("x.l_suppkey"), none, later)
+    return t.select("l_orderkey", found.alias("fingerprint"))
+
+
 @query("""SELECT o_orderkey, CASE WHEN d <= 0 THEN 'unknown' WHEN d <= 7 THEN 'validity_0_7d' WHEN d <= 30 THEN 'validity_8_30d' WHEN d <= 90 THEN 'validity_31_90d' WHEN d <= 398 THEN 'validity_91_398d' WHEN d <= 825 THEN 'validity_399_825d' ELSE 'validity_long_2y_plus' END AS bucket
 FROM (SELECT o_orderkey, o_orderkey % 1000 AS d FROM orders)""")
 def f3_validity_bucket(spark, sf):
@@ -244,6 +275,25 @@ def f12_f15_f19_labels(spark, sf):
     return read(spark, sf, "part").select("p_partkey", V.label_by_substring(n, (("a", "has_a"), ("e", "has_e"))).alias("by_substring"), V.label_by_longest(n, ("p", "part")).alias("by_longest"), V.family(n, (("P", "upper"), ("p", "lower"))).alias("family"))
 
 
+@query("""SELECT event_id, CASE WHEN event_type LIKE '%e%' THEN 'kind_e' WHEN event_type LIKE '%i%' THEN 'kind_i' ELSE 'kind_other' END AS category
+FROM events""")
+def f13_file_name_label(spark, sf):
+    path = F.concat(F.lit("/line/in/"), F.upper("event_type"))
+    label = V.label_by_file_name(path, ("kind_e", "kind_i"), "kind_other")
+    return read(spark, sf, "events").select("event_id", label.alias("category"))
+
+
+@query("""SELECT event_id, event_type AS label, (event_type <> 'view')::INT AS positive,
+CASE WHEN starts_with(event_type, 'e') THEN 'E' WHEN starts_with(event_type, 'c') THEN 'C' END AS family
+FROM events WHERE event_id % 5 > 1""")
+def w7_labelled_rows(spark, sf):
+    """Rows whose label is not blank; every fifth one is blank, every fifth missing."""
+    raw = F.when(F.col("event_id") % 5 > 1, F.concat(F.lit(" "), F.upper("event_type"))).when(F.col("event_id") % 5 == 1, "  ")
+    t = read(spark, sf, "events").select("event_id", V.clean_label(raw).alias("label")).where("label is not null")
+    positive = V.binary_label(F.col("label"), negative=("view",)).alias("positive")
+    return t.select("event_id", "label", positive, V.family(F.col("label"), (("e", "E"), ("c", "C"))).alias("family"))
+
+
 @query("SELECT event_id, 'random' AS mode, user_id AS split_seed, NULL::BIGINT AS edge_seed, NULL::DOUBLE AS test_size, event_type AS folder, (event_type IN ('error', 'view'))::INT AS positive, (event_type NOT IN ('view'))::INT AS not_view FROM events")
 def f14_f16_f18_decode(spark, sf):
     t = read(spark, sf, "events")
@@ -286,3 +336,19 @@ def v6_top_values(spark, sf):
 @query("SELECT md5(concat(c_custkey, '|', c_name, '|', c_mktsegment)) AS row_hash FROM customer")
 def p10_row_identity(spark, sf):
     return read(spark, sf, "customer").select(F.md5(F.concat_ws("|", F.col("c_custkey").cast("string"), "c_name", "c_mktsegment")).alias("row_hash"))
+
+
+@query("""SELECT event_id, md5(key || CASE WHEN k > 0 THEN '#' || k ELSE '' END) AS row_hash FROM
+(SELECT event_id, key, row_number() OVER (PARTITION BY key ORDER BY event_id) - 1 AS k FROM
+(SELECT event_id, concat_ws('|', user_id % 50, event_type, event_id % 3) AS key FROM events))""")
+def p10_repeated_identity(spark, sf):
+    """Identity by the three tuple columns that are there; rows that repeat a tuple are numbered."""
+    from kinweave.operators.features import row_identity
+
+    t = read(spark, sf, "events").select(
+        "event_id",
+        (F.col("user_id") % 50).alias("src_ip"),
+        F.col("event_type").alias("dst_ip"),
+        (F.col("event_id") % 3).alias("dport"),
+    )
+    return row_identity(t, ["event_id"], ("src_ip", "sport", "dst_ip", "dport", "ts")).select("event_id", "row_hash")

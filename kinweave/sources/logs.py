@@ -74,6 +74,42 @@ def with_certificate(sessions: DataFrame, chain: str, certificates: DataFrame, k
     return sessions.withColumn("_key", first_of_list(F.col(chain))).join(last, "_key", "left").drop("_key")
 
 
+#: Names that certificate and session logs give their columns, in order of preference (fixed values).
+CERTIFICATE_NAMES = {
+    "key": ("fingerprint", "id"),
+    "subject": ("certificate.subject", "subject"),
+    "issuer": ("certificate.issuer", "issuer"),
+    "begin": ("certificate.not_valid_before", "not_valid_before"),
+    "end": ("certificate.not_valid_after", "not_valid_after"),
+}
+CHAIN_NAMES = ("cert_chain_fps", "cert_chain_fuids")
+
+
+def first_named(columns: list[str], names) -> str | None:
+    """The first of the names that is a column."""
+    return next((n for n in names if n in columns), None)
+
+
+def named_certificates(certificates: DataFrame) -> DataFrame:
+    """A certificate log under the names key, subject, issuer, begin, end; columns it lacks are null."""
+    found = {to: first_named(certificates.columns, names) for to, names in CERTIFICATE_NAMES.items()}
+    if found["key"] is None:
+        raise ValueError(f"no identifier among {certificates.columns}")
+    none = F.lit(None)
+    return certificates.select(*[(F.col(f"`{c}`") if c else none).cast("string").alias(to) for to, c in found.items()])
+
+
+def with_named_certificate(sessions: DataFrame, certificates: DataFrame) -> DataFrame:
+    """``with_certificate`` for logs of either column naming; of repeated certificates that which
+    becomes valid last counts. Sessions without a chain column get null columns."""
+    chain = first_named(sessions.columns, CHAIN_NAMES)
+    if chain is None:
+        nothing = {c: F.lit(None).cast("string") for c in CERTIFICATE_NAMES if c != "key"}
+        return sessions.withColumns(nothing)
+    order = ["begin", "end", "subject", "issuer"]
+    return with_certificate(sessions, chain, named_certificates(certificates), "key", order)
+
+
 def tls_columns(t: DataFrame, version: str, cipher: str, issuer: str, begin: str, end: str) -> DataFrame:
     """Adds the derived metadata columns."""
     return t.withColumns({"cipher_group": cipher_group(F.col(version), F.col(cipher)), "fingerprint": version_cipher_fingerprint(F.col(version), F.col(cipher)), "issuer_bucket": issuer_bucket(F.col(issuer)), "validity": validity_bucket(F.col(begin), F.col(end))})

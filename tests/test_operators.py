@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -306,3 +307,34 @@ def test_components_of_all_rows_and_relations(spark):
 def test_union_of_frames(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "y int")
     assert sorted(map(str, tables.union_frames([a, b]).collect())) == ["Row(x=1, y=None)", "Row(x=None, y=2)"]
+
+
+def test_certificate_names_and_missing_columns(spark):
+    s = spark.createDataFrame([("a", "f1,f2"), ("b", None), ("c", "zz")], "uid string, cert_chain_fps string")
+    c = spark.createDataFrame([("f1", "one"), ("f1", "two")], "fingerprint string, `certificate.subject` string")
+    got = {r["uid"]: (r["subject"], r["issuer"]) for r in logs.with_named_certificate(s, c).collect()}
+    assert got == {"a": ("two", None), "b": (None, None), "c": (None, None)}
+    bare = logs.with_named_certificate(s.select("uid"), c)
+    assert bare.columns == ["uid", "subject", "issuer", "begin", "end"] and bare.where("subject is null").count() == 3
+    with pytest.raises(ValueError):
+        logs.named_certificates(c.select(F.lit(1).alias("other")))
+
+
+def test_row_identity_needs_three_columns_and_parts_repeats(spark):
+    from kinweave.operators.features import row_identity
+
+    t = spark.createDataFrame([(1, "a", 1, None), (2, "a", 1, None), (3, "b", 1, 2)], "id long, src_ip string, sport int, ts int")
+    names = ("src_ip", "sport", "dst_ip", "dport", "ts")
+    got = [r["row_hash"] for r in row_identity(t, ["id"], names).orderBy("id").collect()]
+    assert got == [hashlib.md5(x.encode()).hexdigest() for x in ("a|1|nan", "a|1|nan#1", "b|1|2")]
+    with pytest.raises(ValueError):
+        row_identity(t.drop("ts"), ["id"], names)
+
+
+def test_labels_of_files_and_blank_labels(spark):
+    t = spark.createDataFrame([("/x/Chat_1.log", " A "), ("/chat/none", "  "), ("/x/p2p-chat", None)], "path string, label string")
+    kind = V.label_by_file_name(F.col("path"), ("t_chat", "t_p2p"), "t_other").alias("kind")
+    got = t.select(kind, V.clean_label(F.col("label")).alias("label")).collect()
+    assert [tuple(r) for r in got] == [("t_chat", "a"), ("t_other", None), ("t_chat", None)]
+    h = V.handshake_fingerprint(F.lit(769), F.array(F.lit(4), F.lit(5)), F.lit(None).cast("array<int>"), F.array().cast("array<int>"))
+    assert spark.range(1).select(h).first()[0] == hashlib.md5(b"769,4-5,,").hexdigest()
