@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinweave.llm import chat, decontam, hostrep, mixing, neardup, quality
+from kinweave.llm import chat, decontam, hostrep, lemp, mixing, neardup, quality, trie
 
 #: Words of a text, as DuckDB lists.
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -149,6 +149,45 @@ def _op1() -> str:
     SELECT doc_id, source, lang, topic, n_tokens, coalesce(rate, 0.0) AS rate, u < coalesce(rate, 0.0) AS kept FROM u LEFT JOIN f USING (source, lang, topic)"""
 
 
+def _crc32(digits: str) -> str:
+    """The checksum of a text of plain characters, bit by bit."""
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({digits}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {step}), 4294967295)"
+
+
+def _op11() -> str:
+    return f"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(coalesce(text, '')) AS digest,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT DISTINCT conv_id, {_crc32("conv_id::VARCHAR")} % {trie.HEADS} AS h, conv_id - conv_id % {trie.FAMILY} AS family FROM t),
+    u AS (SELECT c.conv_id, 0 AS part, pos, role, text, digest FROM c JOIN t ON t.conv_id = c.family AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text, digest FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+    r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM u),
+    k AS (SELECT conv_id, depth, length(text) AS n_chars, md5(string_agg(md5(role) || digest, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r),
+    p AS MATERIALIZED (SELECT conv_id, depth, n_chars, node, coalesce(lag(node) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent, max(depth) OVER (PARTITION BY conv_id) = depth AS ends FROM k
+      UNION ALL SELECT conv_id, 0, 0, '', NULL, conv_id NOT IN (SELECT conv_id FROM k) FROM c),
+    n AS MATERIALIZED (SELECT node, any_value(parent) AS parent, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(n_chars) AS saved,
+      sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY node),
+    f AS (SELECT parent, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY parent),
+    s AS (SELECT p.node, sum(n.saved) AS saved_tokens, count(*) FILTER (f.parent IS NULL) AS n_leaves FROM n JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth LEFT JOIN f ON f.parent = n.node GROUP BY p.node)
+    SELECT n.conv_id, n.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM n JOIN s ON s.node = n.node LEFT JOIN f ON f.parent = n.node LEFT JOIN n m ON m.node = n.parent"""
+
+
+def _op12() -> str:
+    return f"""
+    WITH v AS MATERIALIZED (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % {lemp.NOISE_EVERY} = 0 THEN (label + 1) % {lemp.LABELS} ELSE label END AS label,
+      list_transform(embedding, lambda x: floor({lemp.SCALE:.0f} * x::DOUBLE)) AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS MATERIALIZED (SELECT a.uid, a.vec_id AS anchor_id, b.vec_id, b.uid AS row, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % {lemp.ANCHOR_EVERY} = 0 AND a.uid <> b.uid),
+    p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id NULLS LAST, row) <= {lemp.POSITIVES})
+    SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s ON s.uid = p.uid AND NOT s.same AND {lemp.LOW} * p.score <= 100 * s.score AND 100 * s.score <= {lemp.HIGH} * p.score
+    WINDOW w AS (PARTITION BY p.uid, p.row ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) QUALIFY row_number() OVER w <= {lemp.NEGATIVES}"""
+
+
 ORACLES = {
     "op1_source_mixing": _op1(),
     "op2_quality_rules": _op2(),
@@ -158,4 +197,6 @@ ORACLES = {
     "op9_warc": OP9,
     "quality_ablation": _ablation(),
     "op10_chat_format": _op10(),
+    "op11_prefix_trie": _op11(),
+    "op12_hard_negatives": _op12(),
 }

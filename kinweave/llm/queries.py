@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import arrowtokens, chat, decontam, hostrep, langid, mixing, neardup, pii, quality, warc
+from kinweave.llm import arrowtokens, chat, decontam, goodness, hostrep, langid, lemp, mixing, neardup, pii, quality, trie, warc
 from kinweave.llm.shared import staged
 
 
@@ -83,10 +83,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return goodness.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_source_mixing, op2_quality_rules, quality_ablation, op3_language_id, op4_decontamination, op5_token_files,
-        op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format,
+        op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format, op11_prefix_trie,
+        op12_hard_negatives, op13_quality_scores,
     )
 }
