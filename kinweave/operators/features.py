@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.values import log_count, tuple_text
 from kinweave.operators.graph import long_values
-from kinweave.operators.ranking import position_by_order
+from kinweave.operators.lookup import lookup_join
+from kinweave.operators.ranking import kept, position_by_order
 from kinweave.operators.splits import folds
 
 
@@ -56,13 +57,17 @@ def metadata_counts(df: DataFrame, relations: list[str], k: int = 5, seed: int =
 
     Training rows are counted out of fold: all training rows but those of their own fold.
     """
-    t = folds(df, k, seed).select("id", "split", "fold", *relations)
+    t = kept(folds(df, k, seed).select("id", "split", "fold", *relations))
     values = long_values(t, relations).join(t.select("id", "fold"), "id")
     train = values.where("split = 'train'")
     full = train.groupBy("relation", "value").agg(F.count(F.lit(1)).alias("all_train"))
     own = train.groupBy("relation", "value", "fold").agg(F.count(F.lit(1)).alias("own_fold"))
     size = values.groupBy("relation", "value").agg(F.count(F.lit(1)).alias("size"))
-    v = values.join(size, ["relation", "value"]).join(full, ["relation", "value"], "left").join(own, ["relation", "value", "fold"], "left")
+    # one entry a value: its sizes, and its training rows by fold, of which there are k
+    by_fold = own.groupBy("relation", "value").agg(F.map_from_entries(F.collect_list(F.struct("fold", "own_fold"))).alias("folds"))
+    entries = size.join(full, ["relation", "value"], "left").join(by_fold, ["relation", "value"], "left")
+    v = lookup_join(values, entries, ["relation", "value"])
+    v = v.withColumn("own_fold", F.when(F.col("fold").isNotNull(), F.try_element_at("folds", "fold")))
     freq = F.coalesce("all_train", F.lit(0)) - F.coalesce("own_fold", F.lit(0))
     v = v.select("id", "relation", F.lit(1).alias("present"), freq.alias("freq"), "size")
     grid = t.select("id", F.explode(F.array(*[F.lit(r) for r in relations])).alias("relation")).join(v, ["id", "relation"], "left")
@@ -95,11 +100,10 @@ def convolved(df: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:
 
 def endpoint_means(ends: DataFrame, df: DataFrame, column: str, exclude_self: bool = True) -> DataFrame:
     """The mean of the rows at each endpoint, without the row itself; its own value if it is alone."""
-    t = ends.join(df.select("id", column), "id")
-    out = t
+    out = t = kept(ends.join(df.select("id", column), "id"))
     for side in ("src_node", "dst_node"):
         s = t.groupBy(side).agg(F.sum(column).alias(f"_s_{side}"), F.count(F.lit(1)).alias(f"_n_{side}"))
-        out = out.join(s, side)
+        out = lookup_join(out, s, [side])
         total, n = F.col(f"_s_{side}"), F.col(f"_n_{side}")
         mean = F.when(n > 1, (total - F.col(column)) / (n - 1)).otherwise(F.col(column)) if exclude_self else total / n
         out = out.withColumn(f"{side}_mean", mean).drop(f"_s_{side}", f"_n_{side}")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.values import hash_number, seeded_hash, valid_value
+from kinweave.operators.lookup import lookup_join
 from kinweave.operators.ranking import kept, position_by_hash
 from kinweave.spec import RelationSpec
 
@@ -95,17 +96,22 @@ def attach(new: DataFrame, positions: DataFrame, relations: list[str], budget: i
 
     New rows are never joined to each other; a value that training has not leaves a row alone.
     """
-    sizes = positions.groupBy("relation", "value").agg(F.max("n").alias("n"))
-    t = long_values(new, relations).select("relation", "value", "id").join(sizes, ["relation", "value"])
+    sizes = positions.where("pos = 0").select("relation", "value", "n")
+    values = long_values(new, relations).select("relation", "value", "id")
+    t = values.join(sizes, ["relation", "value"]) if new.isStreaming else lookup_join(values, sizes, ["relation", "value"])
     few = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
     drawn = distinct_draws(F.col("n"), budget, seed, F.col("value"), F.col("id"))
     t = t.select("relation", "value", F.col("id").alias("dst"), F.explode(F.when(F.col("n") <= budget, few).otherwise(drawn)).alias("pos"))
-    return t.join(positions.select("relation", "value", "pos", "src"), ["relation", "value", "pos"]).select("relation", "src", "dst")
+    t = t if new.isStreaming else kept(t)
+    places, key = positions.select("relation", "value", "pos", "src"), ["relation", "value", "pos"]
+    found = t.join(places, key) if new.isStreaming else lookup_join(t, places, key)
+    return found.select("relation", "src", "dst")
 
 
 def inductive(df: DataFrame, relations: list[str], budget: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The training graph, and the edges that attach the other rows to it."""
-    positions = training_positions(df, relations, seed)
+    """The training graph, and the edges that attach the other rows to it; rows and positions are written once."""
+    df = kept(df.select("id", "split", *relations))
+    positions = kept(training_positions(df, relations, seed))
     return train_only(df, relations, budget, seed), attach(df.where("split <> 'train'"), positions, relations, budget, seed)
 
 
@@ -165,17 +171,18 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest vertex reachable, by alternating large and small stars.
 
-    Each round goes to the checkpoint folder; hubs are summed before they are joined.
+    Each round goes to the checkpoint folder. The rows of a hub are summed where they lie, and the
+    hub's smallest neighbour is looked up by them, so that they need not meet in one task.
     """
     e = kept(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     last = None
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = kept(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = kept(lookup_join(both.where("v > u"), low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(low, "u")
-        pairs = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(star.select("u", F.col("m").alias("v")))
+        star = lookup_join(e, low, ["u"])
+        pairs = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         e = kept(pairs.where("u <> v").distinct())
         state = e.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == last:
@@ -186,8 +193,46 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def components_by_relation(vertices: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
-    """(relation, id, component) of all vertices under each relation; one run, as the relation is part of the vertex."""
+    """(relation, id, component) of all vertices under each relation; one run, as the relation is part of the vertex.
+
+    For edges that were masked or are not of shared values; see ``value_components`` for those.
+    """
     node = lambda c: F.struct(F.col("relation"), F.col(c).alias("id"))
     v = vertices.select("id", F.explode(F.array(*map(F.lit, relations))).alias("relation")).select(node("id").alias("id"))
     c = components(v, edges.select(node("src").alias("src"), node("dst").alias("dst")))
     return c.select("id.relation", "id.id", F.col("component.id").alias("component"))
+
+
+def value_components(df: DataFrame, relations: list[str]) -> DataFrame:
+    """(relation, id, component) of the unmodified relation graphs, without any edge.
+
+    A ring or complete group connects all rows of a value and no others, and a row has one value a
+    relation, so a component is a value's group; a row without value is alone.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), valid_value(F.col(r)).alias("value")) for r in relations]))
+    t = df.select("id", each.alias("r")).select("r.relation", "r.value", "id")
+    low = t.where("value is not null").groupBy("relation", "value").agg(F.min("id").alias("_low"))
+    return lookup_join(t, low, ["relation", "value"], "left").select("relation", "id", F.coalesce("_low", "id").alias("component"))
+
+
+def union_components(df: DataFrame, relations: list[str]) -> DataFrame:
+    """(id, component) of the graph of all relations together: rows that are linked by any chain of shared values.
+
+    The first relation's groups are contracted by one aggregation. Each further relation is a table of
+    (group, value) incidences without repeats, whose stars are contracted in turn; ring edges are never
+    made, and each step works on the groups that are left.
+    """
+    t = df.select("id", *[valid_value(F.col(r)).alias(r) for r in relations], F.col("id").alias("_c"))
+    for i, r in enumerate(relations):
+        pairs = t.where(F.col(r).isNotNull()).select("_c", F.col(r).alias("_v")).distinct()
+        low = pairs.groupBy("_v").agg(F.min("_c").alias("_low"), F.count(F.lit(1)).alias("_n"))
+        if i == 0:
+            groups = low.select(F.col("_v").alias(r), "_low")
+            t = kept(lookup_join(t, groups, [r], "left").withColumn("_c", F.coalesce("_low", "_c")).drop("_low"))
+            continue
+        stars = lookup_join(pairs, low.where("_n > 1"), ["_v"]).where("_c <> _low").select(F.col("_c").alias("src"), F.col("_low").alias("dst"))
+        # a group meets the smallest group of each of its values; chains of values are followed by the stars
+        merged = components(stars.select(F.col("src").alias("id")).unionByName(stars.select(F.col("dst").alias("id"))).distinct(), stars)
+        merged = merged.withColumnsRenamed({"id": "_c", "component": "_to"}).where("_c <> _to")
+        t = kept(lookup_join(t, merged, ["_c"], "left").withColumn("_c", F.coalesce("_to", "_c")).drop("_to"))
+    return t.select("id", F.col("_c").alias("component"))

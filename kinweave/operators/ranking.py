@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinweave.operators.lookup import lookup_join
+
 #: Groups over this many rows are ranked in pieces.
 PIECE_ROWS = 2_000_000
 
@@ -102,4 +104,4 @@ def average_rank(df: DataFrame, keys: list[str], value: str, piece_rows: int = P
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     ranks = running_total(counts, keys, [value], "_c", piece_rows)
     ranks = ranks.withColumn("avg_rank", F.col("pos") + (F.col("_c") + 1) / 2.0).select(*keys, value, "avg_rank")
-    return df.join(ranks, [*keys, value])  # Spark splits the rows of a frequent value
+    return lookup_join(df, ranks, [*keys, value])  # a frequent value's rows stay where they are

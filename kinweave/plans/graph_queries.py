@@ -213,10 +213,12 @@ r(relation, v, m) AS (SELECT relation, id, id FROM ent, (SELECT unnest({list(S.R
 c AS (SELECT relation, v AS id, min(m) AS component FROM r GROUP BY 1, 2)"""
 
 
+COMPONENTS_MASKED = COMPONENTS.replace("r(relation, v, m)", "masked AS MATERIALIZED (SELECT e.* FROM edges e JOIN ent s ON e.src = s.id JOIN ent d ON e.dst = d.id WHERE s.split = d.split),\nr(relation, v, m)").replace("r JOIN edges e", "r JOIN masked e")
+
+
 @query(COMPONENTS + " SELECT * FROM c")
 def m19_components(spark, sf):
-    t = split_events(spark, sf)
-    return graph.components_by_relation(t, edges_of(t), RELATIONS)
+    return graph.value_components(events(spark, sf), RELATIONS)
 
 
 @query(COMPONENTS + ", s AS (SELECT relation, count(*) AS size FROM c GROUP BY relation, component) SELECT relation, count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, sum((size = 1)::INT)::BIGINT AS isolates FROM s GROUP BY 1")
@@ -224,6 +226,22 @@ def m19_component_sizes(spark, sf):
     return audit.component_sizes(m19_components(spark, sf), ("relation",))
 
 
+@query(COMPONENTS_MASKED + " SELECT * FROM c")
+def m19_masked_components(spark, sf):
+    """Of the graphs without edges across splits, by stars."""
+    t = split_events(spark, sf)
+    return graph.components_by_relation(t, controls.mask_cross_partition(t, edges_of(t)), RELATIONS)
+
+
+@query(f"""WITH RECURSIVE {S.EDGES.removeprefix("WITH ")}, u AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE relation IN ('via_timebin', 'via_user')),
+r(id, component) USING KEY (id) AS (SELECT id, id FROM ent UNION
+  (SELECT a.id, min(b.component) FROM recurring.r a JOIN u ON u.src = a.id JOIN r b ON b.id = u.dst WHERE b.component < a.component GROUP BY a.id))
+SELECT id, component FROM r""")
+def m19_union_components(spark, sf):
+    """Of two relations together, from rows and values without making edges."""
+    return graph.union_components(events(spark, sf), ["via_timebin", "via_user"])
+
+
 @query(f"WITH {S.EDGES} SELECT relation, src AS id, count(*) AS degree FROM edges GROUP BY 1, 2")
 def a20_degrees(spark, sf):
     return graph.degrees(edges_of(split_events(spark, sf)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.plans import field_queries, graph_queries, run_queries, source_queries
+from kinweave.plans import extraction_queries, field_queries, graph_queries, run_queries, source_queries
 
-_ALL = {**graph_queries.REGISTERED, **field_queries.REGISTERED, **run_queries.REGISTERED, **source_queries.REGISTERED}
+_ALL = {**graph_queries.REGISTERED, **field_queries.REGISTERED, **run_queries.REGISTERED, **source_queries.REGISTERED, **extraction_queries.REGISTERED}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,6 +1,6 @@
 """Readers of tab-separated logs with a ``#fields`` header, joins of their tables, and packets.
 
-Files are read as lines by Spark; the header is found once, and columns are cut natively.
+Files are read as lines by Spark; each file's header is found once, and columns are cut natively.
 """
 
 from __future__ import annotations
@@ -9,29 +9,76 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.values import cipher_group, endpoints, first_of_list, issuer_bucket, validity_bucket, version_cipher_fingerprint
+from kinweave.operators.lookup import lookup_join
+from kinweave.operators.ranking import kept
 
 
-def read_log(spark: SparkSession, path: str, numeric: tuple[str, ...] = (), absent: str = "-") -> DataFrame:
-    """A log's rows with the columns of its header; ``-`` is null, numeric columns are cast.
+#: Up to this number of files their headers are broadcast.
+FEW_FILES = 100_000
+HEAD = "#fields"
 
-    Rows with fewer cells than the header are dropped. All files under the path have one header.
+
+def _lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
+def log_headers(lines: DataFrame) -> DataFrame:
+    """(file, names): each file's own header, the last one if it has several."""
+    heads = lines.where(F.col("value").startswith(HEAD)).withColumn("at", F.struct("block", F.monotonically_increasing_id()))
+    last = heads.groupBy("file").agg(F.max_by("value", "at").alias("head"))
+    return last.select("file", F.slice(F.split(F.regexp_replace("head", r"\s+$", ""), "\t", -1), 2, 1 << 20).alias("names"))
+
+
+def read_log(spark: SparkSession, paths: str | list[str], numeric: tuple[str, ...] = (), absent: str = "-", file_column: str | None = None) -> DataFrame:
+    """The rows of one or many logs, each cut by the header of its own file.
+
+    The columns are those of all headers, in the order in which files (by name) bring them in; a column
+    that a file lacks is null in its rows. ``-`` is null, numeric columns are cast, and rows with fewer
+    cells than their header are dropped. A file without header has no rows; without any header it is an
+    error. Only the distinct headers reach the driver, as a schema is made of them; each file's places of
+    the columns are found once, and rows look them up by file.
     """
-    lines = spark.read.text(path)
-    head = lines.where(F.col("value").startswith("#fields")).first()
-    if head is None:
-        raise ValueError(f"{path} has no #fields line")
-    names = head["value"].split("\t")[1:]
-    cells = F.split("value", "\t", -1)
-    t = lines.where(~F.col("value").startswith("#")).select(cells.alias("c")).where(F.size("c") >= len(names))
-    value = lambda i, n: F.nullif(F.get("c", F.lit(i)), F.lit(absent))
-    return t.select(*[(value(i, n).try_cast("double") if n in numeric else value(i, n)).alias(n) for i, n in enumerate(names)])
+    lines = _lines(spark, paths)
+    heads = kept(log_headers(lines))
+    found = heads.groupBy("names").agg(F.min("file").alias("file")).orderBy("file").collect()
+    if not found:
+        raise ValueError(f"{paths} has no {HEAD} line")
+    names = list(dict.fromkeys(n for row in found for n in row["names"]))
+    place = lambda n: F.array_position("names", F.lit(n)).cast("int")
+    places = heads.select("file", F.size("names").alias("_n"), F.array(*[place(n) for n in names]).alias("_at"))
+    rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("file", F.split("value", "\t", -1).alias("_c"))
+    few = heads.count() <= FEW_FILES
+    t = rows.join(F.broadcast(places), "file") if few else lookup_join(rows, places, ["file"])
+    t = t.where(F.size("_c") >= F.col("_n"))
+
+    def value(i: int, n: str) -> Column:
+        at = F.col("_at")[i]
+        text = F.when(at > 0, F.nullif(F.get("_c", at - 1), F.lit(absent)))
+        return (text.try_cast("double") if n in numeric else text).alias(n)
+
+    return t.select(*[value(i, n) for i, n in enumerate(names)], *([F.col("file").alias(file_column)] if file_column else []))
+
+
+def log_status(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, n_columns, n_rows, n_short, status) of each log: what ``read_log`` takes from it and what it drops."""
+    lines = _lines(spark, paths)
+    heads = log_headers(lines).select("file", F.size("names").alias("n_columns"))
+    cells = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).groupBy("file", F.size(F.split("value", "\t", -1)).alias("cells")).agg(F.count(F.lit(1)).alias("n"))
+    # one row for each file and number of cells, so that a large file is counted where it lies
+    files = lines.select("file").distinct().join(heads, "file", "left").join(cells, "file", "left")
+    short = F.col("cells") < F.col("n_columns")
+    t = files.groupBy("file", "n_columns").agg(F.coalesce(F.sum(F.when(~short, F.col("n"))), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(short, F.col("n"))), F.lit(0)).alias("n_short"))
+    status = F.when(F.col("n_columns").isNull(), "no header").when(F.col("n_rows") == 0, "no rows").when(F.col("n_short") > 0, "short rows dropped").otherwise("whole")
+    return t.select("file", F.coalesce("n_columns", F.lit(0)).alias("n_columns"), "n_rows", "n_short", status.alias("status"))
 
 
 def write_log(df: DataFrame, path: str, absent: str = "-") -> None:
-    """Rows as lines; every file starts with the header comment."""
+    """Rows as lines; every file starts with the header, and one of an empty table is all header."""
+    head = HEAD + "\t" + "\t".join(df.columns)
     cells = F.concat_ws("\t", *[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(absent)) for c in df.columns])
-    head = df.sparkSession.range(1).select(F.lit("#fields\t" + "\t".join(df.columns)).alias("value"))
-    head.unionByName(df.select(cells.alias("value"))).write.text(path)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the first row of a task, which writes one file
+    lines = df.select(F.when(first, F.concat(F.lit(head + "\n"), cells)).otherwise(cells).alias("value"))
+    df.sparkSession.range(1).select(F.lit(head).alias("value")).unionByName(lines).write.text(path)
 
 
 def read_labelled(spark: SparkSession, path: str, schema: str, label: Column, **options) -> DataFrame:

@@ -55,11 +55,58 @@ def write_report(df: DataFrame, path: str, form: str = "json") -> None:
     (df.write.json if form == "json" else df.write.option("header", True).csv)(path)
 
 
+#: Members of a result file that hold its scores by seed (fixed values).
+SETS, SEEDS = "sets", "per_seed"
+
+
+def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(file, dataset, set_name, n_sets, seeds, status) of every data set in a tree of result files.
+
+    A file is one JSON object by data set. A data set has scores by seed itself, or has named sets that
+    do; layouts may differ from file to file. Status ``ok`` has an array of seeds; ``ambiguous`` has several
+    sets, of which none is taken; ``empty`` has no scores; ``broken`` is a file that is no JSON object.
+    Files are read whole, each by one task, and kept as variants, so that no schema has to be agreed on.
+    """
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("_v"))
+    nodes = text.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select("file", F.col("key").alias("dataset"), F.col("value").alias("_node"))
+    t = nodes.withColumn("_sets", F.try_variant_get("_node", f"$.{SETS}", "map<string,variant>"))
+    names = F.map_keys("_sets")
+    t = t.withColumns({"n_sets": F.coalesce(F.size("_sets"), F.lit(-1)), "set_name": F.when(F.size("_sets") == 1, F.get(names, F.lit(0)))})
+    one = F.when(F.col("n_sets") == 1, F.try_variant_get(F.element_at(F.map_values("_sets"), 1), f"$.{SEEDS}", "array<variant>"))
+    own = F.when(F.col("n_sets") < 0, F.try_variant_get("_node", f"$.{SEEDS}", "array<variant>"))
+    t = t.withColumn("seeds", F.coalesce(one, own))
+    status = F.when(F.col("dataset").isNull(), "broken").when(F.col("n_sets") > 1, "ambiguous").when(F.coalesce(F.size("seeds"), F.lit(-1)) <= 0, "empty").otherwise("ok")
+    return t.select("file", "dataset", "set_name", F.greatest("n_sets", F.lit(0)).alias("n_sets"), "seeds", status.alias("status"))
+
+
+def seed_scores(results: DataFrame, metrics: list[str] | None = None) -> DataFrame:
+    """(file, dataset, set_name, seed, metric, value) of the data sets whose status is ``ok``.
+
+    Members that are no numbers are left out; a seed without number has its place, from 0.
+    """
+    t = results.where("status = 'ok'").select("file", "dataset", "set_name", F.posexplode("seeds").alias("_i", "_s"))
+    t = t.withColumns({"seed": F.coalesce(F.try_variant_get("_s", "$.seed", "long"), F.col("_i").cast("long")), "_m": F.try_variant_get("_s", "$", "map<string,variant>")})
+    t = t.select("file", "dataset", "set_name", "seed", F.explode("_m").alias("metric", "_x")).where("metric <> 'seed'")
+    t = t.withColumn("value", F.try_variant_get("_x", "$", "double")).where("value is not null").drop("_x")
+    return t if metrics is None else t.where(F.col("metric").isin(*metrics))
+
+
+def first_scores(scores: DataFrame, candidates: DataFrame, arm: str = "arm") -> DataFrame:
+    """For each arm and data set the scores of the first candidate file that has any.
+
+    ``candidates`` has (arm, rank, pattern), a pattern being the end of a file's name.
+    """
+    files = scores.select("file", "dataset").distinct()
+    fits = files.join(F.broadcast(candidates), F.endswith(files["file"], F.col("pattern")))
+    best = fits.groupBy(arm, "dataset").agg(F.min_by("file", F.struct("rank", "file")).alias("file"))
+    return scores.join(F.broadcast(best), ["file", "dataset"]).select(arm, "dataset", "set_name", "seed", "metric", "value")
+
+
 SCORES = "dataset string, arm string, per_seed array<struct<seed:int,metric:string,value:double>>"
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """Result files as (dataset, arm, seed, metric, value); two sets for one arm are refused."""
+    """Files of one layout as (dataset, arm, seed, metric, value); two sets for one arm are refused."""
     t = spark.read.schema(SCORES).option("multiLine", True).json(path)
     if t.groupBy("dataset", "arm").agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
         raise ValueError("several sets of scores for one dataset and arm")
