@@ -36,8 +36,9 @@ def time_bin(seconds: Column, width: int = TIMEBIN_SECONDS) -> Column:
 
 
 def seeded_hash(seed, *parts: Column) -> Column:
-    """A hexadecimal digest of seed and parts; orders rows at random but reproducibly."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    """A hexadecimal digest of seed and parts; orders rows at random but reproducibly. The seed may be a column."""
+    first = seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed))
+    return F.md5(F.concat_ws("|", first, *[p.cast("string") for p in parts]))
 
 
 def hash_number(seed, *parts: Column) -> Column:

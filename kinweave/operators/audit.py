@@ -53,6 +53,33 @@ def jaccard(df: DataFrame, fields: list[str], a: str = "train", b: str = "test")
     return t.withColumn("jaccard", F.round(F.col("shared") / F.col("n_union"), 6))
 
 
+def value_sketches(values: DataFrame, log_size: int = 12) -> DataFrame:
+    """(field, split, n, sketch): a theta sketch of the distinct valid values of (field, split, value).
+
+    Sketches have a bounded size and can be stored and merged; with up to 2**log_size values they are
+    exact, beyond that their estimates are off by about 2**(-log_size / 2).
+    """
+    t = values.where("value is not null").groupBy("field", "split")
+    return t.agg(F.count(F.lit(1)).alias("n"), F.theta_sketch_agg("value", log_size).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, log_size: int = 12) -> DataFrame:
+    """Stored sketches of several days or runs as one for each field and split."""
+    return sketches.groupBy("field", "split").agg(F.sum("n").alias("n"), F.theta_union_agg("sketch", log_size).alias("sketch"))
+
+
+def sketch_overlap(sketches: DataFrame, a: str = "train", b: str = "test") -> DataFrame:
+    """By field, from one sketch a split: distinct values of both splits, shared and in all, overlap and Jaccard index."""
+    of = lambda split, name: sketches.where(F.col("split") == split).select("field", F.col("sketch").alias(name))
+    t = of(a, "_a").join(of(b, "_b"), "field", "full")
+    size = lambda c: F.coalesce(F.theta_sketch_estimate(c), F.lit(0).cast("long"))
+    both = F.when(F.col("_a").isNotNull() & F.col("_b").isNotNull(), F.theta_intersection("_a", "_b"))
+    every = F.when(F.col("_a").isNull(), F.col("_b")).when(F.col("_b").isNull(), F.col("_a")).otherwise(F.theta_union("_a", "_b"))
+    t = t.select("field", size(F.col("_a")).alias("values_a"), size(F.col("_b")).alias("values_b"), size(both).alias("shared"), size(every).alias("n_union"))
+    share = lambda x, y: F.round(F.try_divide(F.col(x), F.col(y)), 6)
+    return t.select("*", share("shared", "values_b").alias("overlap_values"), share("shared", "n_union").alias("jaccard"))
+
+
 def field_profile(values: DataFrame, top: int = 10) -> DataFrame:
     """Coverage, distinct values, share of the top values, information and train/test overlap."""
     v = values.where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"))
@@ -166,10 +193,12 @@ def structure(df: DataFrame, edges: DataFrame, relations: list[str]) -> DataFram
     return s.select("*", F.round(F.col("covered") / F.col("n"), 6).alias("coverage"), F.round(F.col("incident") / F.col("n"), 6).alias("incidence"))
 
 
-def check_relations(df: DataFrame, edges: DataFrame, relations: list[str]) -> DataFrame:
-    """Each check of a built graph as a row: passed or not."""
+def check_relations(df: DataFrame, edges: DataFrame, relations: list[str], flows: int | None = None) -> DataFrame:
+    """Each check of a built graph as a row: passed or not; ``flows`` is the number of rows to be expected."""
     s = structure(df, edges, relations)
     checks = {"incident_within_covered": F.col("incident") <= F.col("covered"), "has_edges": F.col("n_edges") > 0, "symmetric_count": F.col("n_edges") % 2 == 0}
+    if flows is not None:
+        checks["flow_count"] = F.col("n") == flows
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("check"), v.alias("passed")) for k, v in checks.items()]))
     return s.select("relation", each.alias("c")).select("relation", "c.check", "c.passed")
 
@@ -183,14 +212,29 @@ def node_reach(df: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def attachment_report(df: DataFrame, train: DataFrame, attached: DataFrame) -> DataFrame:
-    """Edges of both kinds, and test rows that stay alone."""
-    n_test = df.where("split = 'test'").agg(F.count(F.lit(1)).alias("n_test"))
-    reach = attached.join(df.where("split = 'test'").select(F.col("id").alias("dst")), "dst").groupBy("relation").agg(F.countDistinct("dst").alias("test_reached"))
-    a = attached.groupBy("relation").agg(F.count(F.lit(1)).alias("attach_edges"))
-    d = attached.groupBy("relation", "dst").agg(F.count(F.lit(1)).alias("k")).groupBy("relation").agg(F.max("k").alias("max_in_degree"))
-    t = train.groupBy("relation").agg(F.count(F.lit(1)).alias("train_edges")).join(a, "relation", "full").join(d, "relation", "left").join(reach, "relation", "left").join(F.broadcast(n_test))
+    """By relation: edges of both kinds, rows that stay alone, and in-degrees of training rows before and
+    after the attachment, which must not change them."""
+    ids = df.select(F.col("id").alias("dst"), "split")
+    into = train.select("relation", "dst", F.lit(1).alias("before"), F.lit(0).alias("added"))
+    into = into.unionByName(attached.select("relation", "dst", F.lit(0).alias("before"), F.lit(1).alias("added")))
+    d = into.groupBy("relation", "dst").agg(F.sum("before").alias("before"), F.sum("added").alias("added")).join(ids, "dst")
+    trained, tested = F.col("split") == "train", F.col("split") == "test"
+    sums = {
+        "train_edges": F.sum("before"), "attach_edges": F.sum("added"), "max_in_degree": F.max("added"),
+        "new_reached": _count(~trained & (F.col("added") > 0)), "test_reached": _count(tested & (F.col("added") > 0)),
+        "train_in_degree_before": F.max(F.when(trained, F.col("before"))),
+        "train_in_degree_after": F.max(F.when(trained, F.col("before") + F.col("added"))),
+        "train_in_degree_unchanged": F.coalesce(F.sum(F.when(trained, F.col("added"))), F.lit(0)) == 0,
+    }
+    n = df.agg(_count(~trained).alias("n_new"), _count(tested).alias("n_test"))
+    t = d.groupBy("relation").agg(*[c.alias(name) for name, c in sums.items()]).join(F.broadcast(n))
+    share = lambda a, b: F.round(F.try_divide(F.col(a), F.col(b)), 6)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return t.select("relation", zero("train_edges"), zero("attach_edges"), zero("max_in_degree"), (F.col("n_test") - F.coalesce("test_reached", F.lit(0))).alias("isolated_test"), F.round(1 - F.try_divide(F.coalesce("test_reached", F.lit(0)), F.col("n_test")), 6).alias("isolated_rate"))
+    return t.select(
+        "relation", "train_edges", "attach_edges", "max_in_degree", (F.col("n_test") - F.col("test_reached")).alias("isolated_test"),
+        F.round(1 - F.try_divide(F.col("test_reached"), F.col("n_test")), 6).alias("isolated_rate"), share("new_reached", "n_new").alias("attach_rate"),
+        share("test_reached", "n_test").alias("attach_rate_test"), zero("train_in_degree_before"), zero("train_in_degree_after"), "train_in_degree_unchanged",
+    )
 
 
 def host_suitability(sessions: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -239,3 +283,13 @@ def component_sizes(components: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows, positives and an order-free digest of the content of each split."""
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("positives"), F.bit_xor(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns])), 1, 15), 16, 10).cast("long")).alias("digest"))
+
+
+def graph_fingerprint(df: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n, digest): rows of each split and edges of each relation, with digests that do not
+    depend on the order of rows, so that a result can be traced to its graph."""
+    text = lambda *c: F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(x).cast("string") for x in c])), 1, 15), 16, 10).cast("long")
+    rows = df.groupBy(F.col("split").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(text("id", "label")).alias("digest"))
+    pairs = edges.groupBy(F.col("relation").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(text("src", "dst")).alias("digest"))
+    kind = lambda t, k: t.select(F.lit(k).alias("kind"), "name", "n", "digest")
+    return kind(rows, "rows").unionByName(kind(pairs, "edges"))

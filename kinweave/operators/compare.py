@@ -5,17 +5,13 @@ A failed run has the value -1 and counts nowhere.
 
 from __future__ import annotations
 
-import itertools
-import math
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.operators.presence import f1_of
-from kinweave.operators.ranking import average_rank
+from kinweave.operators.ranking import average_rank, kept
 
 
 def clean(scores: DataFrame) -> DataFrame:
@@ -186,36 +182,79 @@ def consensus_tau(ranks: DataFrame, group: str) -> DataFrame:
     return tau(r.withColumnRenamed(group, "variant"))
 
 
-def permutation_p(pairs: DataFrame, seed: int = 0, draws: int = 2000, exhaustive: int = 40320) -> DataFrame:
-    """By dataset: correlation of (x, y) and the share of permutations of y that reach it.
+def _sum(c: Column) -> Column:
+    return F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
 
-    All permutations are tried while there are at most ``exhaustive``; else ``draws`` random ones.
-    Input rows are a few aggregates each; permutations are dealt over tasks by block.
+
+def _unit(c: Column) -> Column:
+    """An array centred and scaled to length 1; one without spread becomes zeros."""
+    mean = _sum(c) / F.size(c)
+    length = F.sqrt(_sum(F.transform(c, lambda x: (x - mean) * (x - mean))))
+    return F.transform(c, lambda x: F.when(length > 0, (x - mean) / length).otherwise(0.0))
+
+
+def _array_ranks(c: Column) -> Column:
+    """Average ranks of an array's values."""
+    less = lambda x: F.size(F.filter(c, lambda y: y < x))
+    same = lambda x: F.size(F.filter(c, lambda y: y == x))
+    return F.transform(c, lambda x: less(x) + (same(x) + 1) / 2.0)
+
+
+def _dot(x: Column, y: Column) -> Column:
+    return _sum(F.zip_with(x, y, lambda a, b: a * b))
+
+
+def _signs(x: Column, y: Column) -> Column:
+    """Mean product of the signs of all pairs' differences."""
+    n = F.size(x)
+    places = F.sequence(F.lit(0), n - 1)
+    row = lambda i: _sum(F.transform(places, lambda j: F.when(j > i, F.signum(x[i] - x[j]) * F.signum(y[i] - y[j])).otherwise(0.0)))
+    return F.try_divide(_sum(F.transform(places, row)), n * (n - 1) / 2)
+
+
+#: Statistics of two arrays: what is done to each array once, and the value of each permutation.
+STATISTICS: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "pearson": (_unit, _dot),
+    "spearman": (lambda c: _unit(_array_ranks(c)), _dot),
+    "kendall": (lambda c: c, _signs),
+}
+
+
+def unranked(k: Column, n: Column) -> Column:
+    """The k-th permutation of 0 .. n - 1 in lexicographic order, from k's digits to the base of factorials; n at most 20."""
+    start = F.struct(k.cast("long").alias("k"), F.sequence(F.lit(0), n - 1).alias("rest"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, left: Column) -> Column:
+        f = F.factorial(left)
+        digit = F.floor(a["k"] / f).cast("int")
+        rest = F.filter(a["rest"], lambda x, i: i != digit)
+        return F.struct((a["k"] % f).alias("k"), rest.alias("rest"), F.array_append(a["out"], F.get(a["rest"], digit)).alias("out"))
+
+    return F.aggregate(F.reverse(F.sequence(F.lit(0), n - 1)), start, step, lambda a: a["out"])
+
+
+def permutation_p(pairs: DataFrame, statistic: str = "pearson", seed: int = 0, draws: int = 100_000, exhaustive: int = 40_320) -> DataFrame:
+    """By data set: the statistic of (x, y) and the share of permutations of y that reach its size.
+
+    All permutations are numbered and tried while there are at most ``exhaustive``; else ``draws``, each
+    the order of a digest of data set, number and place. Input rows are a few aggregates a data set;
+    permutations are rows that are dealt over tasks.
     """
-    lists = pairs.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("v"))
-    t = lists.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7)))).repartition("dataset", "block")
-
-    def corr(x, y):
-        sx, sy = x.std(), y.std(axis=-1)
-        return ((x - x.mean()) * (y - y.mean(axis=-1, keepdims=True))).mean(axis=-1) / np.where(sx * sy > 0, sx * sy, np.inf)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, v, block in zip(batch["dataset"], batch["v"], batch["block"], strict=True):
-                x, y = (np.array([p[k] for p in v], float) for k in ("x", "y"))
-                obs = float(corr(x, y[None])[0])
-                if math.factorial(len(x)) <= exhaustive:
-                    order = np.array(list(itertools.islice(itertools.permutations(range(len(x))), int(block), None, 8)), dtype=np.int64).reshape(-1, len(x))
-                else:
-                    rng = np.random.default_rng([seed, int(block)])
-                    order = np.array([rng.permutation(len(x)) for _ in range(draws // 8)])
-                hits = int((np.abs(corr(x, y[order])) >= abs(obs) - 1e-12).sum()) if len(order) else 0
-                rows.append((name, obs, hits, len(order)))
-            yield pd.DataFrame(rows, columns=["dataset", "r", "hits", "n"])
-
-    s = t.mapInPandas(run, "dataset string, r double, hits long, n long")
-    return s.groupBy("dataset").agg(F.round(F.max("r"), 6).alias("r"), F.round(F.sum("hits") / F.sum("n"), 6).alias("p_value"), F.sum("n").alias("n_permutations"))
+    prepare, value = STATISTICS[statistic]
+    v = pairs.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("v"))
+    t = v.select("dataset", prepare(F.transform("v", lambda p: p["x"])).alias("x"), prepare(F.transform("v", lambda p: p["y"])).alias("y"), F.size("v").alias("n"))
+    t = kept(t.withColumn("observed", value(F.col("x"), F.col("y"))))
+    every = (F.col("n") <= 20) & (F.factorial(F.least("n", F.lit(20))) <= exhaustive)
+    many = F.when(every, F.factorial(F.least("n", F.lit(20)))).otherwise(F.lit(draws))
+    t = t.withColumn("exact", every).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).repartition("dataset", "k")
+    places = F.sequence(F.lit(0), F.col("n") - 1)
+    drawn = F.array_sort(F.transform(places, lambda i: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "dataset", F.col("k").cast("string"), i.cast("string"))).alias("h"), i.alias("i"))))
+    order = F.when(F.col("exact"), unranked(F.col("k"), F.col("n"))).otherwise(F.transform(drawn, lambda p: p["i"]))
+    moved = F.transform("order", lambda i: F.get("y", i))
+    hit = F.abs(value(F.col("x"), F.col("moved"))) >= F.abs("observed") - 1e-12
+    t = t.withColumn("order", order).withColumn("moved", moved).withColumn("hit", hit.cast("long"))
+    s = t.groupBy("dataset").agg(F.max("observed").alias("observed"), F.sum("hit").alias("hits"), F.count(F.lit(1)).alias("n"), F.max("exact").alias("exact"))
+    return s.select("dataset", F.round("observed", 6).alias("r"), F.round(F.col("hits") / F.col("n"), 6).alias("p_value"), F.col("n").alias("n_permutations"), "exact")
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

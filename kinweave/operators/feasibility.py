@@ -6,6 +6,9 @@ it lies, in ranges dealt over tasks; only the three largest groups reach the dri
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,16 +86,81 @@ def verdict(attempts: DataFrame, report: DataFrame) -> DataFrame:
     return t.select("axis", "restarts", "n_covered", F.col("b.covered").alias("best_covered"), F.round("b.deviation", 6).alias("best_deviation"), F.array_join(reasons, "; ").alias("reasons"), (F.size(reasons) == 0).alias("feasible"))
 
 
-def group_folds(df: DataFrame, column: str, k: int = 3) -> DataFrame:
-    """(value, fold): balanced folds of whole groups; refused if a class has under k groups.
+def _fill(levels: list[int], rows: list[int], step: int, size: int, m: int) -> list[int]:
+    """How many of m equal groups each fold gets, if one after another goes to the lowest level (then to
+    the fewest rows, then to the first fold) and lifts it by ``step``: the m smallest of all levels to come."""
+    k = range(len(levels))
+    if step == 0:
+        first = min(k, key=lambda i: (levels[i], rows[i], i))
+        return [m if i == first else 0 for i in k]
+    below = lambda limit: [max(0, -(-(limit - h) // step)) for h in levels]
+    low, high = min(levels), min(levels) + (m + 1) * step
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= m else (low, middle)
+    out = below(low)
+    ties = sorted((i for i in k if low >= levels[i] and (low - levels[i]) % step == 0), key=lambda i: (rows[i] + out[i] * size, i))
+    for i in ties[: m - sum(out)]:
+        out[i] += 1
+    return out
+
+
+SEGMENTS = "negatives long, positives long, fold int, low long, high long"
+
 
-    Groups are ordered by positives, then negatives, and dealt to the folds forth and back, so folds
-    differ by no more than the largest group in each class's part of the order.
+def profile_folds(groups: DataFrame, k: int) -> DataFrame:
+    """(negatives, positives, fold, low, high): of the groups with these counts, those from place ``low``
+    to before ``high`` go to the fold.
+
+    Groups go, those with the largest squared class shares first, to the fold in which they add least
+    to the sum of squared class shares. Groups of equal counts are dealt at once, so the walk is over
+    distinct counts; these pass through one task in order, which holds nothing but the folds' sums.
     """
-    report = axis_report(df, column, k).first()
-    if report["starved"]:
-        raise ValueError(f"classes {report['starved']} are in under {k} groups of {column}")
-    g = collapse(df, column).withColumns({"_p": -F.col("positives"), "_n": -F.col("negatives")})
-    turn = F.pmod("pos", F.lit(2 * k))
-    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn).cast("int")
-    return position_by_order(g, [], ["_p", "_n", "value"]).select("value", fold.alias("fold"))
+    totals = groups.agg(F.sum("negatives").alias("_tn"), F.sum("positives").alias("_tp"))
+    profiles = groups.groupBy("negatives", "positives").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(totals))
+    share = lambda c, t: F.col(c).cast("double") / F.greatest(F.col(t), F.lit(1))
+    weight = share("negatives", "_tn") * share("negatives", "_tn") + share("positives", "_tp") * share("positives", "_tp")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [[0, 0] for _ in range(k)]
+        for batch in batches:
+            out = []
+            for n, p, m, tn, tp in batch[["negatives", "positives", "m", "_tn", "_tp"]].itertuples(index=False):
+                n, p, a, b = int(n), int(p), int(n) * max(1, int(tp)) ** 2, int(p) * max(1, int(tn)) ** 2
+                counts = _fill([a * x + b * y for x, y in held], [x + y for x, y in held], a * n + b * p, n + p, int(m))
+                at = 0
+                for i, c in enumerate(counts):
+                    if c:
+                        out.append((n, p, i, at, at + c))
+                        held[i], at = [held[i][0] + c * n, held[i][1] + c * p], at + c
+            yield pd.DataFrame(out, columns=["negatives", "positives", "fold", "low", "high"])
+
+    order = [F.desc("weight"), F.desc("negatives"), F.desc("positives")]
+    return profiles.withColumn("weight", weight).repartition(1).sortWithinPartitions(*order).mapInPandas(walk, SEGMENTS)
+
+
+def group_folds(df: DataFrame, column: str, k: int = 3) -> DataFrame:
+    """(value, fold): folds of whole groups that differ little in classes; refused if a class has under k groups."""
+    starved = axis_report(df, column, k).first()["starved"]
+    if starved:
+        raise ValueError(f"classes {starved} are in under {k} groups of {column}")
+    groups = kept(collapse(df, column))
+    placed = position_by_order(groups, ["negatives", "positives"], ["value"])
+    t = placed.join(kept(profile_folds(groups, k)), ["negatives", "positives"]).where("low <= pos and pos < high")
+    return t.select("value", "fold")
+
+
+def fold_report(df: DataFrame, column: str, k: int = 3) -> DataFrame:
+    """(axis, fold, n_groups, negatives, positives, missing_classes, refusal): what each fold got, or one
+    row with the refusal, if a class has under k groups."""
+    starved = axis_report(df, column, k).first()["starved"]
+    columns = "axis string, fold int, n_groups long, negatives long, positives long, missing_classes string, refusal string"
+    if starved:
+        refusal = f"classes {starved} are in under {k} groups"
+        return df.sparkSession.createDataFrame([(column, None, None, None, None, None, refusal)], columns)
+    s = profile_folds(kept(collapse(df, column)), k).withColumn("m", F.col("high") - F.col("low"))
+    total = lambda c: F.sum(F.col(c) * F.col("m")).alias(c)
+    s = s.groupBy("fold").agg(F.sum("m").alias("n_groups"), total("negatives"), total("positives"))
+    t = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).join(s, "fold", "left").fillna(0, ["n_groups", "negatives", "positives"])
+    missing = F.array_join(F.array_compact(F.array(F.when(F.col("negatives") == 0, "0"), F.when(F.col("positives") == 0, "1"))), ",")
+    return t.select(F.lit(column).alias("axis"), "fold", "n_groups", "negatives", "positives", missing.alias("missing_classes"), F.lit(None).cast("string").alias("refusal"))

@@ -27,15 +27,16 @@ def check_budget(degree: int) -> None:
         raise ValueError(f"the neighbour budget must be even and at least 2, not {degree}")
 
 
-def ring_edges(values: DataFrame, degree: int, seed: int, keys: tuple[str, ...] = ("relation",)) -> DataFrame:
-    """(keys, src, dst) in both directions from (keys, value, id).
+def ring_edges(values: DataFrame, degree: int, seed: int | Column, keys: tuple[str, ...] = ("relation",)) -> DataFrame:
+    """(keys, src, dst) in both directions from (keys, value, id); the seed may be one of the keys.
 
     A group of at most degree + 1 rows becomes complete; a larger one is put in hash order and
     each row is joined to the degree / 2 rows before and after it on the ring.
     """
     check_budget(degree)
     group = [*keys, "value"]
-    t = position_by_hash(values.select(*group, "id").distinct(), group, seeded_hash(seed, F.col("value"), F.col("id")), "id").where("n > 1")
+    t = position_by_hash(values.select(*group, "id").distinct(), group, seeded_hash(seed, F.col("value"), F.col("id")), "id")
+    t = t.where("n > 1")
     offsets = F.when(F.col("n") - 1 <= degree, F.when(F.col("pos") < F.col("n") - 1, F.sequence(F.lit(1).cast("long"), F.col("n") - 1 - F.col("pos")))).otherwise(F.sequence(F.lit(1).cast("long"), F.lit(degree // 2).cast("long")))
     a = t.select(*group, F.col("id").alias("src"), "n", "pos", F.explode(offsets).alias("o"))
     a = a.select(*group, "src", ((F.col("pos") + F.col("o")) % F.col("n")).alias("pos"))
@@ -53,6 +54,16 @@ def build(df: DataFrame, relations: list[str], degree: int, seed: int) -> DataFr
     return ring_edges(long_values(df, relations), degree, seed)
 
 
+def edge_variants(df: DataFrame, relations: list[str], degree: int, seeds: list[int]) -> DataFrame:
+    """(edge_seed, relation, src, dst): the graphs of the same rows under each edge seed, in one job.
+
+    The seed is a key of every position and join, so variants are dealt over tasks like values are.
+    """
+    each = F.explode(F.array(*[F.lit(s) for s in seeds])).alias("edge_seed")
+    values = long_values(df, relations).select("relation", "value", "id", each)
+    return ring_edges(values, degree, F.col("edge_seed"), ("edge_seed", "relation"))
+
+
 def relation_status(df: DataFrame, edges: DataFrame, requested: list[str]) -> DataFrame:
     """Edges of each requested relation, and why one has none."""
     wanted = [F.struct(F.lit(r).alias("relation"), F.lit(r in df.columns).alias("there")) for r in requested]

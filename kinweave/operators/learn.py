@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.values import index_like_names
+from kinweave.functions.values import hash_number, index_like_names
 from kinweave.operators import compare
 from kinweave.operators.features import class_weights, finite
 from kinweave.operators.ranking import kept
@@ -17,29 +18,65 @@ def _assembled(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(finite(df, columns))
 
 
-def fit_predict(df: DataFrame, columns: list[str], model: str = "boosting", fit_on: tuple[str, ...] = ("train",), seed: int = 42) -> DataFrame:
-    """(id, label, split, prediction) of a class-weighted learner fitted on some splits."""
+#: Iterations of boosting at most; it ends before if the held-out rows' loss no longer falls by TOLERANCE
+#: (relative to the loss, or absolute below 0.01). One in HELD_OUT of the fitted rows is held out for that.
+ITERATIONS, TOLERANCE, HELD_OUT = 400, 0.001, 10
+
+
+def _learner(model: str, weight: str, seed: int, iterations: int, early: bool):
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
 
-    t = _assembled(df, columns).withColumn("y", (F.col("label") != 0).cast("double"))
-    w = class_weights(df)
-    t = t.join(F.broadcast(w), "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    t = kept(t.select("id", "label", "split", "features", "y", "weight"))  # learners pass over it many times
-    train = t.where(F.col("split").isin(*fit_on))
-    args = {"featuresCol": "features", "labelCol": "y", "weightCol": "weight", "predictionCol": "said"}
-    learner = GBTClassifier(maxIter=5, maxDepth=3, seed=seed, **args) if model == "boosting" else LogisticRegression(maxIter=20, **args)
-    out = learner.fit(train).transform(t)
-    return out.select("id", "label", "split", F.col("said").cast("int").alias("prediction"))
+    args = {"featuresCol": "features", "labelCol": "y", "weightCol": weight, "predictionCol": "said"}
+    if model != "boosting":
+        return LogisticRegression(maxIter=20, **args)
+    learner = GBTClassifier(maxIter=iterations, maxDepth=3, seed=seed, checkpointInterval=10, validationTol=TOLERANCE, **args)
+    return learner.setValidationIndicatorCol("held_out") if early else learner
+
+
+def fit(df: DataFrame, columns: list[str], model: str = "boosting", fit_on: tuple[str, ...] = ("train",), seed: int = 42, iterations: int = ITERATIONS, early: bool = True) -> tuple[DataFrame, int]:
+    """(id, label, split, prediction) of a class-weighted learner fitted on some splits, and the number of
+    boosting iterations used (the sum over classes, if there are more than two).
+
+    Labels 0 and others make two classes; with more than two labels there is one learner for each, against
+    the rest, and the one that is surest decides (the smallest label, if equally sure).
+    """
+    labels = sorted(r["label"] for r in df.where(F.col("split").isin(*fit_on)).select("label").distinct().collect())
+    t = _assembled(df, columns).join(F.broadcast(class_weights(df)), "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    held = F.pmod(hash_number(f"{seed}:held", F.col("id")), F.lit(HELD_OUT)) == 0
+    t = kept(t.select("id", "label", "split", "features", "weight", held.alias("held_out")))  # learners pass over it many times
+    train, used, out = t.where(F.col("split").isin(*fit_on)), 0, t
+    both = train.groupBy().agg(F.max("held_out").alias("a"), F.min("held_out").alias("b")).first()
+    early = early and both["a"] is True and both["b"] is False
+    targets = labels if len(labels) > 2 else [None]
+    sure = []
+    for i, y in enumerate(targets):
+        positive = (F.col("label") != 0) if y is None else (F.col("label") == y)
+        fitted = _learner(model, "weight", seed, iterations, early).fit(train.withColumn("y", positive.cast("double")))
+        used += fitted.getNumTrees if model == "boosting" else 0
+        out = fitted.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("said", "probability", "rawPrediction")
+        sure.append(F.struct(F.col(f"_p{i}").alias("p"), F.lit(-i).alias("first")))
+    if targets == [None]:
+        return out.select("id", "label", "split", (F.col("_p0") > 0.5).cast("int").alias("prediction")), used
+    best = -F.greatest(*sure)["first"]
+    return out.select("id", "label", "split", F.get(F.array(*[F.lit(y) for y in labels]), best).alias("prediction")), used
+
+
+def fit_predict(df: DataFrame, columns: list[str], model: str = "boosting", fit_on: tuple[str, ...] = ("train",), seed: int = 42) -> DataFrame:
+    """(id, label, split, prediction) of ``fit``."""
+    return fit(df, columns, model, fit_on, seed)[0]
 
 
 def feature_set_comparison(df: DataFrame, sets: dict[str, list[str]], model: str = "boosting", fits=(("train",), ("train", "val"))) -> DataFrame:
     """Test metrics of each feature set under each choice of fitted splits."""
-    out = None
+    out, used = None, []
     for name, columns in sets.items():
         for fit_on in fits:
-            p = fit_predict(df, columns, model, fit_on).where("split = 'test'").select(F.lit(name).alias("feature_set"), F.lit("+".join(fit_on)).alias("fit_on"), F.col("label"), "prediction")
+            p, n = fit(df, columns, model, fit_on)
+            used.append((name, "+".join(fit_on), n))
+            p = p.where("split = 'test'").select(F.lit(name).alias("feature_set"), F.lit("+".join(fit_on)).alias("fit_on"), F.col("label"), "prediction")
             out = p if out is None else out.unionByName(p)
-    return compare.metrics(out, ["feature_set", "fit_on"], 2)
+    rounds = df.sparkSession.createDataFrame(used, "feature_set string, fit_on string, iterations int")
+    return compare.metrics(out, ["feature_set", "fit_on"], 2).join(F.broadcast(rounds), ["feature_set", "fit_on"])
 
 
 def index_ablation(df: DataFrame, columns: list[str], ports: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.values import hash_number, seeded_hash, valid_value
+from kinweave.functions.values import decode_variant, hash_number, seeded_hash, valid_value
 from kinweave.operators.ranking import kept, position_by_hash, position_by_order, running_total
 from kinweave.spec import SPLITS
 
@@ -111,6 +111,32 @@ def protocol(variants_table: DataFrame, edge_seed: int | None = None) -> DataFra
     return t.select("variant", "split_seed", F.coalesce(pinned, F.col("split_seed")).alias("edge_seed"), pinned.isNotNull().alias("edge_seed_recorded"), pinned.isNull().alias("legacy_coupled_seed"))
 
 
+def restore_protocol(variants_table: DataFrame, exact: DataFrame, edge_records: DataFrame, base_seed: int = 42, base_test: float = TEST) -> DataFrame:
+    """What variants of an old run (variant) ran with, and where that is known from.
+
+    Precedence: a record written by the run itself (``exact``: variant, mode, split_seed, test_size,
+    edge_seed); then the variant's name with the record of an edge rebuild (``edge_records``: variant,
+    edge_seed); then the name alone. A random split whose seed is not the base seed and that has no such
+    record may have coupled both seeds: it is marked, not guessed.
+    """
+    tag = decode_variant(F.col("variant"))
+    t = variants_table.select("variant").distinct()
+    e = exact.select("variant", F.struct("mode", "split_seed", "test_size", "edge_seed").alias("_e"))
+    r = edge_records.select("variant", F.col("edge_seed").alias("_r"))
+    t = t.join(F.broadcast(e), "variant", "left").join(F.broadcast(r), "variant", "left").withColumns({f"_{k}": c for k, c in tag.items()})
+    split_seed = F.coalesce(F.when(F.col("_mode") == "random", F.col("_split_seed")), F.lit(base_seed).cast("long"))
+    coupled = (F.col("_mode") == "random") & (split_seed != base_seed)
+    named = F.when(F.col("_mode") == "edgeseed", F.coalesce("_edge_seed", "_split_seed")).when(coupled, F.coalesce("_r", split_seed)).otherwise(F.lit(base_seed).cast("long"))
+    source = F.when(F.col("_e").isNotNull(), "run record").when(coupled & F.col("_r").isNotNull(), "edge record").when(coupled, "none").otherwise("name")
+    mode = F.when(F.col("_mode") == "random", "random").otherwise("time_in_class")
+    size = F.coalesce(F.when(F.col("_mode") == "cutoff", F.col("_test_size")), F.lit(base_test))
+    return t.select(
+        "variant", F.coalesce("_e.mode", mode).alias("mode"), F.coalesce("_e.split_seed", split_seed).alias("split_seed"),
+        F.coalesce("_e.test_size", size).alias("test_size"), F.coalesce("_e.edge_seed", named).alias("edge_seed"), source.alias("edge_seed_source"),
+        (F.col("_e").isNull() & coupled & F.col("_r").isNull()).alias("legacy_coupled_seed"),
+    )
+
+
 def class_quota(df: DataFrame, most: int, seed: int, least: int = 50) -> DataFrame:
     """At most about ``most`` rows, by class shares, ``least`` of a class (or all it has)."""
     t = position_by_hash(df, ["label"], seeded_hash(seed, F.col("id")), "id")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kinweave.functions import values as V
 from kinweave.operators import audit, feasibility, features, graph, presence
+from kinweave.operators.ranking import scratch
 from kinweave.plans import sql as S
 from kinweave.plans.graph_queries import edges_of
 from kinweave.sources.tables import RELATIONS, events, labelled_documents, read, split_events
@@ -321,11 +323,63 @@ def m18_feasibility_verdict(spark, sf):
     return feasibility.verdict(feasibility.search(t, "user_id", 200, 42), feasibility.axis_report(t, "user_id"))
 
 
-@query(f"WITH {S.ENTITIES}, {GROUPS}, o AS (SELECT value, (row_number() OVER (ORDER BY positives DESC, negatives DESC, value) - 1) % 6 AS t FROM g) SELECT value, (CASE WHEN t < 3 THEN t ELSE 5 - t END)::INT AS fold FROM o")
+#: The walk over single groups; the fold with the least n * held_n * tp ** 2 + p * held_p * tn ** 2 takes the next one.
+FOLDS = f"""WITH RECURSIVE {S.ENTITIES}, {GROUPS}, tt AS (SELECT greatest(1, sum(negatives))::HUGEINT AS tn, greatest(1, sum(positives))::HUGEINT AS tp FROM g),
+o AS MATERIALIZED (SELECT negatives::HUGEINT AS n, positives::HUGEINT AS p, tn, tp, row_number() OVER (ORDER BY (negatives / tn::DOUBLE) * (negatives / tn::DOUBLE) + (positives / tp::DOUBLE) * (positives / tp::DOUBLE) DESC, negatives DESC, positives DESC) AS k FROM g, tt),
+w(k, ns, ps, gs) AS (SELECT 0::BIGINT, [0, 0, 0]::HUGEINT[], [0, 0, 0]::HUGEINT[], [0, 0, 0]::BIGINT[] UNION ALL
+  SELECT k, list_transform(ns, lambda x, i: x + CASE WHEN i = f THEN n ELSE 0 END), list_transform(ps, lambda x, i: x + CASE WHEN i = f THEN p ELSE 0 END), list_transform(gs, lambda x, i: x + CASE WHEN i = f THEN 1 ELSE 0 END) FROM
+  (SELECT o.k, ns, ps, gs, n, p, list_position(costs, list_min(costs)) AS f FROM (SELECT o.k, w.ns, w.ps, w.gs, o.n, o.p,
+    list_transform([1, 2, 3], lambda i: (o.n * o.tp * o.tp * w.ns[i] + o.p * o.tn * o.tn * w.ps[i]) * 1000000 + w.ns[i] + w.ps[i]) AS costs FROM w JOIN o ON o.k = w.k + 1) o)),
+z AS (SELECT * FROM w ORDER BY k DESC LIMIT 1), st AS (SELECT count(*) FILTER (negatives > 0) < 3 OR count(*) FILTER (positives > 0) < 3 AS starved FROM g)"""
+
+
+@query(f"""{FOLDS} SELECT 'user_id' AS axis, i - 1 AS fold, gs[i] AS n_groups, ns[i]::BIGINT AS negatives, ps[i]::BIGINT AS positives,
+  concat_ws(',', CASE WHEN ns[i] = 0 THEN '0' END, CASE WHEN ps[i] = 0 THEN '1' END) AS missing_classes, NULL::VARCHAR AS refusal FROM z, st, (VALUES (1), (2), (3)) f(i) WHERE NOT starved
+UNION ALL SELECT 'user_id', NULL, NULL, NULL, NULL, NULL, 'classes in under 3 groups' FROM st WHERE starved
+UNION ALL SELECT 'category', NULL, NULL, NULL, NULL, NULL, 'classes 1 are in under 3 groups' FROM events HAVING count(*) > 0""")
 def m17_group_folds(spark, sf):
-    return feasibility.group_folds(events(spark, sf), "user_id")
+    """Realised folds of whole users, and the refusal of an axis whose positives are in one group."""
+    t = events(spark, sf)
+    return feasibility.fold_report(t, "user_id").unionByName(feasibility.fold_report(t, "category"))
 
 
 @query(f"WITH {S.ENT} SELECT split, count(*) AS n, sum(label)::BIGINT AS positives, bit_xor(('0x' || substr(md5(concat_ws('|', id, label, category)), 1, 15))::BIGINT) AS digest FROM ent GROUP BY 1")
 def r11_fingerprint(spark, sf):
     return audit.fingerprint(split_events(spark, sf), ["id", "label", "category"])
+
+
+@query(f"""WITH {S.EDGES} SELECT 'rows' AS kind, split AS name, count(*) AS n, bit_xor(('0x' || substr(md5(concat_ws('|', id, label)), 1, 15))::BIGINT) AS digest FROM ent GROUP BY split
+UNION ALL SELECT 'edges', relation, count(*), bit_xor(('0x' || substr(md5(concat_ws('|', src, dst)), 1, 15))::BIGINT) FROM edges GROUP BY relation""")
+def r11_graph_fingerprint(spark, sf):
+    """Rows of each split and edges of each relation, with digests."""
+    from kinweave.plans.graph_queries import edges_of
+
+    t = split_events(spark, sf)
+    return audit.graph_fingerprint(t, edges_of(t))
+
+
+SKETCHED = f"""WITH {S.ENT}, f AS (SELECT field, split, value FROM ({S.fields()}) WHERE value IS NOT NULL AND split IN ('train', 'test')),
+v AS (SELECT field, value, bool_or(split = 'train') AS a, bool_or(split = 'test') AS b FROM f GROUP BY 1, 2),
+k AS (SELECT field, count(*) FILTER (a) AS values_a, count(*) FILTER (b) AS values_b, count(*) FILTER (a AND b) AS shared, count(*) AS n_union FROM v GROUP BY 1)
+SELECT *, round(shared / nullif(values_b, 0), 6) AS overlap_values, round(shared / n_union, 6) AS jaccard FROM k"""
+
+
+def _field_values(t):
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), V.valid_value(F.col(f)).alias("value")) for f in S.FIELDS]))
+    return t.select("split", "ts", each.alias("f")).select("split", "ts", "f.field", "f.value")
+
+
+@query(SKETCHED)
+def a3_sketch_overlap(spark, sf):
+    """Overlap of splits from one sketch a split; exact up to 4,096 values."""
+    return audit.sketch_overlap(audit.value_sketches(_field_values(split_events(spark, sf))))
+
+
+@query(SKETCHED)
+def a4_merged_sketches(spark, sf):
+    """The same from stored sketches of every day, merged."""
+    t = _field_values(split_events(spark, sf)).withColumn("day", F.floor(F.col("ts") / 86400))
+    days = t.where("value is not null").groupBy("day", "field", "split").agg(F.count(F.lit(1)).alias("n"), F.theta_sketch_agg("value").alias("sketch"))
+    path = scratch(spark, "sketches")
+    days.write.partitionBy("day").parquet(path)
+    return audit.sketch_overlap(audit.merged_sketches(spark.read.parquet(path)))

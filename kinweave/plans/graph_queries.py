@@ -59,6 +59,32 @@ def m20_cutoff_variants(spark, sf):
     return splits.cutoffs(events(spark, sf), [0.175, 0.25]).groupBy("variant", "label", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
+EDGE_SEEDS = (42, 7, 1234)
+
+
+@query(f"WITH {S.ENT}, " + ", ".join(S.ring(f"e{x}", S.long(), 2, x) for x in EDGE_SEEDS) + " " + " UNION ALL ".join(f"SELECT {x} AS edge_seed, * FROM e{x}" for x in EDGE_SEEDS))
+def m20_edge_seeds(spark, sf):
+    """Graphs of one split under three edge seeds, in one job."""
+    return graph.edge_variants(split_events(spark, sf), RELATIONS, 2, list(EDGE_SEEDS))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id AS u FROM events), t AS (SELECT u, CASE u % 4 WHEN 0 THEN 'random_s' || u WHEN 1 THEN 'cutoff_t0175' WHEN 2 THEN 'edgeseed_s' || u ELSE 'random_s42' END AS variant FROM u),
+v AS (SELECT DISTINCT variant, CASE WHEN u % 4 IN (0, 2) THEN u END AS u, u % 4 AS k FROM t)
+SELECT variant, CASE WHEN k IN (0, 3) THEN 'random' ELSE 'time_in_class' END AS mode, CASE k WHEN 0 THEN u ELSE 42 END AS split_seed, CASE k WHEN 1 THEN 0.175 ELSE 0.2 END::DOUBLE AS test_size,
+  CASE WHEN k = 0 AND u <> 42 AND u % 12 = 0 THEN 5 WHEN k = 0 AND u <> 42 AND u % 8 = 0 THEN 6 WHEN k IN (0, 2) THEN u ELSE 42 END AS edge_seed,
+  CASE WHEN k = 0 AND u % 12 = 0 THEN 'run record' WHEN k = 0 AND u <> 42 AND u % 8 = 0 THEN 'edge record' WHEN k = 0 AND u <> 42 THEN 'none' ELSE 'name' END AS edge_seed_source,
+  k = 0 AND u <> 42 AND u % 12 <> 0 AND u % 8 <> 0 AS legacy_coupled_seed FROM v""")
+def m21_restored_protocols(spark, sf):
+    """Protocols of old runs from records of the run, records of an edge rebuild, or their names."""
+    u = read(spark, sf, "events").select(F.col("user_id").alias("u")).distinct()
+    k, n = F.col("u") % 4, F.col("u").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("random_s"), n)).when(k == 1, "cutoff_t0175").when(k == 2, F.concat(F.lit("edgeseed_s"), n)).otherwise("random_s42")
+    t = u.withColumn("variant", name)
+    exact = t.where((k == 0) & (F.col("u") % 12 == 0)).select("variant", F.lit("random").alias("mode"), F.col("u").alias("split_seed"), F.lit(0.2).alias("test_size"), F.lit(5).cast("long").alias("edge_seed"))
+    rebuilt = t.where((k == 0) & (F.col("u") % 8 == 0)).select("variant", F.lit(6).cast("long").alias("edge_seed"))
+    return splits.restore_protocol(t, exact, rebuilt)
+
+
 @query(f"WITH {S.ENTITIES} SELECT 'random_s' || s AS variant, s AS split_seed, 42 AS edge_seed, true AS edge_seed_recorded, false AS legacy_coupled_seed FROM (SELECT unnest([41, 43]) AS s) WHERE (SELECT count(*) FROM e0) > 0")
 def m21_protocol(spark, sf):
     return splits.protocol(splits.variants(events(spark, sf), [41, 43]), 42)
@@ -130,10 +156,10 @@ def a19_structure(spark, sf):
     return audit.structure(t, edges_of(t), RELATIONS)
 
 
-@query(STRUCTURE + " SELECT relation, 'incident_within_covered' AS \"check\", incident <= covered AS passed FROM st UNION ALL SELECT relation, 'has_edges', n_edges > 0 FROM st UNION ALL SELECT relation, 'symmetric_count', n_edges % 2 = 0 FROM st")
+@query(STRUCTURE + " SELECT relation, 'incident_within_covered' AS \"check\", incident <= covered AS passed FROM st UNION ALL SELECT relation, 'has_edges', n_edges > 0 FROM st UNION ALL SELECT relation, 'symmetric_count', n_edges % 2 = 0 FROM st UNION ALL SELECT relation, 'flow_count', n = (SELECT count(*) FROM events) FROM st")
 def a28_relation_checks(spark, sf):
     t = split_events(spark, sf)
-    return audit.check_relations(t, edges_of(t), RELATIONS)
+    return audit.check_relations(t, edges_of(t), RELATIONS, read(spark, sf, "events").count())
 
 
 MASKED = f"WITH {S.EDGES}, masked AS (SELECT relation, src, dst FROM ({S.ENDS.format(edges='edges')}) WHERE ss = ds)"
@@ -169,11 +195,14 @@ def j9_inductive_attachment(spark, sf):
     return graph.inductive(split_events(spark, sf), RELATIONS, S.BUDGET, S.SEED)[1]
 
 
-@query(f"""WITH {E_}, {S.ATTACH}, {S.TRAIN}, n AS (SELECT count(*) AS n FROM ent WHERE split = 'test'),
-a AS (SELECT relation, count(*) AS attach_edges FROM attached GROUP BY 1), k AS (SELECT relation, max(k) AS m FROM (SELECT relation, dst, count(*) AS k FROM attached GROUP BY 1, 2) GROUP BY 1),
-q AS (SELECT relation, count(DISTINCT dst) AS reached FROM attached JOIN ent ON dst = id WHERE split = 'test' GROUP BY 1)
-SELECT relation, train_edges, coalesce(attach_edges, 0) AS attach_edges, coalesce(m, 0) AS max_in_degree, n - coalesce(reached, 0) AS isolated_test, round(1 - coalesce(reached, 0) / n, 6) AS isolated_rate
-FROM (SELECT relation, count(*) AS train_edges FROM train_edges GROUP BY 1) LEFT JOIN a USING (relation) LEFT JOIN k USING (relation) LEFT JOIN q USING (relation), n""")
+@query(f"""WITH {E_}, {S.ATTACH}, {S.TRAIN}, n AS (SELECT count(*) FILTER (split <> 'train') AS n_new, count(*) FILTER (split = 'test') AS n_test FROM ent),
+i AS (SELECT relation, dst, 1 AS b, 0 AS a FROM train_edges UNION ALL SELECT relation, dst, 0, 1 FROM attached),
+d AS (SELECT relation, split, sum(b) AS b, sum(a) AS a FROM i JOIN ent ON dst = id GROUP BY relation, dst, split)
+SELECT relation, sum(b)::BIGINT AS train_edges, sum(a)::BIGINT AS attach_edges, max(a)::BIGINT AS max_in_degree, n_test - count(*) FILTER (split = 'test' AND a > 0) AS isolated_test,
+  round(1 - count(*) FILTER (split = 'test' AND a > 0) / n_test, 6) AS isolated_rate, round(count(*) FILTER (split <> 'train' AND a > 0) / n_new, 6) AS attach_rate,
+  round(count(*) FILTER (split = 'test' AND a > 0) / n_test, 6) AS attach_rate_test, coalesce(max(b) FILTER (split = 'train'), 0)::BIGINT AS train_in_degree_before,
+  coalesce(max(a + b) FILTER (split = 'train'), 0)::BIGINT AS train_in_degree_after, coalesce(sum(a) FILTER (split = 'train'), 0) = 0 AS train_in_degree_unchanged
+FROM d, n GROUP BY relation, n_new, n_test""")
 def a26_attachment_report(spark, sf):
     t = split_events(spark, sf)
     return audit.attachment_report(t, *graph.inductive(t, RELATIONS, S.BUDGET, S.SEED))
@@ -301,10 +330,10 @@ def x1_stream_attachment(spark, sf):
 
 
 @query("""WITH t AS (SELECT time_bucket(INTERVAL 300 SECONDS, ts) AS start, event_id FROM events), m AS (SELECT max(ts) - INTERVAL 10 MINUTES AS w FROM events)
-SELECT start::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (event_id <> 0) AS n_valid FROM t, m GROUP BY start, w HAVING start + INTERVAL 300 SECONDS <= w""")
+SELECT start::TIMESTAMP AS start, count(*) AS n, count(*) FILTER (event_id <> 0) AS n_valid, count(DISTINCT CASE WHEN event_id <> 0 THEN event_id END) AS n_values FROM t, m GROUP BY start, w HAVING start + INTERVAL 300 SECONDS <= w""")
 def x2_stream_windows(spark, sf):
     s = _stream(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(flows.windowed_coverage(s, "ts", "event_id")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_valid")
+    return _drained(flows.windowed_coverage(s, "ts", "event_id")).select(F.col("start").cast("timestamp_ntz").alias("start"), "n", "n_valid", "n_values")
 
 
 @query("""WITH t AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTES THEN 0 ELSE 1 END AS begins FROM events),

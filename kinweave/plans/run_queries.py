@@ -205,11 +205,37 @@ def m14_diagnostic_correlation(spark, sf):
     return compare.spearman(diagnostics(spark, sf), ["dataset"], "x", "y")
 
 
-@query()
+def permuted(points: str, ranked: bool, draws: int = 100_000) -> str:
+    """SQL of a permutation test over (dataset, x, y): all orders up to eight points, else drawn ones."""
+    rank = lambda c: f"(rank() OVER (PARTITION BY dataset ORDER BY {c}) + (count(*) OVER (PARTITION BY dataset, {c}) - 1) / 2.0)"
+    x, y = (rank("x"), rank("y")) if ranked else ("x", "y")
+    unit = lambda c: f"CASE WHEN sqrt(sum(pow({c} - m{c}, 2)) OVER d) > 0 THEN ({c} - m{c}) / sqrt(sum(pow({c} - m{c}, 2)) OVER d) ELSE 0 END"
+    return f"""p0 AS ({points}), p1 AS (SELECT dataset, x AS x0, y AS y0, {x}::DOUBLE AS x, {y}::DOUBLE AS y FROM p0), p2 AS (SELECT *, avg(x) OVER (PARTITION BY dataset) AS mx, avg(y) OVER (PARTITION BY dataset) AS my FROM p1),
+    p3 AS (SELECT dataset, x0, y0, {unit("x")} AS ux, {unit("y")} AS uy FROM p2 WINDOW d AS (PARTITION BY dataset)),
+    li AS MATERIALIZED (SELECT dataset, list(ux ORDER BY x0, y0) AS xs, list(uy ORDER BY x0, y0) AS ys, count(*) AS n FROM p3 GROUP BY 1),
+    pr(n, ord) AS (SELECT DISTINCT n, []::BIGINT[] FROM li WHERE n <= 8 UNION ALL SELECT n, list_append(ord, i) FROM pr, (SELECT unnest(range(8)) AS i) t WHERE len(ord) < n AND i < n AND NOT list_contains(ord, i)),
+    dr AS (SELECT dataset, k, list(i ORDER BY md5(concat_ws('|', '0', dataset, k, i))) AS ord FROM (SELECT dataset, k, unnest(range(n)) AS i FROM (SELECT dataset, n, unnest(range({draws})) AS k FROM li WHERE n > 8)) GROUP BY 1, 2),
+    pa AS (SELECT li.dataset, xs, ys, ord, true AS exact FROM li JOIN pr USING (n) WHERE len(ord) = n UNION ALL SELECT li.dataset, xs, ys, ord, false FROM li JOIN dr USING (dataset)),
+    sx AS (SELECT dataset, list_dot_product(xs, ys) AS r, list_dot_product(xs, list_transform(ord, lambda i: ys[i + 1])) AS s, exact FROM pa)
+    SELECT dataset, round(any_value(r), 6) AS r, round(count(*) FILTER (abs(s) >= abs(r) - 1e-12) / count(*), 6) AS p_value, count(*) AS n_permutations, any_value(exact) AS exact FROM sx GROUP BY 1"""
+
+
+POINTS = "SELECT dataset, round(stddev_pop(value), 6) AS x, round(avg(value), 6) AS y FROM ok GROUP BY dataset, variant"
+RECURSIVE = SCORES.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(f"{RECURSIVE}, {permuted(POINTS, False)}")
 def m13_permutation_p(spark, sf):
     return compare.permutation_p(diagnostics(spark, sf))
 
 
+@query(f"{RECURSIVE}, {permuted(POINTS + ', arm', True)}")
+def m13_rank_permutation_p(spark, sf):
+    """Of a rank correlation over arms and variants, too many for all orders."""
+    t = compare.clean(scores(spark, sf)).groupBy("dataset", "variant", "arm").agg(F.round(F.stddev_pop("value"), 6).alias("x"), F.round(F.avg("value"), 6).alias("y"))
+    return compare.permutation_p(t, "spearman")
+
+
 def configs(spark, sf):
     """A user's arms as a set of relations with two scores."""
     t = events(spark, sf).groupBy(F.col("category").alias("dataset"), "user_id").agg(F.array_distinct(F.array_sort(F.collect_list(F.concat(F.lit("r"), (F.col("prop").cast("int") % 4).cast("string"))))).alias("used"), F.round(F.sum(F.bround(F.col("value") * 1e4, 0)) / F.count(F.lit(1)) / 1e6, 3).alias("val"), F.round(F.max("value") / 100, 3).alias("test"))
@@ -261,8 +287,18 @@ META = ["via_user_freq", "via_user_size", "via_prop_freq", "via_prop_size"]
 
 @query()
 def m24_boosting(spark, sf):
-    p = learn.fit_predict(learnable(spark, sf), ["value", *META])
-    return compare.metrics(p, ["split"], 2)
+    """Boosting until the held-out loss stops to fall; the iterations used are in every row."""
+    p, used = learn.fit(learnable(spark, sf), ["value", *META])
+    return compare.metrics(p, ["split"], 2).withColumn("iterations", F.lit(used))
+
+
+@query()
+def m24_boosting_classes(spark, sf):
+    """Five classes by one learner for each against the rest."""
+    t = learnable(spark, sf)
+    code = F.array_position(F.array(*map(F.lit, ("click", "error", "purchase", "signup", "view"))), F.col("category"))
+    p, used = learn.fit(t.withColumn("label", (code - 1).cast("int")), ["value", *META], iterations=40)
+    return compare.metrics(p, ["split"], 5).withColumn("iterations", F.lit(used))
 
 
 @query()
