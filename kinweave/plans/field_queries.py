@@ -280,6 +280,22 @@ def m1_feature_audit(spark, sf):
     return audit.feature_audit(events(spark, sf), ["id", "user_id", "value"])
 
 
+PROBES = {"serial": (True, False), "clock": (False, True), "noise": (False, False), "coarse": (False, False)}
+
+
+@query(f"""WITH {S.ENTITIES}, p AS (SELECT ts, 3.0::DOUBLE * id + 7 AS serial, ts / 7 AS clock, ('0x' || substr(md5('1|' || id), 1, 8))::BIGINT::DOUBLE AS noise, id::DOUBLE % 100 AS coarse FROM e0),
+t AS (SELECT ts, unnest([{", ".join("{'feature': '" + x + "', 'x': " + x + "}" for x in PROBES)}], recursive := true) FROM p),
+r AS (SELECT *, {_avg_rank('x')} AS rx, {_avg_rank('ts')} AS rt FROM t),
+s AS (SELECT feature, count(*) AS n, count(DISTINCT x) AS k, min(x) AS lo, max(x) AS hi, max(abs(x - round_even(x, 0))) AS off, corr(rx, rt) AS rho FROM r GROUP BY 1),
+c AS (SELECT feature, off <= 1e-9 AND k >= 8 AND k >= 0.98 * n AND k / (hi - lo + 1) >= 0.1 AS counter, abs(rho) >= 0.95 AS tracks_time FROM s)
+SELECT *, counter = (feature = 'serial') AND tracks_time = (feature = 'clock') AS passed FROM c""")
+def m4_detector_probes(spark, sf):
+    """The detector on columns made of the table: a row number, the time, a digest and a remainder."""
+    t = events(spark, sf)
+    probes = {"serial": F.col("id") * 3.0 + 7, "clock": F.col("ts") / 7, "noise": V.hash_number(1, F.col("id")).cast("double"), "coarse": (F.col("id") % 100).cast("double")}
+    return audit.detector_verdict(audit.feature_audit(t.select("ts", *[c.alias(n) for n, c in probes.items()]), list(PROBES)), PROBES)
+
+
 GROUPS = f"g AS MATERIALIZED (SELECT via_user AS value, count(*) AS size, count(*) FILTER (label = 0) AS negatives, count(*) FILTER (label <> 0) AS positives FROM e0 WHERE via_user IS NOT NULL GROUP BY 1)"
 
 
