@@ -3,8 +3,9 @@
 Labelled page outcomes are summed by host before anything is joined, so a hot host costs one
 partial sum in each task. A beta-binomial prior passes down from suffix to registered domain
 to host; its strength on each level is estimated by moments from the groups of that level.
-A host is blocked if the lower posterior bound of its rate of bad pages is over a limit.
-Hosts without labels take their domain's posterior. Only blocked hosts are joined to pages.
+A host is blocked if the lower posterior bound of its rate of bad pages is over a limit: the rate of
+all labelled pages, unless one is given, so hosts that are credibly worse than the average page go.
+Hosts without labels take their domain's posterior. Every page has its host's posterior beside the verdict.
 
 The registered domain is one label more than the public suffix. That is the longest entry of
 ``suffixes`` (a parameter; PUBLIC_SUFFIXES has only the most common ones of two labels) or else the
@@ -14,7 +15,8 @@ digits and dots is a domain and suffix of its own.
 Hot suffixes, domains and hosts are joined by broadcast (``spread_join``), so their rows stay dealt.
 
 Defined results: a url that is null or has no ``://`` has an empty host and path, fits no rule
-and has no reputation (allow); outcomes of unknown pages count nowhere; if a page has several
+and has no reputation (nulls, allow); of rules of equal length the last in order of host, then path, then
+verdict decides; without outcomes nothing is blocked by reputation; outcomes of unknown pages count nowhere; if a page has several
 outcomes, each counts; repeated pages are judged separately; an empty table gives no rows.
 """
 
@@ -33,8 +35,8 @@ PUBLIC_SUFFIXES = (
     "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "co.kr",
     "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.za", "com.ar",
 )
-#: A host is blocked if mean - Z * deviation of its posterior is over LIMIT.
-Z, LIMIT = 1.645, 0.5
+#: The lower bound of a host's posterior is mean - Z * deviation.
+Z = 1.645
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1000.0
 
 
@@ -84,7 +86,7 @@ def domain_of(host: Column, suffix: Column) -> Column:
 
 
 def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
-    """From (host, n, bad), one row a host, its posterior: rate, deviation and lower bound.
+    """From (host, n, bad), one row a host, its posterior: rate, deviation and lower bound; and the rate of all outcomes.
 
     Every level is a sum of the level below; the three prior strengths are single rows.
     """
@@ -103,11 +105,12 @@ def host_reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = PUBLIC_SUFF
     k = F.lit(prior["host"].k or MOST_STRENGTH)
     t = spread_join(t, domains, "domain", "rows", total=total).withColumn("rate", (F.col("bad") + k * F.col("dmean")) / (F.col("n") + k))
     t = t.withColumn("deviation", F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + k + 1)))
-    return t.select("host", "n", "bad", "rate", "deviation", (F.col("rate") - F.lit(Z) * F.col("deviation")).alias("lower_bound"))
+    bound = (F.col("rate") - F.lit(Z) * F.col("deviation")).alias("lower_bound")
+    return t.select("host", "n", "bad", "rate", "deviation", bound, F.lit(prior["suffix"].m or 0.0).alias("overall"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIMIT, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
-    """page_id, host, path, rule and verdict of each page.
+def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float | None = None, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> DataFrame:
+    """page_id, host, path, rule and verdict of each page, with n, bad, rate and lower_bound of its host.
 
     ``outcomes`` has page_id and bad (0 or 1). They are joined to the pages' ids and hosts by
     page_id, which repeats no key often.
@@ -117,9 +120,11 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, limit: float = LIM
     seen = pick(outcomes, page_id="page_id", bad="bad").where("page_id is not null and bad is not null")
     counted = p.where("_site is not null").join(seen, "page_id", "left").groupBy(F.col("_site").alias("host"))
     counted = staged(counted.agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("_n")), "outcomes")
-    poor = host_reputation(counted, suffixes).where(F.col("lower_bound") > limit).select("host")
-    poor = poor.join(counted.select("host", "_n"), "host").select(F.col("host").alias("_site"), F.lit("block").alias("by_host"), "_n")
+    rated = host_reputation(counted.select("host", "n", "bad"), suffixes)
+    over = F.col("lower_bound") > (F.col("overall") if limit is None else F.lit(limit))
+    rated = rated.select("host", "n", "bad", F.round("rate", 6).alias("rate"), F.round("lower_bound", 6).alias("lower_bound"), F.when(over, "block").alias("by_host"))
+    rated = rated.join(counted.select("host", "_n"), "host").withColumnRenamed("host", "_site")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    t = spread_join(p, staged(poor, "blocked"), "_site", "_n", "left")
+    t = spread_join(p, staged(rated, "rated"), "_site", "_n", "left")
     t = t.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.col("by_host"), F.lit("allow"))})
-    return t.select("page_id", "host", "path", "rule", "verdict")
+    return t.select("page_id", "host", "path", "rule", "verdict", "n", "bad", "rate", "lower_bound")

@@ -56,12 +56,13 @@ def _op8() -> str:
     {strength("suffix")}, {strength("domain")}, {strength("host")},
     s AS (SELECT suffix, (sum(bad) + (SELECT k * m FROM suffix_k)) / (sum(n) + (SELECT k FROM suffix_k)) AS smean FROM h GROUP BY suffix),
     d AS (SELECT domain, (sum(bad) + (SELECT k FROM domain_k) * any_value(smean)) / (sum(n) + (SELECT k FROM domain_k)) AS dmean FROM h JOIN s USING (suffix) GROUP BY domain),
-    e AS (SELECT host, n + (SELECT k FROM host_k) AS w, (bad + (SELECT k FROM host_k) * dmean) / (n + (SELECT k FROM host_k)) AS rate FROM h JOIN d USING (domain)),
-    poor AS (SELECT host FROM e WHERE rate - {hostrep.Z} * sqrt(rate * (1 - rate) / (w + 1)) > {hostrep.LIMIT}),
+    e AS (SELECT host, n, bad, n + (SELECT k FROM host_k) AS w, (bad + (SELECT k FROM host_k) * dmean) / (n + (SELECT k FROM host_k)) AS rate FROM h JOIN d USING (domain)),
+    l AS (SELECT host AS site, n::BIGINT AS n, bad::BIGINT AS bad, rate, rate - {hostrep.Z} * sqrt(rate * (1 - rate) / (w + 1)) AS low FROM e),
     rules(verdict, h, path) AS (VALUES {rules}),
     f AS (SELECT p.page_id, p.host, p.path, max_by(r.h || r.path, length(r.h || r.path)) AS rule, max_by(r.verdict, length(r.h || r.path)) AS verdict
       FROM p LEFT JOIN rules r ON (p.host = r.h OR suffix(p.host, '.' || r.h)) AND starts_with(p.path, r.path) GROUP BY p.page_id, p.host, p.path)
-    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_replace(host, ':[0-9]*$', '') IN (SELECT host FROM poor) THEN 'block' END, 'allow') AS verdict FROM f"""
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN low > (SELECT m FROM suffix_k) THEN 'block' END, 'allow') AS verdict, n, bad, round(rate, 6) AS rate, round(low, 6) AS lower_bound
+    FROM f LEFT JOIN l ON l.site = regexp_replace(host, ':[0-9]*$', '')"""
 
 
 #: Base 32 of a SHA-1 in hexadecimal: five digits are four characters.

@@ -532,6 +532,21 @@ def test_bad_host_is_blocked(spark):
     outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(80) if i % 40 < 38], "page_id long, bad int")
     rows = {r.page_id: r.verdict for r in hostrep.judge(pages, outcomes).collect()}
     assert all((v == "block") == (i < 40) for i, v in rows.items())
+    rated = {r.page_id: r for r in hostrep.judge(pages, outcomes).collect()}
+    assert (rated[0].n, rated[0].bad, rated[50].n, rated[50].bad) == (38, 38, 38, 0) and rated[0].lower_bound > 0.5 > rated[50].rate
+    assert {r.verdict for r in hostrep.judge(pages, outcomes, limit=1.0).collect()} == {"allow"}
+
+
+def test_labels_change_verdicts_of_the_table(spark):
+    """On the registered pages: labels that make one host's pages bad block its pages without a rule, and no clean host's."""
+    sf = "/root/testdata/sf0.01"
+    pages = hostrep.with_parts(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")).where("host <> ''")
+    before = {r.page_id: r for r in queries.op8_url_filter(spark, sf).where("rule is null and host <> ''").collect()}
+    sizes = collections.Counter(r.host.split(":")[0] for r in before.values())
+    worst = max(sizes, key=lambda h: (sizes[h], h))
+    labels = pages.select("page_id", (F.regexp_replace("host", ":[0-9]*$", "") == worst).cast("int").alias("bad"))
+    after = {r.page_id: r for r in hostrep.judge(pages, labels).where("rule is null").collect()}
+    assert sizes[worst] >= 3 and all((r.verdict == "block") == (r.host.split(":")[0] == worst) for r in after.values())
 
 
 # 9 archives -----------------------------------------------------------------------------------
