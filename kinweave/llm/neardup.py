@@ -5,9 +5,10 @@ SIGNATURE minwise values. In every one of TREES independent trees a set follows
 chosen coordinates to its first nodes, keyed by the minwise token there. Nodes with one set
 end; nodes of at most SMALL sets are compared exhaustively. In a larger node every set is
 compared with PIVOTS members, which settles large groups of near copies; the sets that are unlike
-all of them go on and, if they are still many, branch again by BRANCH coordinates drawn from the
-node's key, so dissimilar sets part while a pair at the threshold follows 3 * 0.75 > 1 common
-branches on average and meets again almost surely.
+all of them go on and, if they are still many, branch again by one coordinate drawn from the node's
+key, and in one of SECOND nodes by a second one. So a pair at the threshold keeps 4/3 * 0.75 = 1
+common branch on average, of the 12 that it starts with, while texts that share less, such as pages of
+one template, shrink in number from level to level.
 
 Nodes only propose: they link sets whose signatures agree enough (a bound far under the
 threshold), which gives candidate groups. Every candidate's full set is then fetched once and
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from kinweave.llm.shared import BROADCAST_ROWS, give_back, pick, spread_join, staged, text_hash, without
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-SIGNATURE, TREES, ROOT_BRANCH, BRANCH = 64, 8, 2, 3
+SIGNATURE, TREES, ROOT_BRANCH, SECOND = 64, 8, 2, 3
 SMALL, PIVOTS = 1000, 16
 #: Shares of agreeing minwise values that make a candidate, in small nodes and with pivots, and
 #: that settle a set with a pivot.
@@ -237,9 +238,9 @@ def propose_links(classes: DataFrame) -> DataFrame:
             linked, paths = _by_pivots(large, many, mins, level)
             found = found.unionByName(linked)
             continue
-        branches = F.array(*[F.lit(i) for i in range(BRANCH)])
-        coordinate = F.transform(branches, lambda i: F.pmod(F.xxhash64("node", i), F.lit(SIGNATURE)).cast("int"))
-        t = large.select("node", "id").join(mins, "id").withColumn("c", F.explode(coordinate))
+        drawn = [F.pmod(F.xxhash64("node", F.lit(i)), F.lit(n)).cast("int") for i, n in ((0, SIGNATURE), (1, SIGNATURE), (2, SECOND))]
+        coordinates = F.array_compact(F.array(drawn[0], F.when((drawn[2] == 0) & (drawn[1] != drawn[0]), drawn[1])))
+        t = large.select("node", "id").join(mins, "id").withColumn("c", F.explode(coordinates))
         token = F.substring("mins", F.col("c") + 1, F.lit(1))
         paths = staged(t.select("id", F.xxhash64("node", "c", token).alias("node")).distinct(), f"paths-{level}")
 

@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from kinweave.llm import goodness, lemp, queries, shared, trie
+from kinweave.llm import goodness, lemp, neardup, queries, shared, trie
 
 TURNS = "conv_id long, turn long, role string, text string"
 NODE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
@@ -237,3 +237,29 @@ def test_curve_meets_the_rate():
     assert slope == pytest.approx(2, abs=0.25) and shift == pytest.approx(-1, abs=0.15)
     slope, shift = goodness.fit_curve(np.array([-1.0, -2, 1, 2]), np.array([0.0, 0, 1, 1]), np.ones(4))
     assert math.isfinite(slope) and slope > 0
+
+
+# 6 near-duplicates on texts of one template ----------------------------------------------------
+
+
+def test_template_texts_do_not_multiply(spark, monkeypatch):
+    """Texts that share a template (similarity 0.6) part from level to level, and the pairs over the threshold among them are found."""
+    monkeypatch.setattr(neardup, "SMALL", 60)
+    draw = random.Random(1)
+    template = [f"t{i}" for i in range(150)]
+    docs = [(i, " ".join(template + [f"w{draw.randrange(10**9)}" for _ in range(50)])) for i in range(500)]
+    for k in range(30):
+        words = docs[k][1].split()
+        for j in range(5):
+            words[150 + j * 8] = f"z{draw.randrange(10**9)}"
+        docs.append((10_000 + k, " ".join(words)))
+    seen, nodes = [], neardup._nodes
+
+    def counted(paths, name):
+        seen.append(paths.count())
+        return nodes(paths, name)
+
+    monkeypatch.setattr(neardup, "_nodes", counted)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert max(seen) <= 2 * seen[0] and seen[-1] < seen[0]
+    assert sum(got[10_000 + k] == k for k in range(30)) >= 29 and all(got[i] == i for i in range(500))
