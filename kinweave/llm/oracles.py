@@ -189,6 +189,16 @@ def _op12() -> str:
     WINDOW w AS (PARTITION BY p.uid, p.row ORDER BY s.score DESC, s.vec_id NULLS LAST, s.row) QUALIFY row_number() OVER w <= {lemp.NEGATIVES}"""
 
 
+def _margins() -> str:
+    each = " UNION ALL ".join(f"SELECT '{x}' AS margin, {x} AS category, tokens, weight FROM w WHERE tokens > 0" for x in mixing.MARGINS)
+    return f"""
+    WITH w AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens, sum(n_tokens * rate) AS weight FROM ({_op1()}) GROUP BY ALL),
+    m AS (SELECT margin, category, sum(tokens) AS have, sum(weight) AS got FROM ({each}) GROUP BY ALL),
+    t AS (SELECT margin, category, pow(have, {mixing.TEMPERATURE}) / sum(pow(have, {mixing.TEMPERATURE})) OVER (PARTITION BY margin) AS target, got / nullif(sum(got) OVER (PARTITION BY margin), 0) AS share FROM m)
+    SELECT margin, category, round(target, 6) AS target, round(share, 6) AS share, coalesce(abs(share - target) <= {5 * mixing.TOLERANCE} * target, false) AS met,
+      (SELECT round(sum(weight) / sum(tokens), 6) FROM w) AS attained FROM t"""
+
+
 ORACLES = {
     "op1_source_mixing": _op1(),
     "op2_quality_rules": _op2(),
@@ -197,6 +207,7 @@ ORACLES = {
     "op8_url_filter": _op8(),
     "op9_warc": OP9,
     "quality_ablation": _ablation(),
+    "mixing_margins": _margins(),
     "op10_chat_format": _op10(),
     "op11_prefix_trie": _op11(),
     "op12_hard_negatives": _op12(),

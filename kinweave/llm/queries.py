@@ -17,6 +17,17 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def mixing_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target of the mixture its share in the expected sample, whether it is met, and the share of
+    all tokens that the sample has (``attained``), which the scarcest category bounds."""
+    cells = mixing.cells_of(mixing.measured(table(spark, sf_dir, "documents")))
+    goal = mixing.goals(cells)
+    rate = mixing.rates(cells, goal)
+    attained = rate.agg(F.round(F.try_divide(F.sum("weight"), F.sum("tokens")), 6).alias("attained"))  # one row
+    t = mixing.margins(rate, goal).join(F.broadcast(attained))
+    return t.select("margin", "category", F.round("target", 6).alias("target"), F.round("share", 6).alias("share"), "met", "attained")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of all documents under policy ``web``; the bits of ``base`` give base_failed."""
     ledger = staged(quality.ledger(table(spark, sf_dir, "documents")), "ledger")
@@ -98,7 +109,7 @@ def op13_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_source_mixing, op2_quality_rules, quality_ablation, op3_language_id, op4_decontamination, op5_token_files,
+        op1_source_mixing, mixing_margins, op2_quality_rules, quality_ablation, op3_language_id, op4_decontamination, op5_token_files,
         op6_near_duplicates, op7_personal_data, op8_url_filter, op9_warc, op10_chat_format, op11_prefix_trie,
         op12_hard_negatives, op13_quality_scores,
     )
