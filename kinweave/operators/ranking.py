@@ -20,12 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     Only on one machine (a local master) a temporary folder takes its place.
     """
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None and context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="spark-kinweave-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
