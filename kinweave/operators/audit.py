@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.values import is_valid, valid_value
-from kinweave.operators.graph import degrees, long_values
+from kinweave.operators.graph import CARRIED, degrees, long_values
 from kinweave.operators.ranking import average_rank
 
 
@@ -80,6 +80,32 @@ def sketch_overlap(sketches: DataFrame, a: str = "train", b: str = "test") -> Da
     return t.select("*", share("shared", "values_b").alias("overlap_values"), share("shared", "n_union").alias("jaccard"))
 
 
+def value_sets(df: DataFrame, column: str, a: str = "train", b: str = "test") -> DataFrame:
+    """One row: distinct values that both splits have, and those that only one has; by one aggregation that
+    marks each value with the splits it is in. Missing values are in no set."""
+    v = df.select(valid_value(F.col(column)).alias("value"), "split").where(F.col("value").isNotNull() & F.col("split").isin(a, b))
+    t = v.groupBy("value").agg(F.max((F.col("split") == a).cast("int")).alias("a"), F.max((F.col("split") == b).cast("int")).alias("b"))
+    return t.agg(_count((F.col("a") == 1) & (F.col("b") == 1)).alias("n_both"), _count(F.col("b") == 0).alias(f"n_only_{a}"), _count(F.col("a") == 0).alias(f"n_only_{b}"))
+
+
+def seen_values(df: DataFrame, relations: list[str], known: str = "train", asked: str = "test") -> DataFrame:
+    """By relation: rows of one split with a value, and those whose value another split has, from counts by
+    value, so that a frequent value's rows are never joined. Relations without a value have no row."""
+    t = long_values(df, relations)
+    c = t.groupBy("relation", "value").agg(_count(F.col("split") == asked).alias("n"), _count(F.col("split") == known).alias("k"))
+    return c.groupBy("relation").agg(F.sum("n").alias("n_asked"), F.coalesce(F.sum(F.when(F.col("k") > 0, F.col("n"))), F.lit(0)).alias("n_seen"))
+
+
+def top_values(df: DataFrame, group: str, value: str, top: int = 10) -> DataFrame:
+    """(group, value, n, share): the most frequent values of each group, ties by value, with their share of
+    the group's rows. Every task passes on its own top values only. Null groups and values count as such."""
+    c = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    best = c.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("n"), value))).where(F.col("_r") <= top)
+    whole = c.groupBy(F.col(group).alias("_g")).agg(F.sum("n").alias("_n"))
+    t = best.join(whole, best[group].eqNullSafe(whole["_g"]))
+    return t.select(group, value, "n", F.round(F.col("n") / F.col("_n"), 6).alias("share"))
+
+
 def field_profile(values: DataFrame, top: int = 10) -> DataFrame:
     """Coverage, distinct values, share of the top values, information and train/test overlap."""
     v = values.where("value is not null").groupBy("field", "value").agg(F.count(F.lit(1)).alias("c"))
@@ -152,6 +178,8 @@ def repeated_ids(df: DataFrame) -> DataFrame:
 
 
 def _with_ends(edges: DataFrame, df: DataFrame) -> DataFrame:
+    if {f"{side}_{c}" for side in ("src", "dst") for c in CARRIED} <= set(edges.columns):
+        return edges
     ends = df.select("id", "label", "split")
     s = ends.select(F.col("id").alias("src"), F.col("label").alias("src_label"), F.col("split").alias("src_split"))
     d = ends.select(F.col("id").alias("dst"), F.col("label").alias("dst_label"), F.col("split").alias("dst_split"))
@@ -159,17 +187,22 @@ def _with_ends(edges: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def homophily(df: DataFrame, edges: DataFrame) -> DataFrame:
-    """By relation: edges that join equal labels, against chance, and where edges lead."""
+    """By relation: edges that join equal labels, against chance, and where edges lead.
+
+    Edges that carry their ends (``build_with_ends``) are not joined with rows. They are read once: counted
+    by source, which is how many have an edge, and then by relation.
+    """
     t = _with_ends(edges, df)
     pair = lambda a, b: (F.col("src_split") == a) & (F.col("dst_split") == b)
-    s = t.groupBy("relation").agg(
-        F.count(F.lit(1)).alias("n_edges"), _count(F.col("src_label") == F.col("dst_label")).alias("same"),
-        _count(F.col("src_split") != F.col("dst_split")).alias("across"), _count(pair("train", "test") | pair("test", "train")).alias("train_test"),
-    )
-    reached = degrees(edges).groupBy("relation").agg(F.count(F.lit(1)).alias("covered"))
+    counts = {
+        "n_edges": F.count(F.lit(1)), "same": _count(F.col("src_label") == F.col("dst_label")),
+        "across": _count(F.col("src_split") != F.col("dst_split")), "train_test": _count(pair("train", "test") | pair("test", "train")),
+    }
+    s = t.groupBy("relation", "src").agg(*[c.alias(name) for name, c in counts.items()])
+    s = s.groupBy("relation").agg(*[F.sum(name).alias(name) for name in counts], F.count(F.lit(1)).alias("covered"))
     classes = df.groupBy("label").agg(F.count(F.lit(1)).alias("c"))
     chance = classes.agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("c")) / F.pow(F.sum("c"), F.lit(2))).alias("chance"))
-    s = s.join(reached, "relation").join(F.broadcast(chance))
+    s = s.join(F.broadcast(chance))
     h = F.col("same") / F.col("n_edges")
     return s.select(
         "relation", "n_edges", F.round(h, 6).alias("homophily"), F.round("chance", 6).alias("chance"), F.round(h - F.col("chance"), 6).alias("lift"),

@@ -282,6 +282,12 @@ def top_by_size(configs: DataFrame) -> DataFrame:
     return s.withColumn("agree", F.col("by_val") == F.col("by_test"))
 
 
+def realised_sets(configs: DataFrame) -> DataFrame:
+    """(dataset, key): the distinct graphs that the configurations of each data set come to; different
+    requests with the same relations in use are one."""
+    return configs.select("dataset", F.array_join("used", "+").alias("key")).distinct()
+
+
 def saturation(configs: DataFrame) -> DataFrame:
     """Best score by number of distinct relations."""
     return configs.groupBy("dataset", F.size(F.array_distinct("used")).alias("size")).agg(F.max("test").alias("best"))

@@ -10,7 +10,9 @@ from kinweave.operators.ranking import position_by_hash, position_by_order
 
 
 def mask_cross_partition(df: DataFrame, edges: DataFrame) -> DataFrame:
-    """Only edges within a split."""
+    """Only edges within a split; edges that carry their ends are not joined with rows."""
+    if {"src_split", "dst_split"} <= set(edges.columns):
+        return edges.where("src_split = dst_split").select("relation", "src", "dst")
     ends = df.select("id", "split")
     t = edges.join(ends.select(F.col("id").alias("src"), F.col("split").alias("a")), "src")
     return t.join(ends.select(F.col("id").alias("dst"), F.col("split").alias("b")), "dst").where("a = b").select("relation", "src", "dst")

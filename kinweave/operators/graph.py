@@ -15,10 +15,15 @@ from kinweave.operators.ranking import kept, position_by_hash
 from kinweave.spec import RelationSpec
 
 
-def long_values(df: DataFrame, relations: list[str]) -> DataFrame:
-    """(relation, value, id, split) of every valid value, one row for each relation, in one pass."""
+#: Attributes of rows that edges can carry of both ends.
+CARRIED = ("label", "split")
+
+
+def long_values(df: DataFrame, relations: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """(relation, value, id, split) of every valid value, one row for each relation, in one pass; with the
+    columns ``carry``."""
     each = F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), valid_value(F.col(r)).alias("value")) for r in relations]))
-    split = ["split"] if "split" in df.columns else []
+    split = [*carry, *(["split"] if "split" in df.columns and "split" not in carry else [])]
     return df.select("id", *split, each.alias("r")).select("r.relation", "r.value", "id", *split).where("value is not null")
 
 
@@ -27,21 +32,29 @@ def check_budget(degree: int) -> None:
         raise ValueError(f"the neighbour budget must be even and at least 2, not {degree}")
 
 
-def ring_edges(values: DataFrame, degree: int, seed: int | Column, keys: tuple[str, ...] = ("relation",)) -> DataFrame:
+def ring_edges(
+    values: DataFrame, degree: int, seed: int | Column, keys: tuple[str, ...] = ("relation",), carry: tuple[str, ...] = ()
+) -> DataFrame:
     """(keys, src, dst) in both directions from (keys, value, id); the seed may be one of the keys.
 
+    Of the columns ``carry``, which belong to the id, edges have both ends' values as src_ and dst_, so
+    that what compares the ends needs no join of edges with rows.
+
     A group of at most degree + 1 rows becomes complete; a larger one is put in hash order and
     each row is joined to the degree / 2 rows before and after it on the ring.
     """
     check_budget(degree)
     group = [*keys, "value"]
-    t = position_by_hash(values.select(*group, "id").distinct(), group, seeded_hash(seed, F.col("value"), F.col("id")), "id")
+    t = position_by_hash(values.select(*group, "id", *carry).distinct(), group, seeded_hash(seed, F.col("value"), F.col("id")), "id")
     t = t.where("n > 1")
     offsets = F.when(F.col("n") - 1 <= degree, F.when(F.col("pos") < F.col("n") - 1, F.sequence(F.lit(1).cast("long"), F.col("n") - 1 - F.col("pos")))).otherwise(F.sequence(F.lit(1).cast("long"), F.lit(degree // 2).cast("long")))
-    a = t.select(*group, F.col("id").alias("src"), "n", "pos", F.explode(offsets).alias("o"))
-    a = a.select(*group, "src", ((F.col("pos") + F.col("o")) % F.col("n")).alias("pos"))
-    one = a.join(t.select(*group, "pos", F.col("id").alias("dst")), [*group, "pos"]).select(*keys, "src", "dst")
-    return one.unionByName(one.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst")))
+    end = lambda side: [F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in carry]]
+    names = lambda side: [side, *[f"{side}_{c}" for c in carry]]
+    a = t.select(*group, *end("src"), "n", "pos", F.explode(offsets).alias("o"))
+    a = a.select(*group, *names("src"), ((F.col("pos") + F.col("o")) % F.col("n")).alias("pos"))
+    one = a.join(t.select(*group, "pos", *end("dst")), [*group, "pos"]).select(*keys, *names("src"), *names("dst"))
+    turned = [F.col(x).alias(y) for x, y in zip(names("src") + names("dst"), names("dst") + names("src"), strict=True)]
+    return one.unionByName(one.select(*keys, *turned))
 
 
 def clean_edges(edges: DataFrame) -> DataFrame:
@@ -54,6 +67,11 @@ def build(df: DataFrame, relations: list[str], degree: int, seed: int) -> DataFr
     return ring_edges(long_values(df, relations), degree, seed)
 
 
+def build_with_ends(df: DataFrame, relations: list[str], degree: int, seed: int) -> DataFrame:
+    """Edges as by ``build``, with label and split of both ends; ids must be unique."""
+    return ring_edges(long_values(df, relations, CARRIED), degree, seed, carry=CARRIED)
+
+
 def edge_variants(df: DataFrame, relations: list[str], degree: int, seeds: list[int]) -> DataFrame:
     """(edge_seed, relation, src, dst): the graphs of the same rows under each edge seed, in one job.
 

@@ -265,7 +265,7 @@ def a32_saturation(spark, sf):
 
 @query(f"{CONFIGS} SELECT DISTINCT dataset, key FROM ck")
 def t4_realised_sets(spark, sf):
-    return configs(spark, sf).select("dataset", F.array_join("used", "+").alias("key")).distinct()
+    return compare.realised_sets(configs(spark, sf))
 
 
 @query(f"""WITH {S.ENTITIES}, f AS (SELECT category AS claim, round(avg(label), 4) AS value FROM e0 GROUP BY 1)

@@ -10,7 +10,7 @@ from kinweave.operators.ranking import kept, scratch
 from kinweave.plans import sql as S
 from kinweave.plans.graph_queries import edges_of
 from kinweave.sources import logs
-from kinweave.sources.tables import RELATIONS, events, read, read_edges, read_scores, split_events, write_edges, write_flows, write_report
+from kinweave.sources.tables import RELATIONS, events, read, read_edges, read_released, read_scores, split_events, write_edges, write_flows, write_report
 
 REGISTERED: dict = {}
 
@@ -50,7 +50,7 @@ def r4_labels_from_paths(spark, sf):
 def r3_released_csv(spark, sf):
     path = scratch(spark, "csv")
     write_report(read(spark, sf, "events").select("event_id", "value"), path, "csv")
-    return spark.read.schema("event_id long, value double").option("header", True).csv(path)
+    return read_released(spark, path, "event_id long, value double")
 
 
 @query("SELECT 'gone' AS change, count(DISTINCT event_type) AS n_files FROM events UNION ALL SELECT 'new', 2 * count(DISTINCT event_type) FROM events")
@@ -172,18 +172,12 @@ def j3_certificate_names(spark, sf):
 
 @query(f"WITH {S.ENT}, lv AS ({S.long()}), tr AS (SELECT DISTINCT relation, value FROM lv WHERE split = 'train') SELECT relation, count(*) AS n_seen FROM lv JOIN tr USING (relation, value) WHERE split = 'test' GROUP BY 1")
 def j5_value_membership(spark, sf):
-    from kinweave.operators.graph import long_values
-
-    t = long_values(split_events(spark, sf), RELATIONS)
-    return t.where("split = 'test'").join(t.where("split = 'train'").select("relation", "value").distinct(), ["relation", "value"], "left_semi").groupBy("relation").agg(F.count(F.lit(1)).alias("n_seen"))
+    return audit.seen_values(split_events(spark, sf), RELATIONS).where("n_seen > 0").select("relation", "n_seen")
 
 
 @query(f"WITH {S.ENT}, a AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'test' AND via_prop IS NOT NULL), b AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'train' AND via_prop IS NOT NULL) SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_only_test")
 def t2_value_sets(spark, sf):
-    t = split_events(spark, sf).where("via_prop is not null")
-    a, b = (t.where(F.col("split") == s).select("via_prop").distinct() for s in ("test", "train"))
-    n = lambda x, name: x.agg(F.count(F.lit(1)).alias(name))
-    return n(a.intersect(b), "n_both").join(n(a.exceptAll(b), "n_only_test"))
+    return audit.value_sets(split_events(spark, sf), "via_prop").select("n_both", "n_only_test")
 
 
 @query("""SELECT scenario, class, count(*) AS n_sessions, count(DISTINCT CASE WHEN server <> '0' THEN server END) AS n_servers, CASE WHEN count(DISTINCT CASE WHEN server <> '0' THEN server END) <= 1 THEN 'one server' ELSE 'usable' END AS finding FROM
@@ -327,10 +321,7 @@ def v5_average_rank(spark, sf):
 
 @query("SELECT o_orderpriority, o_custkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r <= 10")
 def v6_top_values(spark, sf):
-    from pyspark.sql import Window
-
-    t = read(spark, sf, "orders").groupBy("o_orderpriority", "o_custkey").agg(F.count(F.lit(1)).alias("n"))
-    return t.withColumn("r", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(F.desc("n"), "o_custkey"))).where("r <= 10").drop("r")
+    return audit.top_values(read(spark, sf, "orders"), "o_orderpriority", "o_custkey").drop("share")
 
 
 @query("SELECT md5(concat(c_custkey, '|', c_name, '|', c_mktsegment)) AS row_hash FROM customer")

@@ -51,6 +51,12 @@ def read_edges(spark: SparkSession, path: str, relations: list[str]) -> DataFram
     return spark.read.parquet(path).where(F.col("relation").isin(*relations)).select("relation", "src", "dst")
 
 
+def read_released(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A released flow table (CSV with a header, no timestamps) under a given schema, so that nothing is
+    read twice to guess types; columns are matched by position and checked against the header."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def write_report(df: DataFrame, path: str, form: str = "json") -> None:
     (df.write.json if form == "json" else df.write.option("header", True).csv)(path)
 

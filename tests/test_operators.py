@@ -338,3 +338,28 @@ def test_labels_of_files_and_blank_labels(spark):
     assert [tuple(r) for r in got] == [("t_chat", "a"), ("t_other", None), ("t_chat", None)]
     h = V.handshake_fingerprint(F.lit(769), F.array(F.lit(4), F.lit(5)), F.lit(None).cast("array<int>"), F.array().cast("array<int>"))
     assert spark.range(1).select(h).first()[0] == hashlib.md5(b"769,4-5,,").hexdigest()
+
+
+def test_edges_that_carry_their_ends(spark):
+    rows = [(i, i % 3 % 2, ("train", "val", "test")[i % 3], "hot" if i % 3 else f"v{i % 7}", None if i == 5 else str(i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, label int, split string, via_a string, via_b string")
+    plain, carried = graph.build(df, ["via_a", "via_b"], 4, 3), graph.build_with_ends(df, ["via_a", "via_b"], 4, 3)
+    of = {r[0]: r for r in rows}
+    found = carried.collect()
+    assert sorted((e.relation, e.src, e.dst) for e in found) == sorted(map(tuple, plain.collect()))
+    assert all((e.src_label, e.src_split) == of[e.src][1:3] and (e.dst_label, e.dst_split) == of[e.dst][1:3] for e in found)
+    for f in (audit.homophily, audit.edge_pairs, controls.mask_cross_partition):
+        assert sorted(map(tuple, f(df, carried).collect())) == sorted(map(tuple, f(df, plain).collect()))
+    nothing = df.where("false")
+    assert audit.homophily(nothing, graph.build_with_ends(nothing, ["via_a"], 2, 3)).count() == 0
+
+
+def test_value_sets_seen_values_and_top_values(spark):
+    rows = [(1, "train", "a"), (2, "test", "a"), (3, "test", "b"), (4, "test", "b"), (5, "train", "c"), (6, "val", "b"), (7, "test", None), (8, "test", "-")]
+    df = spark.createDataFrame(rows, "id long, split string, via_x string")
+    assert tuple(audit.value_sets(df, "via_x").first()) == (1, 1, 1)
+    assert tuple(audit.value_sets(df.where("false"), "via_x").first()) == (0, 0, 0)
+    assert [tuple(r) for r in audit.seen_values(df, ["via_x"]).collect()] == [("via_x", 3, 1)]
+    t = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "y"), ("g", "z"), (None, "q")], "k string, v string")
+    found = {(r.k, r.v, r.n, r.share) for r in audit.top_values(t, "k", "v", 2).collect()}
+    assert found == {("g", "x", 2, 0.5), ("g", "y", 1, 0.25), (None, "q", 1, 1.0)}
