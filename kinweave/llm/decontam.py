@@ -16,7 +16,10 @@ pair appears once without a shuffle. Candidates are verified on the shingles the
 
 Signatures and item shingles are broadcast while all items together have at most
 BROADCAST_SHINGLES shingles; beyond that the same joins shuffle slim (row, hash) pairs, where the
-documents' rows of a frequent hash stay where they are (``spread_join``).
+documents' rows of a frequent hash stay where they are (``spread_join``). Bitmaps are of bounded size, so
+they fill up as items get many. Therefore only hashes that some signature really has are shuffled: sketches
+meet the signatures' distinct hashes, broadcast in blocks of BLOCK_HASHES, and one pass over the documents
+is made for each block. What is written grows with true hits then, however many items there are.
 
 Defined results: items and documents with fewer than five words have no shingle and match
 nothing; null texts are empty; rows that repeat an item_id are separate items under that id and the
@@ -27,6 +30,8 @@ all this holds for both sizes of the items; empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ SIGNATURE, COMMON = 32, 16
 BROADCAST_SHINGLES = 500_000
 #: Bits of a bitmap for each hash of the largest partition, and its most bits.
 BITS_EACH, MOST_BITS = 64, 1 << 18
+#: Hashes of signatures that are broadcast at a time, 8 bytes each and some 50 in a task's hash table.
+BLOCK_HASHES = 2_000_000
 
 
 def with_shingles(t: DataFrame) -> DataFrame:
@@ -100,11 +107,23 @@ def with_sketch(t: DataFrame, sig: DataFrame) -> DataFrame:
     return t.withColumn("sketch", F.filter("h", may_be))
 
 
+def true_hits(hits: DataFrame, sig: DataFrame) -> DataFrame:
+    """The rows of ``hits`` whose hash ``s`` is in a signature, by broadcasts of bounded size."""
+    known = staged(sig.select(F.explode("sig").alias("s")).distinct(), "signature-hashes")
+    blocks = max(1, -(-known.count() // BLOCK_HASHES))
+    block = lambda t, b: t.where(F.pmod(F.xxhash64("s"), F.lit(blocks)) == b) if blocks > 1 else t
+    each = [block(hits, b).join(F.broadcast(block(known, b)), "s", "left_semi") for b in range(blocks)]
+    return reduce(DataFrame.unionByName, each)
+
+
 def sketch_share(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row: shingles of all documents, those in their sketches, and the share of these."""
-    t = with_sketch(with_shingles(pick(docs, text="text")), signatures(items)).select(F.size("h").alias("n"), F.size("sketch").alias("k"))
-    t = t.agg(F.sum("n").alias("n_shingles"), F.sum("k").alias("n_sketch"))
-    return t.withColumn("share", F.try_divide(F.col("n_sketch"), F.col("n_shingles")))
+    """One row: shingles of all documents, those in their sketches, those in a signature, and their shares."""
+    sig = signatures(items)
+    t = with_sketch(with_shingles(pick(docs, text="text")), sig)
+    n = t.agg(F.sum(F.size("h")).alias("n_shingles"), F.sum(F.size("sketch")).alias("n_sketch"))
+    n = n.join(true_hits(t.select(F.explode_outer("sketch").alias("s")), sig).agg(F.count(F.lit(1)).alias("n_hits")))
+    share = lambda c: F.try_divide(F.col(c), F.col("n_shingles"))
+    return n.withColumns({"share": share("n_sketch"), "hit_share": share("n_hits")})
 
 
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -123,11 +142,11 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         hits = t.select("doc_id", "text_hash", "w", "n_doc", "sketch", each)
         pairs = hits.join(F.broadcast(keys), "s").where(fits).select("doc_id", "text_hash", "w", "k").join(F.broadcast(grams), "k")
     else:
-        hits = staged(t.select("doc_id", "text_hash", "n_doc", "sketch", each).where("s is not null"), "sketches")
-        keyed = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n")).join(keys.groupBy("s").agg(F.collect_list(F.struct("k", "need", "earlier")).alias("items")), "s")
+        hits = staged(true_hits(t.select("doc_id", "text_hash", "n_doc", each), sig), "sketches")
+        keyed = hits.groupBy("s").agg(F.count(F.lit(1)).alias("n")).join(keys.groupBy("s").agg(F.collect_list(F.struct("k", "need")).alias("items")), "s")
         keyed = staged(keyed, "keyed")
         pairs = spread_join(hits, keyed, "s", "n").withColumn("i", F.explode("items"))
-        pairs = pairs.select("doc_id", "text_hash", "n_doc", "sketch", "i.*").where(fits).select("doc_id", "text_hash", "k")
+        pairs = pairs.select("doc_id", "text_hash", "n_doc", "i.*").where("n_doc >= need").select("doc_id", "text_hash", "k")
         pairs = staged(pairs.distinct().withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "candidates")
         same = pairs["_id"].eqNullSafe(t["doc_id"]) & (pairs["_hash"] == t["text_hash"])
         pairs = t.select("doc_id", "text_hash", "w").join(pairs, same).select("doc_id", "text_hash", "w", "k").join(grams, "k")

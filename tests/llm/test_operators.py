@@ -292,6 +292,23 @@ def test_sketches_are_small(spark):
     assert decontam.sketch_share(d, b).first().share < 0.1
 
 
+def test_many_items_do_not_shuffle_their_documents(spark, monkeypatch):
+    """Items whose signatures fill every bitmap: what is shuffled are hashes of signatures, in one block or many."""
+    monkeypatch.setattr(decontam, "MOST_BITS", 64)
+    monkeypatch.setattr(decontam, "BROADCAST_SHINGLES", 0)
+    text = lambda kind, k, n: " ".join(f"{kind}{k}x{i}" for i in range(n))
+    items = spark.createDataFrame([(k, text("i", k, 30)) for k in range(400)], "item_id long, text string")
+    docs = [(k, text("d", k, 200) + (" " + text("i", k, 30) if k % 10 == 0 else "")) for k in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for bound in (decontam.BLOCK_HASHES, 500):
+        monkeypatch.setattr(decontam, "BLOCK_HASHES", bound)
+        r = decontam.sketch_share(d, items).first()
+        assert r.share > 0.9 and r.n_hits == 10 * (26 - 20 + 1)
+        found.append(sorted(map(tuple, decontam.find(d, items).collect())))
+    assert found[0] == found[1] == [(k, k, 26, 26) for k in range(0, 100, 10)]
+
+
 # 5 token files --------------------------------------------------------------------------------
 
 
@@ -579,8 +596,54 @@ def test_archives_keep_large_ids(spark, monkeypatch, bound):
     got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(spark, pages)[1].collect()}
     expected = {big + 3: ("revisit", big + 1), big + 1: ("response", None), None: ("response", None), big + 5: ("response", None), big + 10: ("response", None)}
     assert got == expected | {big + 10 + k: ("revisit", big + 10) for k in range(1, 8)}
-    head = warc._record(1, "http://a/", "x", None).decode().split("\r\n\r\n")[0]
-    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= {x.split(":")[0] for x in head.split("\r\n")[1:]}
+    head = warc._record("0", 1, "http://a/", "x", None).decode().split("\r\n\r\n")[0]
+    assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= {x.split(":")[0] for x in head.split("\r\n")[1:]}
+
+
+def plain_records(raw: bytes):
+    """(headers, block) of each record of uncompressed WARC data, by lengths alone."""
+    at = 0
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        lines = raw[at:end].decode().split("\r\n")
+        assert lines[0] == "WARC/1.1"
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        size = int(fields["Content-Length"])
+        assert raw[end + 4 + size : end + 8 + size] == b"\r\n\r\n"
+        yield fields, raw[end + 4 : end + 4 + size]
+        at = end + 8 + size
+
+
+def test_bundles_are_valid_archives(spark, tmp_path):
+    """Bundles read as a whole by a plain reader: a warcinfo first, unique record ids although page ids repeat
+    or are null, HTTP messages with the payload, revisits that name a target that is there; many bundles a task."""
+    import io
+
+    import zstandard
+
+    html = [(i % 5 if i % 11 else None, f"http://h/{i}", ("p" * (i % 4)) + "\r\n\r\n" if i % 3 else None) for i in range(60)]
+    pages = spark.createDataFrame(html, "page_id long, url string, html string").coalesce(1)
+    index = warc.write_bundles(warc.resolve_revisits(pages), f"file://{tmp_path}/w", bundle_bytes=1)
+    assert index.count() == 60 and warc.read_bundles(index, f"file://{tmp_path}/w").count() == 60
+    index = warc.write_bundles(warc.resolve_revisits(pages), f"file://{tmp_path}/small", bundle_bytes=1 << 30)
+    ids, responses, revisits, payloads = [], set(), [], collections.Counter()
+    for file in [*(tmp_path / "small").glob("bundle-*"), *(tmp_path / "w").glob("bundle-*")]:
+        raw = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(file.read_bytes()), read_across_frames=True).read()
+        found = list(plain_records(raw))
+        assert found[0][0]["WARC-Type"] == "warcinfo" and found[0][0]["WARC-Filename"] == file.name
+        ids += [f["WARC-Record-ID"] for f, _ in found]
+        if "small" in str(file):
+            for f, block in found[1:]:
+                assert f["Content-Type"] == "application/http; msgtype=response" and block.startswith(b"HTTP/1.1 200 OK\r\n")
+                payload = block.split(b"\r\n\r\n", 1)[1]
+                if f["WARC-Type"] == "response":
+                    responses.add((f["WARC-Target-URI"], f["WARC-Payload-Digest"]))
+                    payloads[payload.decode()] += 1
+                else:
+                    assert payload == b""
+                    revisits.append((f["WARC-Refers-To-Target-URI"], f["WARC-Payload-Digest"]))
+    assert len(ids) == len(set(ids)) and revisits and set(revisits) <= responses
+    assert set(payloads) == {h or "" for _, _, h in html} and sum(payloads.values()) + len(revisits) == 60
 
 
 # 10 chat --------------------------------------------------------------------------------------
