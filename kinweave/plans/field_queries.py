@@ -50,7 +50,12 @@ def a3_split_overlap(spark, sf):
     return audit.field_overlap(audit.long_fields(split_events(spark, sf), FIELDS))
 
 
-@query(f"WITH {S.ENT}, v AS (SELECT field, value, count(DISTINCT split) AS k FROM (SELECT 'user_id' AS field, coalesce(user_id::VARCHAR, '') AS value, split FROM ent UNION ALL SELECT 'prop', coalesce(prop, ''), split FROM ent) WHERE split IN ('train', 'test') GROUP BY 1, 2) SELECT field, count(*) FILTER (k = 2) AS shared, count(*) AS n_union, round(count(*) FILTER (k = 2) / count(*), 6) AS jaccard FROM v GROUP BY 1")
+@query(
+    f"WITH {S.ENT}, v AS (SELECT field, value, count(DISTINCT split) AS k FROM (SELECT 'user_id' AS field, coalesce(user_id::VARCHAR, '') AS value, "
+    "split FROM ent UNION ALL SELECT 'prop', coalesce(prop, ''), split FROM ent) WHERE split IN ('train', 'test') GROUP BY 1, 2) "
+    "SELECT field, count(*) FILTER (k = 2) AS shared, count(*) AS n_union, round(count(*) FILTER (k = 2) / count(*), 6) AS jaccard FROM v "
+    "GROUP BY 1"
+)
 def a4_jaccard(spark, sf):
     return audit.jaccard(split_events(spark, sf), FIELDS)
 
@@ -71,12 +76,21 @@ DOC = f"""WITH e0 AS (SELECT doc_id AS id, doc_id::DOUBLE AS ts, coalesce(toxic,
 ent AS MATERIALIZED {S.class_split()}"""
 
 
-@query(f"{DOC}, t AS (SELECT * FROM ent WHERE split = 'test' AND label <> 0) SELECT count(*) AS n_test, count(*) FILTER (category NOT IN (SELECT category FROM ent WHERE split = 'train')) AS n_new, round(count(*) FILTER (category NOT IN (SELECT category FROM ent WHERE split = 'train')) / nullif(count(*), 0), 6) AS open_set_rate FROM t")
+@query(
+    f"{DOC}, t AS (SELECT * FROM ent WHERE split = 'test' AND label <> 0) SELECT count(*) AS n_test, "
+    "count(*) FILTER (category NOT IN (SELECT category FROM ent WHERE split = 'train')) AS n_new, round(count(*) FILTER (category NOT IN (SELECT "
+    "category FROM ent WHERE split = 'train')) / nullif(count(*), 0), 6) AS open_set_rate FROM t"
+)
 def a6_open_set_rate(spark, sf):
     return audit.open_set_rate(labelled_documents(spark, sf))
 
 
-@query(f"WITH {S.ENTITIES}, p AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS pos, count(*) OVER () AS n FROM e0), ent AS (SELECT *, {S.cut('n - floor(n * 0.2)::BIGINT - floor(n * 0.1)::BIGINT', 'floor(n * 0.1)::BIGINT')} AS split FROM p) SELECT category, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, max(label) AS modal_label FROM ent GROUP BY category")
+@query(
+    f"WITH {S.ENTITIES}, p AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS pos, count(*) OVER () AS n "
+    f"FROM e0), ent AS (SELECT *, {S.cut('n - floor(n * 0.2)::BIGINT - floor(n * 0.1)::BIGINT', 'floor(n * 0.1)::BIGINT')} AS split FROM p) "
+    "SELECT category, count(*) FILTER (split = 'train') AS n_train, count(*) FILTER (split = 'test') AS n_test, max(label) AS modal_label FROM ent "
+    "GROUP BY category"
+)
 def a7_ordered_drift(spark, sf):
     from kinweave.operators.splits import by_time
 
@@ -103,12 +117,18 @@ def a10_concentration(spark, sf):
     return audit.concentration(events(spark, sf), "user_id")
 
 
-@query(f"WITH {S.ENT} SELECT l.label, s.split, count(e.id) AS n, count(e.id) > 0 AS passed FROM (SELECT DISTINCT label FROM ent) l CROSS JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN ent e ON e.label = l.label AND e.split = s.split GROUP BY 1, 2")
+@query(
+    f"WITH {S.ENT} SELECT l.label, s.split, count(e.id) AS n, count(e.id) > 0 AS passed FROM (SELECT DISTINCT label FROM ent) l CROSS "
+    "JOIN (VALUES ('train'), ('val'), ('test')) s(split) LEFT JOIN ent e ON e.label = l.label AND e.split = s.split GROUP BY 1, 2"
+)
 def a11_split_audit(spark, sf):
     return audit.split_audit(split_events(spark, sf))
 
 
-@query(f"WITH {S.ENT}, t AS (SELECT id, count(DISTINCT split) AS k FROM ent GROUP BY 1) SELECT count(*) AS n_ids, count(*) FILTER (k > 1) AS n_in_several FROM t")
+@query(
+    f"WITH {S.ENT}, t AS (SELECT id, count(DISTINCT split) AS k FROM ent GROUP BY 1) "
+    "SELECT count(*) AS n_ids, count(*) FILTER (k > 1) AS n_in_several FROM t"
+)
 def a11_repeated_ids(spark, sf):
     return audit.repeated_ids(split_events(spark, sf))
 
@@ -150,7 +170,10 @@ def a14_presence_rules(spark, sf):
     return _rounded(presence.rules(presence.contingency(labelled_documents(spark, sf), DOC_FIELDS)))
 
 
-@query(f"{DOC}, {_cells('ent', DOC_FIELDS)}, {RULES} SELECT min(field) AS field, round(max(macro_f1), 6) AS macro_f1, count(*) AS n_ties FROM rules WHERE macro_f1 = (SELECT max(macro_f1) FROM rules)")
+@query(
+    f"{DOC}, {_cells('ent', DOC_FIELDS)}, {RULES} SELECT min(field) AS field, round(max(macro_f1), 6) AS macro_f1, count(*) AS n_ties FROM rules "
+    "WHERE macro_f1 = (SELECT max(macro_f1) FROM rules)"
+)
 def k1_best_rule(spark, sf):
     return _rounded(presence.best_rule(presence.rules(presence.contingency(labelled_documents(spark, sf), DOC_FIELDS))))
 
@@ -172,7 +195,10 @@ def a15_scoped_rules_by_majority(spark, sf):
     return _rounded(presence.scoped_rules(presence.contingency(labelled_documents(spark, sf), DOC_FIELDS), "present_majority"))
 
 
-@query(f"{DOC}, {_cells('ent', DOC_FIELDS)} SELECT field, present, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (label = 1), 0)::BIGINT AS positives, round(coalesce(sum(c) FILTER (label = 1), 0) / sum(c), 6) AS positive_rate FROM cells GROUP BY 1, 2")
+@query(
+    f"{DOC}, {_cells('ent', DOC_FIELDS)} SELECT field, present, sum(c)::BIGINT AS n, coalesce(sum(c) FILTER (label = 1), 0)::BIGINT AS positives, "
+    "round(coalesce(sum(c) FILTER (label = 1), 0) / sum(c), 6) AS positive_rate FROM cells GROUP BY 1, 2"
+)
 def a16_presence_class_mix(spark, sf):
     return presence.class_mix(presence.contingency(labelled_documents(spark, sf), DOC_FIELDS))
 
@@ -192,14 +218,21 @@ def p8_standardise(spark, sf):
     return features.standardise(split_events(spark, sf).select("id", "split", "value"), ["value"]).select("id", F.round("value", 6).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice / coalesce(nullif(l_tax, 0), 1) AS bytes_rate, l_quantity / coalesce(nullif(l_tax, 0), 1) AS packets_rate, l_extendedprice / coalesce(nullif(l_quantity, 0), 1) AS mean_packet FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, l_extendedprice / coalesce(nullif(l_tax, 0), 1) AS bytes_rate, l_quantity / coalesce(nullif(l_tax, 0), "
+    "1) AS packets_rate, l_extendedprice / coalesce(nullif(l_quantity, 0), 1) AS mean_packet FROM lineitem"
+)
 def p1_rates(spark, sf):
     t = read(spark, sf, "lineitem")
     c = features.rates(F.col("l_tax"), F.col("l_extendedprice"), F.col("l_quantity"))
     return t.select("l_orderkey", "l_linenumber", *[v.alias(k) for k, v in c.items()])
 
 
-@query("SELECT l_orderkey, l_linenumber, greatest(l_tax - l_discount, 0.001::DOUBLE) AS duration, l_extendedprice / greatest(l_tax - l_discount, 0.001::DOUBLE) AS bytes_rate, l_quantity / greatest(l_tax - l_discount, 0.001::DOUBLE) AS packets_rate, l_extendedprice / greatest(l_quantity, 1) AS mean_packet FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, greatest(l_tax - l_discount, 0.001::DOUBLE) AS duration, l_extendedprice / greatest(l_tax - l_discount, "
+    "0.001::DOUBLE) AS bytes_rate, l_quantity / greatest(l_tax - l_discount, 0.001::DOUBLE) AS packets_rate, "
+    "l_extendedprice / greatest(l_quantity, 1) AS mean_packet FROM lineitem"
+)
 def p2_packet_rates(spark, sf):
     t = read(spark, sf, "lineitem")
     c = features.packet_rates(F.col("l_discount"), F.col("l_tax"), F.col("l_extendedprice"), F.col("l_quantity"))
@@ -241,7 +274,10 @@ def m5_metadata_counts(spark, sf):
     return features.metadata_counts(split_events(spark, sf), RELATIONS)
 
 
-@query(f"WITH {S.ENT}, c AS (SELECT label, count(*) AS c FROM ent WHERE split = 'train' GROUP BY 1) SELECT label, round(sum(c) OVER () / (count(*) OVER () * c), 6) AS weight FROM c")
+@query(
+    f"WITH {S.ENT}, c AS (SELECT label, count(*) AS c FROM ent WHERE split = 'train' GROUP BY 1) "
+    "SELECT label, round(sum(c) OVER () / (count(*) OVER () * c), 6) AS weight FROM c"
+)
 def a24_class_weights(spark, sf):
     return features.class_weights(split_events(spark, sf))
 
@@ -359,7 +395,10 @@ def m17_group_folds(spark, sf):
     return feasibility.fold_report(t, "user_id").unionByName(feasibility.fold_report(t, "category"))
 
 
-@query(f"WITH {S.ENT} SELECT split, count(*) AS n, sum(label)::BIGINT AS positives, bit_xor(('0x' || substr(md5(concat_ws('|', id, label, category)), 1, 15))::BIGINT) AS digest FROM ent GROUP BY 1")
+@query(
+    f"WITH {S.ENT} SELECT split, count(*) AS n, sum(label)::BIGINT AS positives, bit_xor(('0x' || substr(md5(concat_ws('|', id, label, category)), "
+    "1, 15))::BIGINT) AS digest FROM ent GROUP BY 1"
+)
 def r11_fingerprint(spark, sf):
     return audit.fingerprint(split_events(spark, sf), ["id", "label", "category"])
 

@@ -54,7 +54,10 @@ def v9_random_split(spark, sf):
     return splits.at_random(events(spark, sf), 7).select("id", "label", "split")
 
 
-@query(f"WITH {S.ENTITIES}, e1 AS (SELECT *, unnest([41, 42, 43]) AS seed FROM e0) SELECT variant, label, split, count(*) AS n FROM ({_random('seed::VARCHAR', chr(39) + 'random_s' + chr(39) + ' || seed AS variant,')}) GROUP BY ALL")
+@query(
+    f"WITH {S.ENTITIES}, e1 AS (SELECT *, unnest([41, 42, 43]) AS seed FROM e0) SELECT variant, label, split, count(*) AS n "
+    f"FROM ({_random('seed::VARCHAR', chr(39) + 'random_s' + chr(39) + ' || seed AS variant,')}) GROUP BY ALL"
+)
 def m20_random_variants(spark, sf):
     return splits.variants(events(spark, sf), [41, 42, 43]).groupBy("variant", "label", "split").agg(F.count(F.lit(1)).alias("n"))
 
@@ -91,7 +94,10 @@ def m21_restored_protocols(spark, sf):
     return splits.restore_protocol(t, exact, rebuilt)
 
 
-@query(f"WITH {S.ENTITIES} SELECT 'random_s' || s AS variant, s AS split_seed, 42 AS edge_seed, true AS edge_seed_recorded, false AS legacy_coupled_seed FROM (SELECT unnest([41, 43]) AS s) WHERE (SELECT count(*) FROM e0) > 0")
+@query(
+    f"WITH {S.ENTITIES} SELECT 'random_s' || s AS variant, s AS split_seed, 42 AS edge_seed, true AS edge_seed_recorded, "
+    "false AS legacy_coupled_seed FROM (SELECT unnest([41, 43]) AS s) WHERE (SELECT count(*) FROM e0) > 0"
+)
 def m21_protocol(spark, sf):
     return splits.protocol(splits.variants(events(spark, sf), [41, 43]), 42)
 
@@ -149,7 +155,10 @@ def a18_homophily_with_ends(spark, sf):
     return audit.homophily(*rows_with_ends(spark, sf))
 
 
-@query(f"WITH {S.EDGES}, t AS ({S.ENDS.format(edges='edges')}) SELECT relation, ss AS src_split, ds AS dst_split, count(*) AS n_edges FROM t GROUP BY ALL")
+@query(
+    f"WITH {S.EDGES}, t AS ({S.ENDS.format(edges='edges')}) SELECT relation, ss AS src_split, ds AS dst_split, count(*) AS n_edges FROM t "
+    "GROUP BY ALL"
+)
 def a18_edge_pairs(spark, sf):
     t = split_events(spark, sf)
     return audit.edge_pairs(t, edges_of(t))
@@ -168,7 +177,11 @@ def a19_structure(spark, sf):
     return audit.structure(t, edges_of(t), RELATIONS)
 
 
-@query(STRUCTURE + " SELECT relation, 'incident_within_covered' AS \"check\", incident <= covered AS passed FROM st UNION ALL SELECT relation, 'has_edges', n_edges > 0 FROM st UNION ALL SELECT relation, 'symmetric_count', n_edges % 2 = 0 FROM st UNION ALL SELECT relation, 'flow_count', n = (SELECT count(*) FROM events) FROM st")
+@query(STRUCTURE + (
+    " SELECT relation, 'incident_within_covered' AS \"check\", incident <= covered AS passed FROM st UNION ALL "
+    "SELECT relation, 'has_edges', n_edges > 0 FROM st UNION ALL SELECT relation, 'symmetric_count', n_edges % 2 = 0 FROM st UNION ALL "
+    "SELECT relation, 'flow_count', n = (SELECT count(*) FROM events) FROM st"
+))
 def a28_relation_checks(spark, sf):
     t = split_events(spark, sf)
     return audit.check_relations(t, edges_of(t), RELATIONS, read(spark, sf, "events").count())
@@ -183,14 +196,23 @@ def w4_mask_cross_partition(spark, sf):
     return controls.mask_cross_partition(t, edges_of(t))
 
 
-@query(MASKED + ", b AS (SELECT DISTINCT relation, src AS id FROM edges), a AS (SELECT DISTINCT relation, src AS id, 1 AS k FROM masked) SELECT relation, count(*) AS nodes_before, count(k) AS nodes_after, count(*) FILTER (split = 'test') AS test_before, count(*) FILTER (split = 'test' AND k = 1) AS test_after FROM b LEFT JOIN a USING (relation, id) JOIN ent USING (id) GROUP BY 1")
+@query(MASKED + (
+    ", b AS (SELECT DISTINCT relation, src AS id FROM edges), a AS (SELECT DISTINCT relation, src AS id, 1 AS k FROM masked) "
+    "SELECT relation, count(*) AS nodes_before, count(k) AS nodes_after, count(*) FILTER (split = 'test') AS test_before, "
+    "count(*) FILTER (split = 'test' AND k = 1) AS test_after FROM b LEFT JOIN a USING (relation, id) JOIN ent USING (id) GROUP BY 1"
+))
 def a25_mask_nodes(spark, sf):
     t = split_events(spark, sf)
     e = edges_of(t)
     return audit.node_reach(t, e, controls.mask_cross_partition(t, e))
 
 
-@query(MASKED + ", m AS (SELECT relation, src, dst, max(a) AS a, max(b) AS b FROM (SELECT *, 1 AS a, 0 AS b FROM edges UNION ALL SELECT *, 0, 1 FROM masked) GROUP BY ALL) SELECT relation, sum(a * b)::BIGINT AS both, sum(a * (1 - b))::BIGINT AS only_first, sum(b * (1 - a))::BIGINT AS only_second, CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'one side only' WHEN sum(a + b - 2 * a * b) = 0 THEN 'identical' ELSE 'different' END AS verdict FROM m GROUP BY 1")
+@query(MASKED + (
+    ", m AS (SELECT relation, src, dst, max(a) AS a, max(b) AS b FROM (SELECT *, 1 AS a, 0 AS b FROM edges UNION ALL SELECT *, 0, 1 FROM masked) "
+    "GROUP BY ALL) SELECT relation, sum(a * b)::BIGINT AS both, sum(a * (1 - b))::BIGINT AS only_first, sum(b * (1 - a))::BIGINT AS only_second, "
+    "CASE WHEN sum(a) = 0 OR sum(b) = 0 THEN 'one side only' WHEN sum(a + b - 2 * a * b) = 0 THEN 'identical' ELSE 'different' END AS verdict "
+    "FROM m GROUP BY 1"
+))
 def t3_graph_difference(spark, sf):
     t = split_events(spark, sf)
     e = edges_of(t)
@@ -220,7 +242,10 @@ def a26_attachment_report(spark, sf):
     return audit.attachment_report(t, *graph.inductive(t, RELATIONS, S.BUDGET, S.SEED))
 
 
-@query(f"WITH {E_}, {S.ATTACH} SELECT relation, count(*) AS n_edges, 0::BIGINT AS src_not_train, 0::BIGINT AS dst_in_train, 0::BIGINT AS over_budget, 0::BIGINT AS two_hop FROM attached GROUP BY 1")
+@query(
+    f"WITH {E_}, {S.ATTACH} SELECT relation, count(*) AS n_edges, 0::BIGINT AS src_not_train, 0::BIGINT AS dst_in_train, 0::BIGINT AS over_budget, "
+    "0::BIGINT AS two_hop FROM attached GROUP BY 1"
+)
 def j17_attachment_violations(spark, sf):
     t = split_events(spark, sf)
     return graph.attach_violations(graph.inductive(t, RELATIONS, S.BUDGET, S.SEED)[1], t, S.BUDGET)
@@ -254,7 +279,10 @@ r(relation, v, m) AS (SELECT relation, id, id FROM ent, (SELECT unnest({list(S.R
 c AS (SELECT relation, v AS id, min(m) AS component FROM r GROUP BY 1, 2)"""
 
 
-COMPONENTS_MASKED = COMPONENTS.replace("r(relation, v, m)", "masked AS MATERIALIZED (SELECT e.* FROM edges e JOIN ent s ON e.src = s.id JOIN ent d ON e.dst = d.id WHERE s.split = d.split),\nr(relation, v, m)").replace("r JOIN edges e", "r JOIN masked e")
+COMPONENTS_MASKED = COMPONENTS.replace("r(relation, v, m)", (
+    "masked AS MATERIALIZED (SELECT e.* FROM edges e JOIN ent s ON e.src = s.id JOIN ent d ON e.dst = d.id "
+    "WHERE s.split = d.split),\nr(relation, v, m)"
+)).replace("r JOIN edges e", "r JOIN masked e")
 
 
 @query(COMPONENTS + " SELECT * FROM c")
@@ -262,7 +290,11 @@ def m19_components(spark, sf):
     return graph.value_components(events(spark, sf), RELATIONS)
 
 
-@query(COMPONENTS + ", s AS (SELECT relation, count(*) AS size FROM c GROUP BY relation, component) SELECT relation, count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, sum((size = 1)::INT)::BIGINT AS isolates FROM s GROUP BY 1")
+@query(COMPONENTS + (
+    ", s AS (SELECT relation, count(*) AS size FROM c GROUP BY relation, component) "
+    "SELECT relation, count(*) AS n_components, max(size) AS largest, quantile_cont(size, 0.5)::DOUBLE AS median_size, "
+    "sum((size = 1)::INT)::BIGINT AS isolates FROM s GROUP BY 1"
+))
 def m19_component_sizes(spark, sf):
     return audit.component_sizes(m19_components(spark, sf), ("relation",))
 
@@ -302,7 +334,13 @@ def v7_value_permutation(spark, sf):
     return controls.permute_values(events(spark, sf).select("id", "via_user"), ["via_user"], 11).select("id", "via_user")
 
 
-@query(f"WITH {S.ENTITIES}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM e0 WHERE via_user IS NOT NULL AND via_prop IS NOT NULL), q AS (SELECT via_user AS u, via_prop AS v, row_number() OVER (ORDER BY md5(concat_ws('|', '12:via_user+via_prop', id)), id) - 1 AS pos FROM e0 WHERE via_user IS NOT NULL AND via_prop IS NOT NULL) SELECT e0.id, coalesce(q.u, via_user) AS via_user, coalesce(q.v, via_prop) AS via_prop FROM e0 LEFT JOIN p ON e0.id = p.id LEFT JOIN q ON p.pos = q.pos")
+@query(
+    f"WITH {S.ENTITIES}, p AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM e0 "
+    "WHERE via_user IS NOT NULL AND via_prop IS NOT NULL), q AS (SELECT via_user AS u, via_prop AS v, "
+    "row_number() OVER (ORDER BY md5(concat_ws('|', '12:via_user+via_prop', id)), id) - 1 AS pos FROM e0 "
+    "WHERE via_user IS NOT NULL AND via_prop IS NOT NULL) SELECT e0.id, coalesce(q.u, via_user) AS via_user, coalesce(q.v, via_prop) AS via_prop "
+    "FROM e0 LEFT JOIN p ON e0.id = p.id LEFT JOIN q ON p.pos = q.pos"
+)
 def v7_joint_permutation(spark, sf):
     return controls.permute_values(events(spark, sf).select("id", "via_user", "via_prop"), ["via_user", "via_prop"], 12, joint=True).select("id", "via_user", "via_prop")
 

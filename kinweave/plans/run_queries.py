@@ -69,12 +69,19 @@ def a13_majority_line(spark, sf):
     return compare.metrics(split_events(spark, sf).withColumn("prediction", F.lit(0)), ["split"], 2)
 
 
-@query(f"{SCORES} SELECT dataset, arm, variant, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(stddev_samp(value), 6) AS std_sample, count(*) AS n, string_agg(printf('%.4f', value), ',' ORDER BY value) AS values_sorted FROM ok GROUP BY 1, 2, 3")
+@query(
+    f"{SCORES} SELECT dataset, arm, variant, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(stddev_samp(value), "
+    "6) AS std_sample, count(*) AS n, string_agg(printf('%.4f', value), ',' ORDER BY value) AS values_sorted FROM ok GROUP BY 1, 2, 3"
+)
 def a23_seed_summary(spark, sf):
     return compare.seed_summary(scores(spark, sf), ["dataset", "arm", "variant"])
 
 
-PAIRS = f"{SCORES}, pa AS MATERIALIZED (SELECT x.dataset, x.seed, x.value AS x, y.value AS y, x.value - y.value AS d FROM bs x JOIN bs y USING (dataset, seed) WHERE x.arm = 'full' AND y.arm = 'plain' AND (SELECT count(*) FROM bs b WHERE b.dataset = x.dataset AND b.arm = 'full') = (SELECT count(*) FROM bs b WHERE b.dataset = x.dataset AND b.arm = 'plain'))"
+PAIRS = (
+    f"{SCORES}, pa AS MATERIALIZED (SELECT x.dataset, x.seed, x.value AS x, y.value AS y, x.value - y.value AS d FROM bs x "
+    "JOIN bs y USING (dataset, seed) WHERE x.arm = 'full' AND y.arm = 'plain' AND (SELECT count(*) FROM bs b "
+    "WHERE b.dataset = x.dataset AND b.arm = 'full') = (SELECT count(*) FROM bs b WHERE b.dataset = x.dataset AND b.arm = 'plain'))"
+)
 
 
 @query(f"{PAIRS} SELECT dataset, seed, round(d, 6) AS d FROM pa")
@@ -82,7 +89,10 @@ def j16_paired_scores(spark, sf):
     return compare.paired(by_seed(spark, sf), "full", "plain").select("dataset", "seed", F.round("d", 6).alias("d"))
 
 
-@query(f"{PAIRS} SELECT dataset, count(*) AS n_seeds, round(avg(d), 6) AS mean_diff, round(greatest(avg((d > 0)::INT), avg((d < 0)::INT)), 6) AS sign_consistency FROM pa GROUP BY 1")
+@query(
+    f"{PAIRS} SELECT dataset, count(*) AS n_seeds, round(avg(d), 6) AS mean_diff, round(greatest(avg((d > 0)::INT), avg((d < 0)::INT)), "
+    "6) AS sign_consistency FROM pa GROUP BY 1"
+)
 def m9_sign_consistency(spark, sf):
     return compare.sign_summary(compare.paired(by_seed(spark, sf), "full", "plain"))
 
@@ -108,11 +118,17 @@ def _interval() -> str:
     """Whole sums of drawn scores, as in the query."""
     of = dict(zip(("plain", "loop", "permuted", "full"), ("p", "l", "m", "f"), strict=True))
     lists = ", ".join(f"list(whole ORDER BY seed, variant, whole) FILTER (arm = '{a}') AS v{c}" for a, c in of.items())
-    total = lambda c: f"list_sum(list_transform(range(0, len(v{c})), lambda i: v{c}[(('0x' || substr(md5(concat_ws('|', '5:{'permuted' if c == 'm' else 'arms'}', dataset, r, i)), 1, 8))::BIGINT % len(v{c}) + 1)::BIGINT]))::DOUBLE AS s{c}, len(v{c})::DOUBLE AS k{c}"
+    total = lambda c: (
+        f"list_sum(list_transform(range(0, len(v{c})), lambda i: v{c}[(('0x' || substr(md5(concat_ws('|', '5:{'permuted' if c == 'm' else 'arms'}', "
+        f"dataset, r, i)), 1, 8))::BIGINT % len(v{c}) + 1)::BIGINT]))::DOUBLE AS s{c}, len(v{c})::DOUBLE AS k{c}"
+    )
     over = lambda a, b: f"(s{a} * k{b} - s{b} * k{a})"
     under = lambda a, b: f"(k{a} * k{b})"
     terms = {"architecture": ("l", "p"), "availability": ("m", "l"), "value_semantics": ("f", "m")}
-    values = ", ".join(f"{over(*x)} / ({under(*x)} * 1000000) AS {n}, CASE WHEN {over('f', 'p')} <> 0 THEN {over(*x)} * {under('f', 'p')} / ({under(*x)} * {over('f', 'p')}) END AS {n}_share" for n, x in terms.items())
+    values = ", ".join((
+        f"{over(*x)} / ({under(*x)} * 1000000) AS {n}, CASE WHEN {over('f', 'p')} <> 0 THEN {over(*x)} * {under('f', 'p')} / ({under(*x)} * "
+        f"{over('f', 'p')}) END AS {n}_share"
+    ) for n, x in terms.items())
     ends = []
     for n in terms:
         for end, q in (("low", 0.025), ("high", 0.975)):
@@ -134,7 +150,10 @@ def m10_permutation_observation(spark, sf):
     return compare.permutation_observation(scores(spark, sf), "permuted")
 
 
-PIVOT = "p AS (SELECT dataset{v}, avg(value) FILTER (arm = 'plain') AS pl, avg(value) FILTER (arm = 'loop') AS lo, avg(value) FILTER (arm = 'permuted') AS pe, avg(value) FILTER (arm = 'full') AS fu FROM ok GROUP BY ALL)"
+PIVOT = (
+    "p AS (SELECT dataset{v}, avg(value) FILTER (arm = 'plain') AS pl, avg(value) FILTER (arm = 'loop') AS lo, "
+    "avg(value) FILTER (arm = 'permuted') AS pe, avg(value) FILTER (arm = 'full') AS fu FROM ok GROUP BY ALL)"
+)
 
 
 def _decomposed() -> str:
@@ -154,12 +173,20 @@ def a29_decomposition(spark, sf):
     return compare.decomposition(scores(spark, sf), *ARMS)
 
 
-@query(f"{SCORES}, m AS (SELECT dataset, variant, avg(value) AS m FROM ok WHERE arm = 'permuted' GROUP BY 1, 2), a AS (SELECT dataset, stddev_pop(m) AS sp FROM m GROUP BY 1), b AS (SELECT dataset, stddev_pop(value) AS sa FROM ok WHERE arm = 'full' GROUP BY 1) SELECT dataset, round(sp + sa, 6) AS threshold FROM a JOIN b USING (dataset)")
+@query(
+    f"{SCORES}, m AS (SELECT dataset, variant, avg(value) AS m FROM ok WHERE arm = 'permuted' "
+    "GROUP BY 1, 2), a AS (SELECT dataset, stddev_pop(m) AS sp FROM m GROUP BY 1), b AS (SELECT dataset, stddev_pop(value) AS sa FROM ok "
+    "WHERE arm = 'full' GROUP BY 1) SELECT dataset, round(sp + sa, 6) AS threshold FROM a JOIN b USING (dataset)"
+)
 def a30_noise_threshold(spark, sf):
     return compare.noise_threshold(scores(spark, sf), "full", "permuted")
 
 
-@query(f"{SCORES}, {PIVOT.format(v=', variant')}, s AS (SELECT dataset, (fu - pe) / (fu - pl) AS s FROM p WHERE fu - pl > 0) SELECT dataset, count(*) AS n_variants, round(min(s), 6) AS min_share, round(max(s), 6) AS max_share, round(avg(s), 6) AS mean_share, round(stddev_pop(s), 6) AS std_share FROM s GROUP BY 1")
+@query(
+    f"{SCORES}, {PIVOT.format(v=', variant')}, s AS (SELECT dataset, (fu - pe) / (fu - pl) AS s FROM p WHERE fu - pl > 0) "
+    "SELECT dataset, count(*) AS n_variants, round(min(s), 6) AS min_share, round(max(s), 6) AS max_share, round(avg(s), 6) AS mean_share, "
+    "round(stddev_pop(s), 6) AS std_share FROM s GROUP BY 1"
+)
 def a31_share_range(spark, sf):
     return compare.share_range(scores(spark, sf), "plain", "permuted", "full")
 
@@ -178,7 +205,13 @@ def m11_kendall_tau(spark, sf):
     return compare.tau(ranks(spark, sf))
 
 
-@query(f"{RANKS}, {TAU}, tp AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY dataset, variant) AS best FROM rk) WHERE score = best), ld AS (SELECT dataset, variant, count(*) AS k FROM tp GROUP BY 1, 2) SELECT dataset, n_pairs, mean_tau, ever_top, unique_top, tied FROM (SELECT dataset, count(*) AS n_pairs, round(avg(tau), 6) AS mean_tau FROM ta GROUP BY 1) JOIN (SELECT dataset, count(DISTINCT item) AS ever_top FROM tp GROUP BY 1) USING (dataset) JOIN (SELECT dataset, count(*) FILTER (k = 1) AS unique_top, count(*) FILTER (k > 1) AS tied FROM ld GROUP BY 1) USING (dataset)")
+@query(
+    f"{RANKS}, {TAU}, tp AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY dataset, variant) AS best FROM rk) "
+    "WHERE score = best), ld AS (SELECT dataset, variant, count(*) AS k FROM tp GROUP BY 1, 2) "
+    "SELECT dataset, n_pairs, mean_tau, ever_top, unique_top, tied FROM (SELECT dataset, count(*) AS n_pairs, round(avg(tau), 6) AS mean_tau "
+    "FROM ta GROUP BY 1) JOIN (SELECT dataset, count(DISTINCT item) AS ever_top FROM tp GROUP BY 1) USING (dataset) "
+    "JOIN (SELECT dataset, count(*) FILTER (k = 1) AS unique_top, count(*) FILTER (k > 1) AS tied FROM ld GROUP BY 1) USING (dataset)"
+)
 def m12_ranking_agreement(spark, sf):
     return compare.ranking_agreement(ranks(spark, sf))
 
@@ -253,7 +286,10 @@ def k2_selection_rule(spark, sf):
     return compare.select_smallest(configs(spark, sf)).drop("test")
 
 
-@query(f"{CONFIGS} SELECT dataset, size::INT AS size, by_val, by_test, by_val = by_test AS agree FROM (SELECT dataset, size, last(key ORDER BY val, key) AS by_val, last(key ORDER BY test, key) AS by_test FROM ck GROUP BY 1, 2)")
+@query(
+    f"{CONFIGS} SELECT dataset, size::INT AS size, by_val, by_test, by_val = by_test AS agree FROM (SELECT dataset, size, last(key "
+    "ORDER BY val, key) AS by_val, last(key ORDER BY test, key) AS by_test FROM ck GROUP BY 1, 2)"
+)
 def k3_top_by_size(spark, sf):
     return compare.top_by_size(configs(spark, sf))
 

@@ -87,7 +87,10 @@ def r7_edge_files(spark, sf):
     return read_edges(spark, path, ["via_prop"])
 
 
-@query("SELECT event_type AS dataset, 'full' AS arm, (user_id % 5)::INT AS seed, 'mean' AS metric, round(avg(value), 4) AS value FROM events GROUP BY 1, 3")
+@query(
+    "SELECT event_type AS dataset, 'full' AS arm, (user_id % 5)::INT AS seed, 'mean' AS metric, round(avg(value), 4) AS value FROM events "
+    "GROUP BY 1, 3"
+)
 def r8_score_files(spark, sf):
     path = scratch(spark, "scores")
     t = read(spark, sf, "events").groupBy(F.col("event_type").alias("dataset"), (F.col("user_id") % 5).cast("int").alias("seed")).agg(F.round(F.avg("value"), 4).alias("value"))
@@ -127,10 +130,16 @@ def sessions(spark, sf):
     return read(spark, sf, "orders").select(F.floor(F.col("o_orderkey") / 2).alias("uid"), "o_orderkey", "o_orderpriority", F.concat_ws(",", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("chain"))
 
 
-CONN = "cn AS (SELECT l_orderkey AS uid, l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 443 ELSE 80 END AS dport FROM lineitem), se AS (SELECT o_orderkey // 2 AS uid, o_orderkey, o_orderpriority, o_custkey FROM orders)"
+CONN = (
+    "cn AS (SELECT l_orderkey AS uid, l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 443 ELSE 80 END AS dport "
+    "FROM lineitem), se AS (SELECT o_orderkey // 2 AS uid, o_orderkey, o_orderpriority, o_custkey FROM orders)"
+)
 
 
-@query(f"WITH {CONN}, u AS (SELECT uid, arg_min(o_orderpriority, o_orderkey) AS p FROM se GROUP BY 1) SELECT p AS o_orderpriority, dport, count(*) AS n FROM cn LEFT JOIN u USING (uid) GROUP BY 1, 2")
+@query(
+    f"WITH {CONN}, u AS (SELECT uid, arg_min(o_orderpriority, o_orderkey) AS p FROM se GROUP BY 1) "
+    "SELECT p AS o_orderpriority, dport, count(*) AS n FROM cn LEFT JOIN u USING (uid) GROUP BY 1, 2"
+)
 def j1_session_join(spark, sf):
     t = logs.join_sessions(conn(spark, sf), sessions(spark, sf), "uid", ["o_orderkey"])
     return t.groupBy("o_orderpriority", "dport").agg(F.count(F.lit(1)).alias("n"))
@@ -170,12 +179,19 @@ def j3_certificate_names(spark, sf):
     return logs.with_named_certificate(t, certificates).select("o_orderkey", "subject", "issuer", "begin", "end")
 
 
-@query(f"WITH {S.ENT}, lv AS ({S.long()}), tr AS (SELECT DISTINCT relation, value FROM lv WHERE split = 'train') SELECT relation, count(*) AS n_seen FROM lv JOIN tr USING (relation, value) WHERE split = 'test' GROUP BY 1")
+@query(
+    f"WITH {S.ENT}, lv AS ({S.long()}), tr AS (SELECT DISTINCT relation, value FROM lv WHERE split = 'train') SELECT relation, count(*) AS n_seen "
+    "FROM lv JOIN tr USING (relation, value) WHERE split = 'test' GROUP BY 1"
+)
 def j5_value_membership(spark, sf):
     return audit.seen_values(split_events(spark, sf), RELATIONS).where("n_seen > 0").select("relation", "n_seen")
 
 
-@query(f"WITH {S.ENT}, a AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'test' AND via_prop IS NOT NULL), b AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'train' AND via_prop IS NOT NULL) SELECT (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_only_test")
+@query(
+    f"WITH {S.ENT}, a AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'test' AND via_prop IS NOT NULL), "
+    "b AS (SELECT DISTINCT via_prop AS v FROM ent WHERE split = 'train' AND via_prop IS NOT NULL) SELECT (SELECT count(*) FROM (FROM a INTERSECT "
+    "FROM b)) AS n_both, (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS n_only_test"
+)
 def t2_value_sets(spark, sf):
     return audit.value_sets(split_events(spark, sf), "via_prop").select("n_both", "n_only_test")
 
@@ -208,7 +224,10 @@ def f1_issuer_bucket(spark, sf):
 SUITES = (("TLSv13", "TLS_AES_256_GCM_SHA384", "TLSv13_AES_GCM"), ("TLSv12", "ECDHE_RSA_AES_CBC", "TLSv12_ECDHE_CBC_Legacy"), ("TLS-1.2", "X", "Unknown"), ("TLSv10", "RSA", "TLSv1x_Legacy_Deprecated"), ("SSLv3", "RC4", "SSL_Deprecated"), ("", "", ""))
 
 
-@query(f"SELECT c_custkey, ({[s[2] for s in SUITES]})[(c_custkey % 6 + 1)::INT] AS bucket, md5(({[s[0] for s in SUITES]})[(c_custkey % 6 + 1)::INT] || '|' || ({[s[1] for s in SUITES]})[(c_custkey % 6 + 1)::INT]) AS fingerprint FROM customer")
+@query(
+    f"SELECT c_custkey, ({[s[2] for s in SUITES]})[(c_custkey % 6 + 1)::INT] AS bucket, md5(({[s[0] for s in SUITES]})[(c_custkey % 6 + 1)::INT] || "
+    f"'|' || ({[s[1] for s in SUITES]})[(c_custkey % 6 + 1)::INT]) AS fingerprint FROM customer"
+)
 def f2_f4_cipher_group(spark, sf):
     at = (F.col("c_custkey") % 6).cast("int")
     v, c = (F.get(F.array(*[F.lit(s[i]) for s in SUITES]), at) for i in (0, 1))
@@ -247,7 +266,10 @@ def f6_time_parse(spark, sf):
     return t.select("event_id", V.parse_time(F.col("ts").cast("string")).alias("from_iso"), V.parse_time(F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise("soon")).alias("from_text"))
 
 
-@query("SELECT event_id, md5(concat_ws('|', '42', event_type, event_id)) AS h, ('0x' || substr(md5(concat_ws('|', '42', event_id)), 1, 8))::BIGINT AS k, round(ln(1 + user_id), 6) AS log_count FROM events")
+@query(
+    "SELECT event_id, md5(concat_ws('|', '42', event_type, event_id)) AS h, ('0x' || substr(md5(concat_ws('|', '42', event_id)), 1, "
+    "8))::BIGINT AS k, round(ln(1 + user_id), 6) AS log_count FROM events"
+)
 def f7_f8_hash_and_log(spark, sf):
     return read(spark, sf, "events").select("event_id", V.seeded_hash(42, F.col("event_type"), F.col("event_id")).alias("h"), V.hash_number(42, F.col("event_id")).alias("k"), F.round(V.log_count(F.col("user_id")), 6).alias("log_count"))
 
@@ -263,7 +285,11 @@ def f10_endpoint_order(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", e["low"]["ip"].alias("low"), e["high"]["ip"].alias("high"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') THEN 'has_a' WHEN contains(lower(p_name), 'e') THEN 'has_e' END AS by_substring, CASE WHEN contains(lower(p_name), 'part') THEN 'part' WHEN contains(lower(p_name), 'p') THEN 'p' END AS by_longest, CASE WHEN starts_with(p_name, 'P') THEN 'upper' WHEN starts_with(p_name, 'p') THEN 'lower' END AS family FROM part")
+@query(
+    "SELECT p_partkey, CASE WHEN contains(lower(p_name), 'a') THEN 'has_a' WHEN contains(lower(p_name), 'e') THEN 'has_e' END AS by_substring, "
+    "CASE WHEN contains(lower(p_name), 'part') THEN 'part' WHEN contains(lower(p_name), 'p') THEN 'p' END AS by_longest, "
+    "CASE WHEN starts_with(p_name, 'P') THEN 'upper' WHEN starts_with(p_name, 'p') THEN 'lower' END AS family FROM part"
+)
 def f12_f15_f19_labels(spark, sf):
     n = F.col("p_name")
     return read(spark, sf, "part").select("p_partkey", V.label_by_substring(n, (("a", "has_a"), ("e", "has_e"))).alias("by_substring"), V.label_by_longest(n, ("p", "part")).alias("by_longest"), V.family(n, (("P", "upper"), ("p", "lower"))).alias("family"))
@@ -288,7 +314,10 @@ def w7_labelled_rows(spark, sf):
     return t.select("event_id", "label", positive, V.family(F.col("label"), (("e", "E"), ("c", "C"))).alias("family"))
 
 
-@query("SELECT event_id, 'random' AS mode, user_id AS split_seed, NULL::BIGINT AS edge_seed, NULL::DOUBLE AS test_size, event_type AS folder, (event_type IN ('error', 'view'))::INT AS positive, (event_type NOT IN ('view'))::INT AS not_view FROM events")
+@query(
+    "SELECT event_id, 'random' AS mode, user_id AS split_seed, NULL::BIGINT AS edge_seed, NULL::DOUBLE AS test_size, event_type AS folder, "
+    "(event_type IN ('error', 'view'))::INT AS positive, (event_type NOT IN ('view'))::INT AS not_view FROM events"
+)
 def f14_f16_f18_decode(spark, sf):
     t = read(spark, sf, "events")
     d = V.decode_variant(F.concat(F.lit("random_s"), F.col("user_id").cast("string")))
@@ -305,7 +334,10 @@ def f17_f20_label_map(spark, sf):
     return t.join(codes, "event_type").select("event_id", "code", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS occurrence FROM orders")
+@query(
+    "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey "
+    "ORDER BY o_orderkey) - 1 AS occurrence FROM orders"
+)
 def v4_occurrence_index(spark, sf):
     from kinweave.operators.ranking import position_by_order
 
@@ -319,7 +351,10 @@ def v5_average_rank(spark, sf):
     return average_rank(read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), [], "o_orderdate").select("o_orderkey", "avg_rank")
 
 
-@query("SELECT o_orderpriority, o_custkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_custkey) AS r FROM (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r <= 10")
+@query(
+    "SELECT o_orderpriority, o_custkey, n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY n DESC, o_custkey) AS r "
+    "FROM (SELECT o_orderpriority, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)) WHERE r <= 10"
+)
 def v6_top_values(spark, sf):
     return audit.top_values(read(spark, sf, "orders"), "o_orderpriority", "o_custkey").drop("share")
 
