@@ -1,30 +1,27 @@
 """Packets of a stream as flows of both directions, folded in state until a flow has been quiet.
 
-A flow is kept as mergeable sums, so packets may come in any order within the watermark: a packet
-joins every open flow of its endpoints that is at most the pause away, and so may join two flows to one.
-A timer at the end of the pause gives the flow out. State is one row for each open flow.
+A flow is kept as mergeable sums in a session window, so packets may come in any order within the
+watermark: a packet joins every open flow of its endpoints that is at most the pause away, and so may
+join two flows to one. The watermark gives the flow out at the end of the pause. State is one row for
+each open flow. ``packet``, ``merged`` and ``joined`` say the same of a list of packets in plain Python.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from kinweave.functions.values import endpoints
 
-#: Milliseconds of the first and last packet, who sent the first, and sums by sender.
-STATE = "first long, from_low boolean, last long, packets_low long, packets_high long, bytes_low double, bytes_high double, name string, named long"
-FLOWS = "low string, high string, proto string, " + STATE
-_flow = Row(*[x.split()[0] for x in FLOWS.split(", ")])
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def packet(ms: int, from_low: bool, size: float, name: str | None) -> tuple:
-    """A packet as a flow of its own."""
+    """A packet as a flow of its own: milliseconds of the first packet, who sent it, milliseconds of the
+    last, packets and bytes of the low and of the high endpoint, the earliest name and its milliseconds."""
     low = int(from_low)
     return (ms, from_low, ms, low, 1 - low, size * low, size * (1 - low), name, None if name is None else ms)
 
@@ -47,46 +44,9 @@ def joined(flows: Iterable[tuple], pause: int) -> list[tuple]:
     return out
 
 
-class FlowFold(StatefulProcessor):
-    """Open flows of one pair of endpoints."""
-
-    def __init__(self, pause_ms: int):
-        self.pause = pause_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getListState("flows", STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        came = joined((packet(r["ms"], r["from_low"], r["bytes"] or 0.0, r["name"]) for r in rows), self.pause)
-        now = joined([*before, *came], self.pause)
-        for end in {f[2] for f in before} - {f[2] for f in now}:
-            self.handle.deleteTimer(end + self.pause)
-        for end in {f[2] for f in now} - {f[2] for f in before}:
-            self.handle.registerTimer(end + self.pause)
-        self.open.put(now)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() - self.pause
-        flows = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        rest = [f for f in flows if f[2] > limit]
-        if rest:
-            self.open.put(rest)
-        else:
-            self.open.clear()
-        for f in flows:
-            if f[2] <= limit:
-                yield _flow(*key, *f)
-
-    def close(self) -> None:
-        pass
-
-
 @contextmanager
 def state_store(spark: SparkSession):
-    """The state store that such queries need, while they are started."""
+    """The state store for many open flows, which need not fit into memory, while queries are started."""
     setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, PROVIDER)
@@ -100,15 +60,23 @@ def fold_stream(packets: DataFrame, pause: int = 3600, late: str = "10 minutes")
     """Flows from a stream of (src, sport, dst, dport, proto, ts, bytes, name), ts being a timestamp.
 
     The endpoint of a flow's first packet is its client; the earliest name is kept. A flow comes out
-    when the watermark is ``pause`` seconds past its last packet. Packets later than the watermark are
-    dropped. Times are kept in milliseconds; null bytes count 0.
+    when the watermark is ``pause`` seconds past its last packet. Packets that are ``pause`` seconds later
+    than the watermark, whose flows have come out, are dropped. Times are kept in milliseconds; null bytes
+    count 0.
     """
     text = lambda end: F.concat_ws(" ", F.col(f"_e.{end}.ip").cast("string"), F.col(f"_e.{end}.port").cast("string"))
     ends = endpoints(F.col("src").cast("string"), F.col("sport"), F.col("dst").cast("string"), F.col("dport"))
-    t = packets.withWatermark("ts", late).withColumn("_e", ends)
+    t = packets.withColumn("ts", F.timestamp_millis(F.unix_millis("ts"))).withWatermark("ts", late).withColumn("_e", ends)
     forward = (F.col("src").cast("string") == F.col("_e.low.ip")) & (F.col("sport") == F.col("_e.low.port"))
-    t = t.select(text("low").alias("low"), text("high").alias("high"), F.col("proto").cast("string").alias("proto"), "ts", F.unix_millis("ts").alias("ms"), forward.alias("from_low"), F.col("bytes").cast("double").alias("bytes"), "name")
-    folded = t.groupBy("low", "high", "proto").transformWithState(FlowFold(pause * 1000), FLOWS, "Append", "EventTime")
+    t = t.select(text("low").alias("low"), text("high").alias("high"), F.col("proto").cast("string").alias("proto"), "ts", F.unix_millis("ts").alias("ms"), forward.alias("from_low"), F.coalesce(F.col("bytes").cast("double"), F.lit(0.0)).alias("bytes"), "name")
+    low = F.coalesce("from_low", F.lit(False))
+    sums = {
+        "_began": F.min(F.struct(F.col("ms"), (~low).alias("from_high"))), "last": F.max("ms"), "_named": F.min(F.when(F.col("name").isNotNull(), F.struct("ms", "name"))),
+        "packets_low": F.sum(low.cast("long")), "packets_high": F.sum((~low).cast("long")),
+        "bytes_low": F.sum(F.when(low, F.col("bytes")).otherwise(0.0)), "bytes_high": F.sum(F.when(~low, F.col("bytes")).otherwise(0.0)),
+    }
+    folded = t.groupBy(F.session_window("ts", f"{pause} seconds"), "low", "high", "proto").agg(*[c.alias(name) for name, c in sums.items()])
+    folded = folded.withColumns({"first": F.col("_began.ms"), "from_low": ~F.col("_began.from_high"), "name": F.col("_named.name")})
     side = lambda a, b: F.when(F.col("from_low"), F.col(a)).otherwise(F.col(b))
     part = lambda c, i: F.split(c, " ")[i]
     client, server = side("low", "high"), side("high", "low")

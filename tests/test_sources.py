@@ -178,6 +178,23 @@ def test_late_and_parted_packets(spark, tmp_path):
     assert rows == [(100.0, 300.0, 5, 5.0), (5000.0, 5000.0, 1, 1.0)]
 
 
+def test_many_flows_of_one_pair_are_folded_natively(spark, tmp_path):
+    """Packets exactly the pause apart are one flow, a millisecond more parts them; no flow costs a call of Python."""
+    draw, at, rows = random.Random(8), 0, []
+    for _ in range(400):
+        at += draw.choice([1, 89_999, 90_000, 90_001, 200_000])
+        s, d = draw.sample([("a", 1), ("b", 2)], 2)
+        rows.append((*s, *d, "tcp", at / 1000, float(draw.randrange(5)), draw.choice([None, "x", "y"])))
+    parts = [packets.packet(int(r[5] * 1000), r[0] == "a", r[6], r[7]) for r in rows]
+    want = sorted((f[0] / 1000, f[2] / 1000, f[3] + f[4], f[5] + f[6], f[7] or "") for f in packets.joined(parts, 90_000))
+    draw.shuffle(rows)
+    end = [("z", 0, "z", 0, "end", 1e6, 0.0, None)]
+    got = streamed(spark, tmp_path, [rows, end], 90, 100)
+    assert sorted((r.first, r.last, r.packets_out + r.packets_in, r.bytes_out + r.bytes_in, r.name or "") for r in got.collect()) == want
+    stream = spark.readStream.schema(PACKET).json(f"{tmp_path}").withColumn("ts", F.timestamp_seconds("ts"))
+    assert "TransformWithState" not in packets.fold_stream(stream)._jdf.queryExecution().analyzed().toString()
+
+
 def test_parts_of_flows_merge_in_any_order():
     draw = random.Random(1)
     for _ in range(50):
