@@ -145,22 +145,50 @@ def group_folds(df: DataFrame, column: str, k: int = 3) -> DataFrame:
     if starved:
         raise ValueError(f"classes {starved} are in under {k} groups of {column}")
     groups = kept(collapse(df, column))
+    return _dealt(groups, kept(profile_folds(groups, k)))
+
+
+def _dealt(groups: DataFrame, segments: DataFrame) -> DataFrame:
     placed = position_by_order(groups, ["negatives", "positives"], ["value"])
-    t = placed.join(kept(profile_folds(groups, k)), ["negatives", "positives"]).where("low <= pos and pos < high")
-    return t.select("value", "fold")
+    return placed.join(segments, ["negatives", "positives"]).where("low <= pos and pos < high").select("value", "fold")
 
 
-def fold_report(df: DataFrame, column: str, k: int = 3) -> DataFrame:
-    """(axis, fold, n_groups, negatives, positives, missing_classes, refusal): what each fold got, or one
-    row with the refusal, if a class has under k groups."""
+REALISED = "axis string, fold int, n_groups long, negatives long, positives long, missing_classes string, refusal string"
+
+
+def _refused(df: DataFrame, column: str, k: int, columns: str) -> DataFrame | None:
+    """One row with the refusal, if a class has under k groups."""
     starved = axis_report(df, column, k).first()["starved"]
-    columns = "axis string, fold int, n_groups long, negatives long, positives long, missing_classes string, refusal string"
-    if starved:
-        refusal = f"classes {starved} are in under {k} groups"
-        return df.sparkSession.createDataFrame([(column, None, None, None, None, None, refusal)], columns)
-    s = profile_folds(kept(collapse(df, column)), k).withColumn("m", F.col("high") - F.col("low"))
+    if not starved:
+        return None
+    empty = [None] * (columns.count(",") - 1)
+    return df.sparkSession.createDataFrame([(column, *empty, f"classes {starved} are in under {k} groups")], columns)
+
+
+def _realised(segments: DataFrame, column: str, k: int) -> DataFrame:
+    s = segments.withColumn("m", F.col("high") - F.col("low"))
     total = lambda c: F.sum(F.col(c) * F.col("m")).alias(c)
     s = s.groupBy("fold").agg(F.sum("m").alias("n_groups"), total("negatives"), total("positives"))
-    t = df.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).join(s, "fold", "left").fillna(0, ["n_groups", "negatives", "positives"])
+    t = segments.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).join(s, "fold", "left").fillna(0, ["n_groups", "negatives", "positives"])
     missing = F.array_join(F.array_compact(F.array(F.when(F.col("negatives") == 0, "0"), F.when(F.col("positives") == 0, "1"))), ",")
     return t.select(F.lit(column).alias("axis"), "fold", "n_groups", "negatives", "positives", missing.alias("missing_classes"), F.lit(None).cast("string").alias("refusal"))
+
+
+def fold_report(df: DataFrame, column: str, k: int = 3) -> DataFrame:
+    """(axis, fold, n_groups, negatives, positives, missing_classes, refusal): what each fold got, or one
+    row with the refusal, if a class has under k groups."""
+    refused = _refused(df, column, k, REALISED)
+    return _realised(profile_folds(kept(collapse(df, column)), k), column, k) if refused is None else refused
+
+
+def fold_members(df: DataFrame, column: str, k: int = 3) -> DataFrame:
+    """(axis, value, fold, n_groups, negatives, positives, missing_classes, refusal): every group with its fold and
+    what that fold got, or one row with the refusal, if a class has under k groups."""
+    columns = REALISED.replace("fold int", "value string, fold int")
+    refused = _refused(df, column, k, columns)
+    if refused is not None:
+        return refused
+    groups = kept(collapse(df, column))
+    segments = kept(profile_folds(groups, k))
+    folds = _realised(segments, column, k)  # k rows; a fold without groups keeps its row
+    return _dealt(groups, segments).join(folds, "fold", "right").select(*[c.split()[0] for c in columns.split(", ")])

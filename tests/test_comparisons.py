@@ -116,6 +116,20 @@ def test_refused_folds_are_a_row(spark):
     assert len(empty) == 1 and empty[0].refusal
 
 
+def test_members_of_folds_are_whole(spark):
+    """Every group has its fold, with the totals of that fold; a refusal is one row."""
+    groups = [(3, 1), (2, 2), (5, 1), (1, 1), (1, 1), (1, 1), (1, 1), (4, 0)]
+    df = grouped(spark, groups)
+    r = feasibility.fold_members(df, "g", 3).collect()
+    assert sorted(x.value for x in r) == sorted(f"g{i}" for i in range(len(groups)))
+    for f in feasibility.fold_report(df, "g", 3).collect():
+        mine = [x for x in r if x.fold == f.fold]
+        assert len(mine) == f.n_groups and {(x.n_groups, x.negatives, x.positives, x.missing_classes) for x in mine} == {(f.n_groups, f.negatives, f.positives, f.missing_classes)}
+        assert sum(groups[int(x.value[1:])][0] for x in mine) == f.negatives
+    refused = feasibility.fold_members(grouped(spark, [(3, 1), (2, 1), (5, 0), (4, 0)]), "g", 3).collect()
+    assert len(refused) == 1 and refused[0].value is None and "1" in refused[0].refusal
+
+
 # edge seeds, protocols, sketches --------------------------------------------------------------
 
 
