@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -363,3 +364,15 @@ def test_value_sets_seen_values_and_top_values(spark):
     t = spark.createDataFrame([("g", "x"), ("g", "x"), ("g", "y"), ("g", "z"), (None, "q")], "k string, v string")
     found = {(r.k, r.v, r.n, r.share) for r in audit.top_values(t, "k", "v", 2).collect()}
     assert found == {("g", "x", 2, 0.5), ("g", "y", 1, 0.25), (None, "q", 1, 1.0)}
+
+
+def test_edges_of_groups_in_pieces_are_those_of_whole_groups(spark):
+    """Neighbours in sorted order and by position are the same."""
+    draw = random.Random(6)
+    rows = [(i, draw.choice(["hot"] * 6 + [f"v{draw.randrange(12)}"])) for i in range(260)]
+    values = graph.long_values(spark.createDataFrame(rows, "id long, r string"), ["r"])
+    pairs = lambda t: sorted((e.src, e.dst) for e in t.collect())
+    for degree in (2, 4, 6):
+        assert pairs(graph.ring_edges(values, degree, 3)) == pairs(graph.ring_edges(values, degree, 3, piece_rows=7))
+    plan = graph.ring_edges(values, 2, 3)._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
