@@ -376,3 +376,20 @@ def test_edges_of_groups_in_pieces_are_those_of_whole_groups(spark):
         assert pairs(graph.ring_edges(values, degree, 3)) == pairs(graph.ring_edges(values, degree, 3, piece_rows=7))
     plan = graph.ring_edges(values, 2, 3)._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("degree,piece_rows", [(2, 10**6), (4, 10**6), (2, 7), (4, 7), (6, 40)])
+def test_masked_components_by_runs_equal_stars(spark, degree, piece_rows):
+    """Rings of all sizes with masked edges, around the end and over pieces, without making edges; and the
+    edges of groups in pieces are those of whole groups."""
+    draw = random.Random(degree * 100 + piece_rows)
+    rows = [(i, draw.choice(["train"] * 5 + ["val", "test", "test"]), draw.choice(["hot"] * 6 + [f"v{draw.randrange(12)}"]), draw.choice(["a", "b", None])) for i in range(260)]
+    df = spark.createDataFrame(rows, "id long, split string, r string, s string")
+    edges = graph.build(df, ["r", "s"], degree, 3)
+    pieces = graph.ring_edges(graph.long_values(df, ["r", "s"]), degree, 3, piece_rows=piece_rows)
+    pairs = lambda t: sorted((e.relation, e.src, e.dst) for e in t.collect())
+    assert pairs(pieces) == pairs(edges)
+    want = graph.components_by_relation(df, controls.mask_cross_partition(df, edges), ["r", "s"])
+    got = graph.masked_value_components(df, ["r", "s"], degree, 3, piece_rows)
+    key = lambda t: sorted((c.relation, c.id, c.component) for c in t.collect())
+    assert key(got) == key(want)
