@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.values import hash_number, index_like_names
 from kinweave.operators import compare
-from kinweave.operators.features import class_weights, finite
+from kinweave.operators.features import balanced, finite
 from kinweave.operators.ranking import kept
 
 
@@ -39,14 +39,20 @@ def fit(df: DataFrame, columns: list[str], model: str = "boosting", fit_on: tupl
 
     Labels 0 and others make two classes; with more than two labels there is one learner for each, against
     the rest, and the one that is surest decides (the smallest label, if equally sure).
+
+    ``df`` is read once to count, once by each learner, which holds its rows itself, and once to predict, so
+    rows that are not read cheaply should be ``kept``. Labels, weights and held-out rows come from one count.
     """
-    labels = sorted(r["label"] for r in df.where(F.col("split").isin(*fit_on)).select("label").distinct().collect())
-    t = _assembled(df, columns).join(F.broadcast(class_weights(df)), "label", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
-    held = F.pmod(hash_number(f"{seed}:held", F.col("id")), F.lit(HELD_OUT)) == 0
-    t = kept(t.select("id", "label", "split", "features", "weight", held.alias("held_out")))  # learners pass over it many times
+    spark, held = df.sparkSession, F.pmod(hash_number(f"{seed}:held", F.col("id")), F.lit(HELD_OUT)) == 0
+    counts = df.groupBy("label", "split", held.alias("held_out")).agg(F.count(F.lit(1)).alias("c")).collect()
+    fitted_on = [r for r in counts if r["split"] in fit_on]
+    labels = sorted({r["label"] for r in fitted_on})
+    trained = spark.createDataFrame([(r["label"], r["c"]) for r in counts if r["split"] == "train"], df.select("label", F.lit(0).cast("long").alias("c")).schema)
+    weights = {r["label"]: r["weight"] for r in balanced(trained.groupBy("label").agg(F.sum("c").alias("c"))).collect()}
+    weight = F.coalesce(*[F.when(F.col("label") == y, F.lit(w)) for y, w in weights.items()], F.lit(1.0))
+    t = _assembled(df, columns).select("id", "label", "split", "features", weight.alias("weight"), held.alias("held_out"))
     train, used, out = t.where(F.col("split").isin(*fit_on)), 0, t
-    both = train.groupBy().agg(F.max("held_out").alias("a"), F.min("held_out").alias("b")).first()
-    early = early and both["a"] is True and both["b"] is False
+    early = early and {r["held_out"] for r in fitted_on} == {True, False}
     targets = labels if len(labels) > 2 else [None]
     sure = []
     for i, y in enumerate(targets):
@@ -67,7 +73,7 @@ def fit_predict(df: DataFrame, columns: list[str], model: str = "boosting", fit_
 
 
 def feature_set_comparison(df: DataFrame, sets: dict[str, list[str]], model: str = "boosting", fits=(("train",), ("train", "val"))) -> DataFrame:
-    """Test metrics of each feature set under each choice of fitted splits."""
+    """Test metrics of each feature set under each choice of fitted splits; ``df`` should be ``kept``."""
     out, used = None, []
     for name, columns in sets.items():
         for fit_on in fits:

@@ -313,9 +313,9 @@ def m22_claim_check(spark, sf):
 
 
 def learnable(spark, sf):
-    t = split_events(spark, sf)
-    m = features.metadata_counts(t, ["via_user", "via_prop"]).groupBy("id").pivot("relation", ["via_user", "via_prop"]).agg(F.first("train_freq").alias("freq"), F.first("group_size").alias("size"))
-    return kept(t.join(m, "id").withColumn("row_id", F.col("id").cast("double")))
+    t = split_events(spark, sf, "category", "value", "via_user", "via_prop")
+    t = t.repartition(3 * spark.sparkContext.defaultParallelism, "id")  # learners use all cores, however few classes the split was made by
+    return features.metadata_columns(t, ["via_user", "via_prop"]).withColumn("row_id", F.col("id").cast("double"))
 
 
 META = ["via_user_freq", "via_user_size", "via_prop_freq", "via_prop_size"]

@@ -56,3 +56,25 @@ def test_missing_values_rank_last(spark):
     found = {r.feature: r for r in audit.feature_audit(df, ["x", "same"]).collect()}
     assert found["x"].rho_time == pytest.approx(want, abs=1e-6) and found["x"].unique_ratio == 0.625
     assert found["same"].rho_time is None and not found["same"].counter
+
+
+def test_metadata_columns_equal_counts(rows, monkeypatch):
+    wide = {r.id: r for r in features.metadata_columns(rows, ["r", "s"]).collect()}
+    assert len(wide) == 300
+    plain = features.metadata_counts(rows, ["r", "s"])
+    for r in plain.collect():
+        assert wide[r.id][f"{r.relation}_freq"] == r.train_freq and wide[r.id][f"{r.relation}_size"] == r.group_size
+    own = {r.id: r for r in splits.folds(rows, 5, 0).collect()}
+    for r in plain.where("relation = 'r'").collect():
+        v = own[r.id].r
+        mates = [o for o in own.values() if v is not None and o.r == v]
+        trained = [o for o in mates if o.split == "train" and (own[r.id].split != "train" or o.fold != own[r.id].fold)]
+        assert (r.present, r.seen) == (int(v is not None), int(bool(trained)))
+        assert r.group_size == round(math.log1p(len(mates)), 6) and r.train_freq == round(math.log1p(len(trained)), 6)
+
+
+def test_feature_sets_keep_no_copies(rows, monkeypatch):
+    """Rows that are kept are not written again for each set and choice of splits."""
+    seen = checkpoints(monkeypatch, learn)
+    assert learn.feature_set_comparison(rows, {"a": ["value"], "b": ["ts"]}, "linear").count() == 4
+    assert not seen
