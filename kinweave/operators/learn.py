@@ -100,14 +100,12 @@ def relation_sets(df: DataFrame, neighbours: DataFrame, columns: list[str], sets
 
     ``neighbours``: (relation, id, nbr_<column>).
     """
-    out = None
-    for text in sets.split(";"):
-        relations = text.split("+")
-        t, used = df, list(columns)
-        for r in relations:
-            n = neighbours.where(F.col("relation") == r).select("id", *[F.col(f"nbr_{c}").alias(f"{r}_{c}") for c in columns])
-            t = t.join(n, "id", "left")
-            used += [f"{r}_{c}" for c in columns]
+    chosen = [text.split("+") for text in sets.split(";")]
+    every = list(dict.fromkeys(r for relations in chosen for r in relations))
+    n = neighbours.where(F.col("relation").isin(*every)).groupBy("id").agg(*[F.max(F.when(F.col("relation") == r, F.col(f"nbr_{c}"))).alias(f"{r}_{c}") for r in every for c in columns])
+    t, out = kept(df.select("id", "label", "split", *columns).join(n, "id", "left")), None  # neighbours are made once for all sets
+    for relations in chosen:
+        text, used = "+".join(relations), [*columns, *[f"{r}_{c}" for r in relations for c in columns]]
         p = fit_predict(t, used, "linear").where("split = 'test'").select(F.lit(text).alias("relations"), "label", "prediction")
         out = p if out is None else out.unionByName(p)
     return compare.metrics(out, ["relations"], 2)

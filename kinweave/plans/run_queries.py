@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from kinweave.operators import compare, features, graph, learn
 from kinweave.operators.ranking import kept
 from kinweave.plans import sql as S
-from kinweave.plans.graph_queries import edges_of
 from kinweave.sources.tables import RELATIONS, events, split_events
 
 REGISTERED: dict = {}
@@ -355,8 +354,8 @@ def m23_index_ablation(spark, sf):
 
 @query()
 def m27_relation_sets(spark, sf):
-    t = split_events(spark, sf)
-    n = features.neighbour_mean(t, graph.clean_edges(edges_of(t)), ["value"])
+    t = kept(split_events(spark, sf, "value", *RELATIONS))
+    n = graph.neighbour_means(t, RELATIONS, ["value"], S.BUDGET, S.SEED)
     return learn.relation_sets(t, n, ["value"], "via_user+via_prop;via_timebin")
 
 

@@ -42,6 +42,27 @@ def checkpoints(monkeypatch, *modules):
     return seen
 
 
+def test_neighbour_means_need_no_join(rows):
+    means = graph.neighbour_means(rows, ["r", "s"], ["value"], 2, 42)
+    plain = features.neighbour_mean(rows, graph.build(rows, ["r", "s"], 2, 42), ["value"])
+    near({(x.relation, x.id): x.nbr_value for x in means.collect()}, {(x.relation, x.id): x.nbr_value for x in plain.collect()})
+    assert "Join" not in plan(means)
+
+
+def test_relation_sets_make_neighbours_once(spark, rows):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    means = graph.neighbour_means(rows, ["r", "s"], ["value"], 2, 42)
+    n = means.count()
+    assert learn.relation_sets(rows, means.mapInArrow(count, means.schema), ["value"], "r;s;r+s").count() == 3
+    assert made.value == n
+
+
 def test_missing_values_rank_last(spark):
     """As in SQL; time and a constant have no correlation."""
     x, ts = [3.0, None, 1.0, 2.0, None, 1.0, 7.0, 5.0], [5.0, 1.0, 2.0, 2.0, 8.0, None, 4.0, 9.0]
