@@ -99,3 +99,14 @@ def test_feature_sets_keep_no_copies(rows, monkeypatch):
     seen = checkpoints(monkeypatch, learn)
     assert learn.feature_set_comparison(rows, {"a": ["value"], "b": ["ts"]}, "linear").count() == 4
     assert not seen
+
+
+def test_convolution_reads_pairs_once(spark, rows):
+    pairs = graph.union_graph(graph.build(rows, ["r", "s"], 2, 42))
+    found = {r.id: r.conv_value for r in features.convolved(rows, pairs, ["value"]).collect()}
+    value, near_ = {r.id: r.value for r in rows.collect()}, {i: {i} for i in found}
+    for p in pairs.collect():
+        near_[p.src].add(p.dst)
+    near(found, {i: sum(value[j] / math.sqrt(len(near_[i]) * len(near_[j])) for j in near_[i]) for i in value})
+    text = plan(features.convolved(rows, pairs, ["value"]))
+    assert "Join" not in text
