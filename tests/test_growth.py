@@ -110,3 +110,7 @@ def test_convolution_reads_pairs_once(spark, rows):
     near(found, {i: sum(value[j] / math.sqrt(len(near_[i]) * len(near_[j])) for j in near_[i]) for i in value})
     text = plan(features.convolved(rows, pairs, ["value"]))
     assert "Join" not in text
+
+
+def test_edge_pairs_need_no_join(spark):
+    assert "Join" not in plan(graph_queries.a18_edge_pairs(spark, SF))
