@@ -114,3 +114,11 @@ def test_convolution_reads_pairs_once(spark, rows):
 
 def test_edge_pairs_need_no_join(spark):
     assert "Join" not in plan(graph_queries.a18_edge_pairs(spark, SF))
+
+
+def test_attachment_sorts_narrow_rows(spark):
+    from kinweave.sources.tables import split_events
+
+    assert split_events(spark, SF, "via_user").columns == ["id", "label", "ts", "via_user", "split"]
+    whole = {(r.id, r.split) for r in split_events(spark, SF).collect()}
+    assert {(r.id, r.split) for r in split_events(spark, SF, "via_user").collect()} == whole
